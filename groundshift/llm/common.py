@@ -1,45 +1,12 @@
-"""Helpers shared by the corpus operators: shared scratch tables and checked broadcasts."""
+"""Helpers shared by the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-_OWN_DIR: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (local tests) a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIR:
-        _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="groundshift-")
-        spark.sparkContext.setCheckpointDir(_OWN_DIR[app])
-    return _OWN_DIR[app]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a new table in the shared folder and read it back.
-
-    Cuts the lineage, gives the optimizer true sizes, and outlives lost executors.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+from groundshift.plans.scratch import checked_side, materialize, scratch_dir
 
-def checked_side(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """Hint for the smaller side of a join: broadcast up to ``limit`` counted rows, else merge."""
-    return F.broadcast(df) if rows <= limit else df.hint("merge")
+__all__ = ["checked_side", "materialize", "scratch_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

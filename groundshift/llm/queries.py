@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, simhash, url_rules
+from . import decontaminate, language_id, mixing, near_join, quality, simhash, token_counts, unit_dedup, url_rules, warc
 from .common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_dedup.dedup_units(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -16,6 +29,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op5(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.selectExpr("doc_id", "n_words", "n_hit", "n_items", "sha2(array_join(item_ids, ','), 256) as items_sha256", "contaminated")
@@ -26,8 +51,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_near_join": op2_near_join,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_simhash": op5_simhash,
+    "op6_token_counts": op6_token_counts,
+    "op7_warc": op7_warc,
+    "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
 }
@@ -49,4 +80,14 @@ select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint
 from dw left join pos using (doc_id) left join its using (doc_id)
 """
 
-ORACLE_SQL = {"op9_decontamination": OP9_SQL}
+OP7_SQL = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) n, sha1(coalesce(html, '')) h, coalesce(html, '') body from pages),
+r as (select *, max(page_id) over (partition by h) top from p)
+select page_id, cast(n as bigint) payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast('0x' || substr(h, 1 + 5 * (i // 4), 5) as bigint) // (32 ** (3 - i % 4))::bigint) % 32 as int), 1)), '') payload_digest,
+  case when page_id = top then 'response' else 'revisit' end record_type,
+  case when page_id <> top then top end refers_to
+from r
+"""
+
+ORACLE_SQL = {"op7_warc": OP7_SQL, "op9_decontamination": OP9_SQL}
