@@ -24,6 +24,8 @@ FEATURES = 1 << 14
 ITERATIONS = 30
 KEEP_SCORE = 0.5
 EM_ROUNDS = 100
+#: Labellers are built to be precise: at least this share of their votes on good documents is good.
+LEAST_ACCURACY = 0.995
 GOOD, BAD, ABSTAIN = 1, -1, 0
 
 
@@ -36,18 +38,28 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def _signals(text: Column) -> dict[str, Column]:
-    kept = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
-    return {"n_chars": F.length(text), "tokens": F.filter(F.split(text, r"\s+"), lambda w: w != ""), "n_symbols": kept(r"[\p{L}\p{M}\p{N}\s.,;:'’\-]"), "n_upper": kept(r"[^\p{Lu}]"), "n_stops": kept(r"[^.?]")}
+    left = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
+    return {
+        "n_chars": F.length(text), "tokens": F.filter(F.split(text, r"\s+"), lambda w: w != ""), "n_symbols": left(r"[\p{L}\p{M}\p{N}\s.,;:'’\-]"),
+        "n_marks": F.regexp_count(text, F.lit(r"[^\p{L}\p{M}\p{N}\s.,;:'’\-]+")), "n_upper": left(r"[^\p{Lu}]"), "n_stops": left(r"[^.?]"), "n_shouts": F.regexp_count(text, F.lit("!+")),
+    }
+
+
+def _rates(name: str, of: str, bad: float, good: float) -> Column:
+    """Bad above one rate, good below another, for texts of 20 words or more."""
+    rate = _share(F.col(name), F.col(of))
+    return _vote((F.col("n_tokens") >= 20) & (rate > bad), (F.col("n_tokens") >= 20) & (rate < good))
 
 
 #: Labellers over the signals of a text; each returns one of GOOD, BAD, ABSTAIN.
 LABELLERS = {
     "varied": lambda: _vote((F.col("n_tokens") >= 20) & (F.col("variety") < 0.72), (F.col("n_tokens") >= 20) & (F.col("variety") > 0.80)),
-    "repeats": lambda: _vote(_share(F.col("n_repeats"), F.col("n_tokens")) > 0.2, (F.col("n_tokens") >= 20) & (_share(F.col("n_repeats"), F.col("n_tokens")) < 0.08)),
-    "symbols": lambda: _vote(_share(F.col("n_symbols"), F.col("n_chars")) > 0.05, (F.col("n_tokens") >= 20) & (_share(F.col("n_symbols"), F.col("n_chars")) < 0.01)),
-    "capitals": lambda: _vote(_share(F.col("n_upper"), F.col("n_chars")) > 0.15, (F.col("n_tokens") >= 20) & (_share(F.col("n_upper"), F.col("n_chars")) < 0.08)),
+    "repeats": lambda: _rates("n_repeats", "n_tokens", 0.2, 0.08),
+    "symbols": lambda: _rates("n_symbols", "n_chars", 0.05, 0.01),
+    "marks": lambda: _rates("n_marks", "n_tokens", 0.2, 0.05),
+    "capitals": lambda: _rates("n_upper", "n_chars", 0.15, 0.08),
+    "shouts": lambda: _rates("n_shouts", "n_tokens", 0.2, 0.05),
     "stops": lambda: _vote((F.col("n_tokens") >= 40) & (_share(F.col("n_stops"), F.col("n_tokens")) < 0.01), (F.col("n_tokens") >= 20) & _share(F.col("n_stops"), F.col("n_tokens")).between(0.03, 0.3)),
-    "length": lambda: _vote(F.col("n_tokens") < 5, F.col("n_tokens") >= 50),
 }
 
 
@@ -57,34 +69,35 @@ def votes(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(k) for k, c in _signals(text).items()])
     words = F.transform("tokens", lambda w: F.lower(w))
     rows = rows.withColumn("words", words).withColumn("n_tokens", F.size("tokens"))
-    rows = rows.withColumn("variety", F.log(F.size(F.array_distinct("words")) + F.lit(1.0)) / F.log(F.col("n_tokens") + F.lit(1.0)))
+    rows = rows.withColumn("variety", F.log(F.size(F.array_distinct("words")) + F.lit(1.0)) / F.log(F.greatest(F.col("n_tokens"), F.lit(1)) + F.lit(1.0)))
     same = F.zip_with(F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: a == b)
     rows = rows.withColumn("n_repeats", F.size(F.filter(same, lambda x: x)))
     return rows.select("doc_id", "tokens", "n_repeats", F.array(*[v() for v in LABELLERS.values()]).alias("votes"))
 
 
 def fit_votes(patterns: list[list[int]], counts: list[int], rounds: int = EM_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of good for each pattern, and the accuracies: P(vote | class) by labeller, class, vote + 1.
+    """Posterior of good for each pattern, and the accuracies: P(good vote | class) by labeller and class.
 
-    Two-class model with independent labellers; starts from the majority vote, with half a count
-    of smoothing so that no probability is zero.
+    Two-class model with independent labellers, where an abstention says nothing. It starts from
+    a posterior that one bad vote outweighs three good ones, as each labeller knows one fault
+    only. On good documents labellers are held to at least ``LEAST_ACCURACY``.
     """
     x, n = np.array(patterns, dtype=int).reshape(len(patterns), -1), np.array(counts, dtype=float)
-    onehot = np.stack([x == v for v in (BAD, ABSTAIN, GOOD)], axis=2).astype(float)
-    post = 1 / (1 + np.exp(-x.sum(axis=1).astype(float)))
-    theta = np.zeros((x.shape[1], 2, 3))
+    up, down = (x == GOOD).astype(float), (x == BAD).astype(float)
+    post = 1 / (1 + np.exp(-(2.0 + up.sum(axis=1) - 3.0 * down.sum(axis=1))))
+    rate = np.zeros((x.shape[1], 2))
     for _ in range(rounds):
         weight = np.stack([(1 - post) * n, post * n])
-        theta = np.einsum("cp,plv->lcv", weight, onehot) + 0.5
-        theta /= theta.sum(axis=2, keepdims=True)
+        ups, downs = weight @ up, weight @ down
+        rate = ((ups + 0.5) / (ups + downs + 1.0)).T
+        rate[:, 1] = np.maximum(rate[:, 1], LEAST_ACCURACY)
         prior = (weight.sum(axis=1) + 0.5) / (n.sum() + 1)
-        logs = np.log(prior)[None, :] + np.einsum("plv,lcv->pc", onehot, np.log(theta))
+        logs = np.log(prior)[None, :] + up @ np.log(rate) + down @ np.log(1 - rate)
         new = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
         if np.abs(new - post).max() < 1e-9:
             break
         post = new
-    good = theta[:, 1, 2].mean() + theta[:, 0, 0].mean() - theta[:, 0, 2].mean() - theta[:, 1, 0].mean()
-    return (post if good >= 0 else 1 - post), theta
+    return post, rate
 
 
 def _features() -> Column:
@@ -98,7 +111,7 @@ def score_documents(docs: DataFrame, train_docs: int = TRAIN_DOCS, features: int
 
     ``posterior`` is the label model's chance that a document with these votes is good, ``score``
     the linear scorer's (0 to 1), ``keep`` whether it is at least ``KEEP_SCORE``. Texts count
-    whole. Null and empty texts have no words: all labellers but the length abstain, and they are
+    whole. Null and empty texts have no words: all labellers abstain, and they are
     never kept. A null doc_id is carried along; repeated rows stay and score alike; other columns are
     ignored; an empty table gives an empty result. The driver sees the counts of vote patterns, at
     most 3 to the number of labellers; the scorer is fitted on a sample of about ``train_docs``.
