@@ -45,8 +45,8 @@ def _signals(text: Column) -> dict[str, Column]:
     }
 
 
-def _rates(name: str, of: str, bad: float, good: float) -> Column:
-    """Bad above one rate, good below another, for texts of 20 words or more."""
+def _rates(name: str, of: str, bad: float, good: float = -1.0) -> Column:
+    """Bad above one rate, good below another (if given), for texts of 20 words or more."""
     rate = _share(F.col(name), F.col(of))
     return _vote((F.col("n_tokens") >= 20) & (rate > bad), (F.col("n_tokens") >= 20) & (rate < good))
 
@@ -56,9 +56,9 @@ LABELLERS = {
     "varied": lambda: _vote((F.col("n_tokens") >= 20) & (F.col("variety") < 0.72), (F.col("n_tokens") >= 20) & (F.col("variety") > 0.80)),
     "repeats": lambda: _rates("n_repeats", "n_tokens", 0.2, 0.08),
     "symbols": lambda: _rates("n_symbols", "n_chars", 0.05, 0.01),
-    "marks": lambda: _rates("n_marks", "n_tokens", 0.2, 0.05),
+    "marks": lambda: _rates("n_marks", "n_tokens", 0.2),
     "capitals": lambda: _rates("n_upper", "n_chars", 0.15, 0.08),
-    "shouts": lambda: _rates("n_shouts", "n_tokens", 0.2, 0.05),
+    "shouts": lambda: _rates("n_shouts", "n_tokens", 0.2),
     "stops": lambda: _vote((F.col("n_tokens") >= 40) & (_share(F.col("n_stops"), F.col("n_tokens")) < 0.01), (F.col("n_tokens") >= 20) & _share(F.col("n_stops"), F.col("n_tokens")).between(0.03, 0.3)),
 }
 
