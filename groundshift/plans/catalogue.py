@@ -1,6 +1,6 @@
 """All queries outside the corpus subpackage."""
 
-from . import queries_articles, queries_claims, queries_scenes, queries_store  # noqa: F401
+from . import queries_articles, queries_claims, queries_regions, queries_scenes, queries_store  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
