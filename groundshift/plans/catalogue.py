@@ -1,6 +1,7 @@
 """All queries outside the corpus subpackage."""
 
-from . import queries_articles, queries_claims, queries_regions, queries_scenes, queries_store  # noqa: F401
+from . import queries_articles, queries_claims, queries_regions, queries_scenes, queries_scoring, queries_store  # noqa: F401
+from . import queries_streams  # noqa: F401  after the others: it shares their SQL
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
