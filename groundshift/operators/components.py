@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,26 @@ from groundshift.plans.scratch import materialize
 MAX_ROUNDS = 60
 
 
+def _contract_batches(batches):
+    """Replace the edges of each Arrow batch by stars around the least node of their components."""
+    for batch in batches:
+        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+        i, j = place[: len(a)], place[len(a) :]
+        root = np.arange(len(nodes))
+        while len(i):
+            low = np.minimum(root[i], root[j])
+            before = root.copy()
+            for end in (i, j):
+                np.minimum.at(root, end, low)
+                np.minimum.at(root, before[end], low)
+            root = root[root]
+            if (root == before).all():
+                break
+        off = root != np.arange(len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[off]), pa.array(nodes[root[off]])], names=["a", "b"])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Hang every larger neighbour of a node on the least node of its neighbourhood."""
     both = edges.union(edges.select("b", "a"))
@@ -25,20 +47,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.selectExpr("a", "m as b"))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """All edges are stars: no node hangs on two, and none that hangs on one is hung on."""
+    twice = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+    chained = edges.join(edges.select(F.col("b").alias("r")).distinct().hint("merge"), F.col("a") == F.col("r"), "left_semi").select("a")
+    return twice.union(chained).isEmpty()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(node, root) of every node of the undirected edges (a, b); root is the component's least node.
 
-    Edges with a null end and loops are left out. The driver sees two numbers a round. Minima are
-    aggregated before the shuffle, and a hub's edges are joined, never gathered in one task.
+    Edges with a null end and loops are left out. Batches of edges are first contracted where they
+    lie, then rounds of large and small stars follow until all edges are stars; a round settles a
+    hub by aggregated minima and joins, and never gathers its edges in one task.
     """
-    edges = materialize(edges.where("a is not null and b is not null and a != b").selectExpr("greatest(a, b) as a", "least(a, b) as b").distinct(), "edges")
-    mark = None
+    whole = edges.where("a is not null and b is not null and a != b").selectExpr("cast(greatest(a, b) as long) as a", "cast(least(a, b) as long) as b")
+    edges = materialize(whole.distinct().mapInArrow(_contract_batches, "a long, b long").distinct(), "edges")
     for _ in range(max_rounds):
-        edges = materialize(_small_star(_large_star(edges)).distinct(), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
+        if _settled(edges):
             break
-        mark = tuple(now)
+        edges = materialize(_small_star(_large_star(edges)).distinct().mapInArrow(_contract_batches, "a long, b long").distinct(), "edges")
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     stars = edges.selectExpr("a as node", "b as root")

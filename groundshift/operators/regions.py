@@ -114,7 +114,7 @@ def region_rings(outline: DataFrame) -> DataFrame:
                 if at == start:
                     break
             corners = [p for k, p in enumerate(path) if (p[0] - path[k - 1][0]) * (path[(k + 1) % len(path)][1] - p[1]) != (p[1] - path[k - 1][1]) * (path[(k + 1) % len(path)][0] - p[0])]
-            doubled = sum(c[1] * d[0] - d[1] * c[0] for c, d in zip(path, path[1:] + path[:1], strict=True))
+            doubled = sum(d[1] * c[0] - c[1] * d[0] for c, d in zip(path, path[1:] + path[:1], strict=True))
             rings.append((corners, doubled / 2))
         aoi, region = pdf.aoi_id.iloc[0], pdf.region_id.iloc[0]
         return pd.DataFrame([{"aoi_id": aoi, "region_id": region, "ring": k, "n_vertices": len(c), "signed_area": a, "vertices": [{"row": p[0], "col": p[1]} for p in c]} for k, (c, a) in enumerate(rings)])
