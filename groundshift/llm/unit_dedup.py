@@ -1,8 +1,9 @@
 """Substring dedup by hashing lines, paragraphs or sentences.
 
 Units are normalised and hashed; digests are grouped over the whole corpus, the occurrence in the
-document of the lowest rank (its doc_id) stays, all others go. Spans are kept as code-point offsets into the
-original text.
+document of the lowest rank (its doc_id) stays, all others go. By default lines and the sentences in
+them are units alike, so that a repeated line goes whole, and a repeated passage within a line goes
+sentence by sentence. Spans are kept as code-point offsets into the original text.
 """
 
 from __future__ import annotations
@@ -18,18 +19,30 @@ from .common import materialize
 
 MIN_WORDS = 5
 #: Separators of units; a unit's span reaches to the start of the next.
-SEPARATORS = {"line": r"\n", "paragraph": r"\n\s*\n", "sentence": r"(?<=[.!?])\s+|\n"}
+SEPARATORS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n\s*\n"), "sentence": re.compile(r"(?<=[.!?])\s+|\n")}
+NESTED = "nested"
 
 
-def split_units(text: str, unit: str = "sentence"):
-    """(start, end) of every unit; together they cover the text."""
-    start = 0
-    for m in re.finditer(SEPARATORS[unit], text):
+def _pieces(text: str, unit: str, start: int, stop: int):
+    for m in SEPARATORS[unit].finditer(text, start, stop):
         if m.end() > start:
             yield start, m.end()
             start = m.end()
-    if start < len(text):
-        yield start, len(text)
+    if start < stop:
+        yield start, stop
+
+
+def split_units(text: str, unit: str = NESTED):
+    """(start, end) of every unit. Units of one kind cover the text; ``nested`` gives every line,
+    and after a line of several sentences each of those."""
+    if unit != NESTED:
+        yield from _pieces(text, unit, 0, len(text))
+        return
+    for start, end in _pieces(text, "line", 0, len(text)):
+        yield start, end
+        inner = list(_pieces(text, "sentence", start, end))
+        if len(inner) > 1:
+            yield from inner
 
 
 def unit_digest(unit: str, min_words: int = MIN_WORDS) -> tuple[int, int] | None:
@@ -68,8 +81,8 @@ def _unit_rows(unit: str, min_words: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id and removed: the sorted, merged spans (start, end) that repeat an earlier unit.
+def repeated_spans(docs: DataFrame, unit: str = NESTED, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id and removed: the sorted spans (start, end) of units that repeat an earlier one.
 
     Only documents with such spans are returned, one row per doc_id. Null doc_ids rank last and
     are never cut.
@@ -84,31 +97,40 @@ def repeated_spans(docs: DataFrame, unit: str = "sentence", min_words: int = MIN
     return gone.groupBy("doc_id").agg(spans.alias("removed"))
 
 
+def _kept_pieces(text: str | None, removed) -> tuple[list[dict], list[dict]]:
+    """The removed spans merged, and what they leave of the text."""
+    at, merged, kept = 0, [], []
+    for span in removed or ():
+        if merged and span["start"] <= merged[-1]["end"]:
+            merged[-1]["end"] = max(merged[-1]["end"], span["end"])
+        else:
+            merged.append(dict(span))
+    for span in merged:
+        if span["start"] > at:
+            kept.append({"start": at, "end": span["start"]})
+        at = span["end"]
+    if text and at < len(text):
+        kept.append({"start": at, "end": len(text)})
+    return merged, kept
+
+
 def _cut(batches):
     """(doc_id, text, removed) to the rows of _CUT."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
-        removed_spans, kept_spans, kept_texts, sizes = [], [], [], []
-        for text, removed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            at, kept = 0, []
-            for s in removed or ():
-                if s["start"] > at:
-                    kept.append({"start": at, "end": s["start"]})
-                at = max(at, s["end"])
-            if text and at < len(text):
-                kept.append({"start": at, "end": len(text)})
-            removed_spans.append(removed or [])
-            kept_spans.append(kept)
-            kept_texts.append(None if text is None else "".join(text[k["start"] : k["end"]] for k in kept))
-            sizes.append(None if text is None else len(text))
-        columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed_spans, span), pa.array(kept_spans, span), pa.array(kept_texts, pa.string())]
+        texts = batch.column(1).to_pylist()
+        pieces = [_kept_pieces(t, r) for t, r in zip(texts, batch.column(2).to_pylist(), strict=True)]
+        columns = [
+            batch.column(0), pa.array([None if t is None else len(t) for t in texts], pa.int64()), pa.array([m for m, _ in pieces], span), pa.array([k for _, k in pieces], span),
+            pa.array([None if t is None else "".join(t[x["start"] : x["end"]] for x in k) for t, (_, k) in zip(texts, pieces, strict=True)], pa.string()),
+        ]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_chars", "removed", "kept", "text"])
 
 
 _CUT = "doc_id long, n_chars long, removed array<struct<start: int, end: int>>, kept array<struct<start: int, end: int>>, text string"
 
 
-def dedup_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_units(docs: DataFrame, unit: str = NESTED, min_words: int = MIN_WORDS) -> DataFrame:
     """Every document without its repeated units: doc_id, n_chars, removed, kept, text.
 
     ``removed`` and ``kept`` are spans (start, end) in code points of the original text, ``text``
@@ -124,12 +146,25 @@ def dedup_units(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WO
     return rows.select("doc_id", "text", "removed").mapInArrow(_cut, _CUT)
 
 
-def cut_documents(docs: DataFrame, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with all its columns and ``kept_text``, the text without repeated units."""
-    spans = materialize(repeated_spans(docs, unit, min_words), "unit-spans").withColumnRenamed("doc_id", "spans_of")
-    rows = docs.join(spans.hint("merge"), F.col("doc_id") == F.col("spans_of"), "left")
-    # the pieces between the spans, joined: spans are sorted and do not overlap
-    edges = F.concat(F.array(F.lit(0)), F.flatten(F.transform("removed", lambda s: F.array(s["start"], s["end"]))), F.array(F.length("text")))
-    starts = F.sequence(F.lit(0), F.size(edges) - 2, F.lit(2))
-    kept = F.array_join(F.transform(starts, lambda i: F.substring(F.col("text"), F.get(edges, i) + 1, F.get(edges, i + 1) - F.get(edges, i))), "")
-    return rows.withColumn("kept_text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)).drop("spans_of", "removed")
+def cut_documents(docs: DataFrame, unit: str = NESTED, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with all its columns, the repeated units cut from ``text``, and ``n_chars`` to match.
+
+    A document that loses all but white space goes; null and empty texts stay as they are.
+    """
+    spans = materialize(repeated_spans(docs, unit, min_words), "unit-spans").withColumnsRenamed({"doc_id": "_unit_spans_of", "removed": "_unit_spans"})
+    rows = docs.join(spans.hint("merge"), F.col("doc_id") == F.col("_unit_spans_of"), "left").select(*docs.columns, "_unit_spans")
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            columns = dict(zip(names, batch.columns, strict=False))
+            texts, cut = columns["text"].to_pylist(), []
+            for text, removed in zip(texts, batch.column(len(names)).to_pylist(), strict=True):
+                cut.append(text if not removed or text is None else "".join(text[k["start"] : k["end"]] for k in _kept_pieces(text, removed)[1]))
+            columns["text"] = pa.array(cut, columns["text"].type)
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([n if c is t else len(c) for n, c, t in zip(columns["n_chars"].to_pylist(), cut, texts, strict=True)], columns["n_chars"].type)
+            stay = pa.array([c is t or bool(c.strip()) for c, t in zip(cut, texts, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names).filter(stay)
+
+    return rows.mapInArrow(run, docs.schema)

@@ -118,18 +118,18 @@ def test_forest_depth_reaches_the_target():
 def brute_units(rows, unit):
     seen, out = set(), {}
     for i, text in sorted(rows):
-        kept = []
+        gone = [False] * len(text or "")
         for a, b in unit_dedup.split_units(text or "", unit):
             words = " ".join(text[a:b].lower().split())
-            if len(words.split()) < unit_dedup.MIN_WORDS or words not in seen:
-                kept.append(text[a:b])
             if len(words.split()) >= unit_dedup.MIN_WORDS:
+                if words in seen:
+                    gone[a:b] = [True] * (b - a)
                 seen.add(words)
-        out[i] = "".join(kept)
+        out[i] = None if text is None else "".join(c for c, g in zip(text, gone, strict=True) if not g)
     return out
 
 
-@pytest.mark.parametrize("unit", ["sentence", "line", "paragraph"])
+@pytest.mark.parametrize("unit", ["nested", "sentence", "line", "paragraph"])
 def test_units_equal_brute_force(docs, unit):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     got = rows_of(unit_dedup.dedup_units(docs, unit))
@@ -141,11 +141,14 @@ def test_units_equal_brute_force(docs, unit):
         assert sum(b - a for a, b in spans) == r["n_chars"]
 
 
-def test_units_native_cut_is_the_same(docs, odd):
-    for frame in (docs, odd.where("doc_id is not null").dropDuplicates(["doc_id"])):
+def test_units_cut_from_documents(docs, odd):
+    for frame in (docs, odd.where("doc_id is not null").dropDuplicates(["doc_id"]).withColumn("removed", F.lit("clash"))):
+        before = {r["doc_id"]: r["text"] for r in frame.collect()}
         a = {r["doc_id"]: r["text"] for r in rows_of(unit_dedup.dedup_units(frame))}
-        b = {r["doc_id"]: r["kept_text"] for r in rows_of(unit_dedup.cut_documents(frame))}
-        assert a == b
+        cut = unit_dedup.cut_documents(frame)
+        assert cut.columns == frame.columns
+        b = {r["doc_id"]: r["text"] for r in rows_of(cut)}
+        assert b == {i: t for i, t in a.items() if t is None or t == before[i] or t.strip()}
 
 
 def test_units_odd_rows(odd, none):
@@ -490,8 +493,8 @@ def test_pipeline_stage_by_stage(spark, sf):
         if name == "near_duplicates":
             assert set(after) == {i for i, (c, _) in brute_classes(before.items()).items() if i == c}
         if name == "repeated_units":
-            want = brute_units(list(before.items()), "sentence")
-            assert after == {i: t for i, t in want.items() if t.strip() or not before[i]}
+            want = brute_units(list(before.items()), "nested")
+            assert after == {i: t for i, t in want.items() if t.strip() or t == before[i]}
         if name == "benchmark":
             items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
             assert set(after) == {i for i, t in before.items() if not brute_hits(t, items)[1]}
