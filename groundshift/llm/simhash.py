@@ -65,10 +65,18 @@ def hex_string(hi, lo) -> Column:
 
 
 def _id_bounds(ids: DataFrame, ranges: int) -> list[int]:
-    """At most ``ranges`` existing ids that split the ids evenly; the last is the largest."""
-    qs = [i / ranges for i in range(1, ranges + 1)]
-    got = ids.agg(F.percentile_approx("doc_id", qs, 20 * ranges).alias("q"), F.max("doc_id").alias("m")).first()
-    return sorted({*(got["q"] or []), *([got["m"]] if got["m"] is not None else [])})
+    """At most ``ranges`` existing ids that split the ids evenly; the last is the largest.
+
+    Quantiles are taken over a sample of about 100 ids a range, chosen by a hash, so that what
+    reaches one task does not grow with the number of partitions.
+    """
+    n, top = ids.agg(F.count("doc_id"), F.max("doc_id")).first()
+    if not n:
+        return []
+    share = min(1_000_000, -(-100 * ranges * 1_000_000 // n))
+    sample = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    got = sample.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges + 1)], 20 * ranges)).first()[0]
+    return sorted({*(got or []), top})
 
 
 def _range_of(doc_id: Column, bounds: list[int]) -> Column:
