@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundshift.functions.columns import usable
@@ -117,9 +117,11 @@ def increment_identity(features: DataFrame, year: int, state: str = "PA") -> Dat
     bad = (
         F.when(~F.col("main_class").eqNullSafe(F.lit(INCREMENT_CLASS)), "main class").when(~F.col("class_name").eqNullSafe(F.lit(f"d{year}")), "class name")
         .when(F.lower(F.trim(F.coalesce("source", F.lit("")))) != INCREMENT_SOURCE, "source").when(area.isNull() | F.isnan(area) | (F.abs(area) == float("inf")) | (area <= 0), "area")
-        .when(F.try_to_date(F.col("image_date").cast("string"), "yyyyMMdd").isNull(), "date").when(uuid == "", "uuid").when(F.count(F.lit(1)).over(Window.partitionBy(uuid)) > 1, "duplicate uuid")
+        .when(F.try_to_date(F.col("image_date").cast("string"), "yyyyMMdd").isNull(), "date").when(uuid == "", "uuid").when(F.col("_repeated"), "duplicate uuid")
     )
-    return mine.withColumn("reject", bad)
+    # counted before the shuffle, so that one uuid (or the blank one) of many rows is no single task
+    repeated = mine.where(uuid != "").groupBy(uuid.alias("_uuid")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_uuid", F.lit(True).alias("_repeated"))
+    return mine.join(repeated, uuid == F.col("_uuid"), "left").select(*mine.columns, bad.alias("reject"))
 
 
 def truth_date_bracket(truth: DataFrame, windows: DataFrame) -> DataFrame:

@@ -36,6 +36,11 @@ def replace_set(base: DataFrame, rows: DataFrame, run_keys: DataFrame) -> DataFr
     return base.join(run_keys.distinct(), keys, "left_anti").select(*base.columns).unionByName(rows.select(*base.columns))
 
 
+def save_replaced(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """Write rows partitioned by their natural key; partitions the rows do not touch stay as they are."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
 def delete_cascade(gone: DataFrame, jobs: DataFrame, detections: DataFrame, briefs: DataFrame, links: DataFrame) -> dict[str, DataFrame]:
     """What is left of the tables after areas are deleted; scenes are not touched."""
     alive = {"jobs": jobs.join(gone, "aoi_id", "left_anti"), "detections": detections.join(gone, "aoi_id", "left_anti"), "briefs": briefs.join(gone, "aoi_id", "left_anti")}

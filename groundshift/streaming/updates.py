@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from groundshift.operators.articles import article_candidates, fuse_articles
 from groundshift.operators.scenes import select_usable_scene
+from groundshift.operators.store import save_replaced
 
 
 def run_updates(spark: SparkSession, source: str, schema: str, store: str, touched: Callable[[DataFrame], DataFrame], compute: Callable[[DataFrame, DataFrame], DataFrame], files_per_batch: int = 1) -> str:
@@ -29,8 +30,7 @@ def run_updates(spark: SparkSession, source: str, schema: str, store: str, touch
         batch.write.mode("overwrite").parquet(f"{seen}/batch={number}")
         stored = session.read.schema(schema).option("basePath", seen).parquet(f"{seen}/*").drop("batch")
         keys = touched(session.read.schema(schema).parquet(f"{seen}/batch={number}")).select("aoi_id").distinct()
-        rows = compute(stored, keys)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("aoi_id").parquet(result)
+        save_replaced(compute(stored, keys), result, ["aoi_id"])
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{store}/progress").trigger(availableNow=True).start()

@@ -253,3 +253,11 @@ def test_streamed_scenes_equal_the_batch(spark, sf, tmp_path):
     got = updates.stream_scene_selection(spark, str(tmp_path / "in"), schema, str(tmp_path / "state"), requests)
     want = scenes.select_usable_scene(rows, requests)
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_saving_replaces_only_touched_keys(spark, tmp_path):
+    path = str(tmp_path / "t")
+    make = lambda rows: spark.createDataFrame(rows, "id int, k int")
+    store.save_replaced(make([(1, 1), (2, 2)]), path, ["k"])
+    store.save_replaced(make([(3, 2), (4, 3)]), path, ["k"])
+    assert sorted((r["id"], r["k"]) for r in spark.read.parquet(path).collect()) == [(1, 1), (3, 2), (4, 3)]
