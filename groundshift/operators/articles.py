@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundshift.functions.columns import match_stems, match_terms, title_key
+from groundshift.plans.scratch import checked_side
 
 #: Days before, after, and of the longest look-back (fixed values).
 LEAD_DAYS, LAG_DAYS, LOOKBACK_DAYS = 30, 14, 400
@@ -27,12 +28,13 @@ def article_candidates(articles: DataFrame, watches: DataFrame) -> DataFrame:
     """Articles within a watch's window whose full text holds its first place term.
 
     ``watches`` (aoi_id, place_terms, window_start, window_end, ...) is the small side: one row per
-    area under watch. The range join on the time seen is bucketed by month, so it is an equi-join
-    whatever the number of watches. Watches without terms find nothing.
+    area under watch, broadcast up to ``WATCHES_BROADCAST`` of them. The range join on the time
+    seen is bucketed by month, so it is an equi-join whatever their number. Watches without terms
+    find nothing.
     """
     months = F.sequence(F.trunc("window_start", "month"), F.trunc("window_end", "month"), F.expr("interval 1 month"))
     w = watches.where(F.size("place_terms") > 0).select("*", F.explode(months).alias("_month"))
-    met = articles.withColumn("_month", F.trunc("seendate", "month")).join(w, "_month")
+    met = articles.withColumn("_month", F.trunc("seendate", "month")).join(checked_side(w, watches.count(), WATCHES_BROADCAST), "_month")
     return met.where("seendate between window_start and window_end").where(F.contains(F.lower("full_text"), F.lower(F.get("place_terms", 0)))).drop("_month")
 
 
@@ -87,7 +89,7 @@ def fuse_articles(articles: DataFrame, watches: DataFrame, ranks: DataFrame) ->
     """Admitted articles of every watch: candidates, gates, then dedup; with gates and duplicates as meta."""
     passed = article_candidates(articles, watches).withColumn("gate", gate()).where("gate.passed")
     kept = dedupe_articles(passed, ranks)
-    rows = passed.join(kept, ["aoi_id", "article_id"])
+    rows = passed.join(kept.hint("merge"), ["aoi_id", "article_id"])
     return rows.select("aoi_id", "article_id", "url", "title", "domain", "language", "seendate", F.col("gate.toponym").alias("toponym"), F.col("gate.thematic").alias("thematic"), "duplicates")
 
 

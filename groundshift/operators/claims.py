@@ -55,9 +55,9 @@ def linkage_violations(claims: DataFrame, known_detections: DataFrame, known_art
         _violation(rows.where((t == "mixed") & (no_det | no_art)), "mixed_claim_missing_side"),
     ]
     cited = rows.where((t == "observed") | _both()).select(*KEY, F.explode("evidence").alias("id"))
-    parts.append(_violation(cited.join(known_detections, ["brief_id", "id"], "left_anti"), "unknown_evidence_id", F.col("id")))
+    parts.append(_violation(cited.join(known_detections.hint("merge"), ["brief_id", "id"], "left_anti"), "unknown_evidence_id", F.col("id")))
     cited = rows.where(t.isin("reported", "mixed")).select(*KEY, F.explode("article_evidence").alias("id"))
-    parts.append(_violation(cited.join(known_articles, ["brief_id", "id"], "left_anti"), "unknown_article_id", F.col("id")))
+    parts.append(_violation(cited.join(known_articles.hint("merge"), ["brief_id", "id"], "left_anti"), "unknown_article_id", F.col("id")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -75,13 +75,13 @@ def framing_violations(claims: DataFrame) -> DataFrame:
 def linked_areas(claims: DataFrame, known_detections: DataFrame) -> DataFrame:
     """brief_id, seq, linked_area: the sum over the distinct known detections a claim cites."""
     cited = _checkable(claims).where((F.col("claim_type") == "observed") | _both()).select(*KEY, F.explode(F.array_distinct("evidence")).alias("id"))
-    return cited.join(known_detections.select("brief_id", "id", "area_m2").dropDuplicates(["brief_id", "id"]), ["brief_id", "id"]).groupBy(*KEY).agg(F.sum("area_m2").alias("linked_area"))
+    return cited.join(known_detections.select("brief_id", "id", "area_m2").dropDuplicates(["brief_id", "id"]).hint("merge"), ["brief_id", "id"]).groupBy(*KEY).agg(F.sum("area_m2").alias("linked_area"))
 
 
 def area_violations(claims: DataFrame, known_detections: DataFrame) -> DataFrame:
     """Quoted areas more than a tenth off the claim's linked area."""
     quoted = _checkable(claims).select(*KEY, F.explode(area_mentions(F.col("text"))).alias("quoted"))
-    off = quoted.join(linked_areas(claims, known_detections), list(KEY)).where(F.abs(F.col("quoted") - F.col("linked_area")) > AREA_TOLERANCE * F.col("linked_area"))
+    off = quoted.join(linked_areas(claims, known_detections).hint("merge"), list(KEY)).where(F.abs(F.col("quoted") - F.col("linked_area")) > AREA_TOLERANCE * F.col("linked_area"))
     return _violation(off, "area_mismatch", F.round("quoted", 3).cast("decimal(20,3)"))
 
 
@@ -157,7 +157,7 @@ def claims_with_evidence(claims: DataFrame, briefs: DataFrame, links: DataFrame)
     """Claims of validated or stale briefs with their links, sorted, as an array."""
     shown = claims.join(briefs.where("status in ('validated', 'stale')").select("brief_id"), "brief_id", "left_semi")
     nested = links.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.concat_ws(":", "evidence_type", F.coalesce("detection_id", "article_id").cast("string")))).alias("links"))
-    return shown.join(nested, list(KEY), "left").select(*KEY, "claim_type", F.coalesce("links", F.array().cast("array<string>")).alias("links"))
+    return shown.join(nested.hint("merge"), list(KEY), "left").select(*KEY, "claim_type", F.coalesce("links", F.array().cast("array<string>")).alias("links"))
 
 
 def evidence_index(links: DataFrame, detections: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -82,7 +82,7 @@ def polygon_area_check(edges: DataFrame, official: DataFrame) -> DataFrame:
 
 def region_bounds(outline: DataFrame, selected: DataFrame) -> DataFrame:
     """Union bounds of the selected regions of each area; an area without any has no row."""
-    met = outline.join(selected, ["aoi_id", "region_id"], "left_semi")
+    met = outline.join(selected.hint("merge"), ["aoi_id", "region_id"], "left_semi")
     low, high = (lambda a, b: F.min(F.least(a, b))), (lambda a, b: F.max(F.greatest(a, b)))
     return met.groupBy("aoi_id").agg(low("r0", "r1").alias("min_row"), low("c0", "c1").alias("min_col"), high("r0", "r1").alias("max_row"), high("c0", "c1").alias("max_col"))
 
@@ -91,14 +91,14 @@ def region_overlap(labels: DataFrame, cells: DataFrame) -> DataFrame:
     """Per region: shared cells with the area's target, IoU and covered share."""
     target = cells.groupBy("aoi_id").agg(F.count(F.lit(1)).alias("target"))
     on = cells.withColumn("_on", F.lit(1))
-    got = labels.join(on, ["aoi_id", "row", "col"], "left").groupBy("aoi_id", "region_id").agg(F.count(F.lit(1)).alias("own"), F.count("_on").alias("shared")).join(target, "aoi_id")
+    got = labels.join(on.hint("merge"), ["aoi_id", "row", "col"], "left").groupBy("aoi_id", "region_id").agg(F.count(F.lit(1)).alias("own"), F.count("_on").alias("shared")).join(target, "aoi_id")
     return got.select("aoi_id", "region_id", "shared", (F.col("shared") / (F.col("own") + F.col("target") - F.col("shared"))).alias("iou"), (F.col("shared") / F.col("own")).alias("covered"))
 
 
 def intersects_filter(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """aoi_id, region_id of the regions that a polygon meets: by an inner pixel or its boundary."""
     cells = rasterize_polygons(edges).union(touched_cells(edges)).distinct()
-    return labels.join(cells, ["aoi_id", "row", "col"], "left_semi").select("aoi_id", "region_id").distinct()
+    return labels.join(cells.hint("merge"), ["aoi_id", "row", "col"], "left_semi").select("aoi_id", "region_id").distinct()
 
 
 def truth_in_window(edges: DataFrame, windows: DataFrame) -> DataFrame:

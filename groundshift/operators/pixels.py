@@ -76,7 +76,7 @@ def change_maps(pairs: DataFrame, presets=PRESETS) -> DataFrame:
     indices = [m for m in ("ndvi", "ndwi", "ndvi_before", "ndwi_before", "ndvi_after", "ndwi_after") if m in wanted]
     out = maps.select(*pairs.columns, "usable", *indices)
     if "ssim_dissim" in wanted:
-        out = out.join(ssim_dissimilarity(pairs), list(KEY))
+        out = out.join(ssim_dissimilarity(pairs).hint("merge"), list(KEY))
     return out
 
 

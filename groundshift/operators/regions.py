@@ -34,17 +34,17 @@ def region_runs(mask: DataFrame, col: str = "hit") -> DataFrame:
     """
     runs = materialize(row_runs(mask, col).withColumn("region_id", _node(F.col("row"), F.col("lo"))), "runs")
     up = runs.select("aoi_id", (F.col("row") + 1).alias("row"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("region_id").alias("above"))
-    edges = runs.join(up, ["aoi_id", "row"]).where("lo <= hi2 and lo2 <= hi")
+    edges = runs.join(up.hint("merge"), ["aoi_id", "row"]).where("lo <= hi2 and lo2 <= hi")
     span = F.lit(1 << (2 * _BITS))
     wide = lambda c: F.col("aoi_id").cast("long") * span + F.col(c)
     found = connected_components(edges.select(wide("region_id").alias("a"), wide("above").alias("b")))
-    labelled = runs.withColumn("node", wide("region_id")).join(found, "node", "left")
+    labelled = runs.withColumn("node", wide("region_id")).join(found.hint("merge"), "node", "left")
     return labelled.select("aoi_id", "row", "lo", "hi", F.coalesce(F.pmod(F.col("root"), span), F.col("region_id")).alias("region_id"))
 
 
 def connected_regions(mask: DataFrame, col: str = "hit") -> DataFrame:
-    """aoi_id, row, col, region_id of every true pixel."""
-    return region_runs(mask, col).select("aoi_id", "row", F.explode(F.sequence("lo", "hi")).alias("col"), "region_id")
+    """aoi_id, row, col, region_id of every true pixel, as a written table of known size."""
+    return materialize(region_runs(mask, col).select("aoi_id", "row", F.explode(F.sequence("lo", "hi")).alias("col"), "region_id"), "labels")
 
 
 def region_stats(maps: DataFrame, labels: DataFrame, presets=PRESETS, pixel_area: float = PIXEL_M * PIXEL_M) -> DataFrame:
@@ -81,7 +81,7 @@ def region_outline(labels: DataFrame) -> DataFrame:
     side = lambda dr, dc, a, b, x, y: F.struct((r + dr).alias("row"), (c + dc).alias("col"), (r + a).alias("r0"), (c + b).alias("c0"), (r + x).alias("r1"), (c + y).alias("c1"))
     sides = F.array(side(-1, 0, 0, 1, 0, 0), side(1, 0, 1, 0, 1, 1), side(0, -1, 0, 0, 1, 0), side(0, 1, 1, 1, 0, 1))
     each = labels.select("aoi_id", "region_id", F.explode(sides).alias("s")).select("aoi_id", "region_id", "s.*")
-    return each.join(labels, ["aoi_id", "region_id", "row", "col"], "left_anti").select("aoi_id", "region_id", "r0", "c0", "r1", "c1")
+    return each.join(labels.hint("merge"), ["aoi_id", "region_id", "row", "col"], "left_anti").select("aoi_id", "region_id", "r0", "c0", "r1", "c1")
 
 
 def region_rings(outline: DataFrame) -> DataFrame:
@@ -140,9 +140,9 @@ def keep_near_largest(stats: DataFrame, labels: DataFrame, presets=PRESETS, pixe
     anchor = cells.where("place = 1").select("aoi_id", F.col("r").alias("ar"), F.col("c").alias("ac"), F.col("r2").alias("ar2"), F.col("c2").alias("ac2"), "br", "bc", F.explode(near).alias("n"))
     anchor = anchor.select("aoi_id", "ar", "ac", "ar2", "ac2", (F.col("br") + F.col("n.i")).alias("br"), (F.col("bc") + F.col("n.j")).alias("bc"))
     gap = lambda lo, hi, lo2, hi2: F.greatest(F.lit(0), F.col(lo2) - F.col(hi), F.col(lo) - F.col(hi2))
-    met = cells.join(anchor, ["aoi_id", "br", "bc"]).withColumn("d", F.lit(pixel) * F.sqrt(F.pow(gap("r", "r2", "ar", "ar2"), 2) + F.pow(gap("c", "c2", "ac", "ac2"), 2)))
+    met = cells.join(anchor.hint("merge"), ["aoi_id", "br", "bc"]).withColumn("d", F.lit(pixel) * F.sqrt(F.pow(gap("r", "r2", "ar", "ar2"), 2) + F.pow(gap("c", "c2", "ac", "ac2"), 2)))
     close = met.where("d <= radius").select("aoi_id", "region_id").distinct().withColumn("close", F.lit(True))
-    out = ranked.join(close, ["aoi_id", "region_id"], "left").where("radius is null or place = 1 or close")
+    out = ranked.join(close.hint("merge"), ["aoi_id", "region_id"], "left").where("radius is null or place = 1 or close")
     return out.select(*stats.columns)
 
 
@@ -153,7 +153,7 @@ def detect_changes(pairs: DataFrame, presets=PRESETS) -> tuple[DataFrame, DataFr
     """
     maps = materialize(change_maps(pairs, presets), "maps")
     mask = clean_mask(rule_mask(maps, presets).select("aoi_id", "row", "col", "hit"))
-    labels = materialize(connected_regions(mask), "labels")
+    labels = connected_regions(mask)
     large = materialize(min_area_filter(region_stats(maps, labels, presets), presets), "regions")
     kept = keep_near_largest(large, labels.join(large.select("aoi_id", "region_id"), ["aoi_id", "region_id"]), presets)
     types = F.lit(None).cast("string")

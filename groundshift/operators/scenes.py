@@ -38,11 +38,12 @@ def usable_fraction(pixels: DataFrame) -> DataFrame:
 def select_usable_scene(scenes: DataFrame, requests: DataFrame, min_usable: float = MIN_USABLE) -> DataFrame:
     """The scene each request takes: narrowest window first, then least cloud, earliest, id.
 
-    A scene counts in the narrowest window that holds it; scenes under ``min_usable`` are passed over.
+    A scene counts in the narrowest of the ``candidate_windows`` that holds it; scenes under ``min_usable`` are passed over.
     """
-    windows = candidate_windows(requests)
     day = F.to_date("captured_at")
-    met = scenes.join(windows, "aoi_id").where((day >= F.col("start")) & (day <= F.col("end")) & (F.col("usable_fraction") >= min_usable))
+    late = F.greatest(F.datediff(day, F.col("end")), F.lit(0))
+    met = scenes.join(requests.where(F.col("start") <= F.col("end")), "aoi_id").withColumn("step", (F.ceil(late / WIDEN_STEP_DAYS) * WIDEN_STEP_DAYS).cast("int"))
+    met = met.where((day >= F.col("start")) & (F.col("step") <= WIDEN_CAP_DAYS) & (F.col("usable_fraction") >= min_usable))
     order = Window.partitionBy("aoi_id").orderBy("step", "cloud_pct", "captured_at", "scene_id")
     return met.withColumn("place", F.row_number().over(order)).where("place = 1").select("aoi_id", "scene_id", "step", "cloud_pct", "usable_fraction")
 

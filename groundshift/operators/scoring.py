@@ -38,7 +38,7 @@ def micro_average(counts: DataFrame, keys: list[str]) -> DataFrame:
 def emitted_mask(pixels: DataFrame, kept_labels: DataFrame) -> DataFrame:
     """pixels with predicted: the pixel belongs to a region that was emitted."""
     on = kept_labels.select("aoi_id", "row", "col", F.lit(True).alias("_on"))
-    return pixels.join(on, ["aoi_id", "row", "col"], "left").withColumn("predicted", F.coalesce("_on", F.lit(False))).drop("_on")
+    return pixels.join(on.hint("merge"), ["aoi_id", "row", "col"], "left").withColumn("predicted", F.coalesce("_on", F.lit(False))).drop("_on")
 
 
 def threshold_sweep(maps: DataFrame, thresholds: list[float], map_name: str = "ssim_dissim", vertical: int = 0) -> DataFrame:
@@ -69,7 +69,7 @@ def water_sensitivity(pixels: DataFrame, ndwi_floor: float = -0.05, water_class:
 
 def diagnose_detections(pixels: DataFrame, kept_labels: DataFrame) -> DataFrame:
     """Per emitted region: valid pixels, truth pixels and the class of their overlap."""
-    met = kept_labels.join(pixels.select("aoi_id", "row", "col", "truth", "valid"), ["aoi_id", "row", "col"])
+    met = kept_labels.join(pixels.select("aoi_id", "row", "col", "truth", "valid").hint("merge"), ["aoi_id", "row", "col"])
     t, v = F.coalesce("truth", F.lit(False)), F.coalesce("valid", F.lit(False))
     out = met.groupBy("aoi_id", "region_id").agg(F.count_if(v).alias("valid_pixels"), F.count_if(t & v).alias("truth_pixels"))
     kind = F.when(F.col("valid_pixels") == 0, "no_valid_pixels").when(F.col("truth_pixels") == 0, "zero_truth_overlap").when(F.col("truth_pixels") == F.col("valid_pixels"), "full_truth_overlap").otherwise("partial_truth_overlap")

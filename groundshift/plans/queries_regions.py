@@ -91,7 +91,7 @@ def _clean(spark, sf_dir):
 
 
 def _labels(spark, sf_dir):
-    return G.materialize(G.connected_regions(_clean(spark, sf_dir)), "labels")
+    return G.connected_regions(_clean(spark, sf_dir))
 
 
 @query(duck(f"select aoi_id, row, col, case when {_OK} then red1 end red1, case when {_OK} then nir1 end nir1 from pixels", "pixels"))

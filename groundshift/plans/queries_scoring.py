@@ -75,7 +75,7 @@ def threshold_sweep(spark, sf_dir):
     place = F.array_position(F.array(*map(F.lit, THRESHOLDS)), F.col("threshold")).cast("int")
     wide = (F.col("aoi_id") * 100 + place).alias("aoi_id")
     masks = G.materialize(S.threshold_sweep(maps, list(THRESHOLDS)).select(wide, "row", "col", "hit", F.col("aoi_id").alias("own"), "threshold"), "sweep")
-    labels = G.materialize(G.connected_regions(masks), "sweep-labels")
+    labels = G.connected_regions(masks)
     stats = labels.groupBy("aoi_id", "region_id").agg(F.lit(0).alias("vertical"), (F.count(F.lit(1)) * 100.0).alias("area_m2"))
     large = G.materialize(G.min_area_filter(stats), "sweep-large")
     kept = G.keep_near_largest(large, labels.join(large.select("aoi_id", "region_id"), ["aoi_id", "region_id"]))
@@ -244,7 +244,7 @@ def polygon_area_check(spark, sf_dir):
 
 @query(duck("select aoi_id, min(l.row) min_row, min(l.col) min_col, max(l.row) + 1 max_row, max(l.col) + 1 max_col from lab l where region_id % 2 = 1 group by aoi_id", "pixels", extra=LABELS))
 def region_bounds(spark, sf_dir):
-    labels = G.materialize(G.connected_regions(P.clean_mask(P.rule_mask(P.change_maps(_pixels(spark, sf_dir))).select("aoi_id", "row", "col", "hit"))), "labels")
+    labels = G.connected_regions(P.clean_mask(P.rule_mask(P.change_maps(_pixels(spark, sf_dir))).select("aoi_id", "row", "col", "hit")))
     return M.region_bounds(G.region_outline(labels), labels.where("region_id % 2 = 1").select("aoi_id", "region_id").distinct())
 
 
