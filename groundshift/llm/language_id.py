@@ -24,7 +24,7 @@ from .shingles import chunks
 TRAIN_DOCS = 20_000
 MIN_SHARE = 2e-5
 #: Scored words that a Python worker remembers; beyond it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 NGRAMS = (4, 3, 2, 1)
 SMOOTH = 0.5
 UNDETERMINED = "und"

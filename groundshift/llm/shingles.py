@@ -11,7 +11,7 @@ import numpy as np
 
 WIDTH = 5
 #: Bytes of text handled at once; a longer text is handled alone.
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)

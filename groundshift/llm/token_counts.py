@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 TOKEN_LIMIT = 2048
 #: Distinct pre-tokens whose counts a Python worker remembers; beyond it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -155,7 +155,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = TOKEN_LIMIT) ->
 
     ``vocabulary`` is the path of the vocabulary file on every executor. Null and empty texts have
     no bytes and no tokens; a null doc_id is carried along, repeated rows stay, other columns are
-    ignored, an empty table gives an empty result. Texts run through in slices of about two
+    ignored, an empty table gives an empty result. Texts run through in slices of about half a
     million characters; a longer text is a slice of its own. There is no shuffle.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
