@@ -7,72 +7,131 @@ posterior of a document's pattern then is the soft label on which a hashed linea
 
 from __future__ import annotations
 
-from functools import reduce
+import functools
+import unicodedata
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .shingles import chunks, mix
 
-#: The scorer is fitted on about this many documents, chosen by a hash of the text.
-TRAIN_DOCS = 20_000
+#: The scorer is fitted, in one task, on about this many documents, chosen by a hash of the text.
+TRAIN_DOCS = 10_000
 FEATURES = 1 << 14
-ITERATIONS = 30
+ITERATIONS = 150
+RIDGE = 1e-4
 KEEP_SCORE = 0.5
 EM_ROUNDS = 100
 #: Labellers are built to be precise: at least this share of their votes on good documents is good.
 LEAST_ACCURACY = 0.995
 GOOD, BAD, ABSTAIN = 1, -1, 0
-
-
-def _share(part: Column, whole: Column) -> Column:
-    return part / F.greatest(whole, F.lit(1))
-
-
-def _vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN)
-
-
-def _signals(text: Column) -> dict[str, Column]:
-    left = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
-    return {
-        "n_chars": F.length(text), "tokens": F.filter(F.split(text, r"\s+"), lambda w: w != ""), "n_symbols": left(r"[\p{L}\p{M}\p{N}\s.,;:'’\-]"),
-        "n_marks": F.regexp_count(text, F.lit(r"[^\p{L}\p{M}\p{N}\s.,;:'’\-]+")), "n_upper": left(r"[^\p{Lu}]"), "n_stops": left(r"[^.?]"), "n_shouts": F.regexp_count(text, F.lit("!+")),
-    }
-
-
-def _rates(name: str, of: str, bad: float, good: float = -1.0) -> Column:
-    """Bad above one rate, good below another (if given), for texts of 20 words or more."""
-    rate = _share(F.col(name), F.col(of))
-    return _vote((F.col("n_tokens") >= 20) & (rate > bad), (F.col("n_tokens") >= 20) & (rate < good))
-
-
-#: Labellers over the signals of a text; each returns one of GOOD, BAD, ABSTAIN.
-LABELLERS = {
-    "varied": lambda: _vote((F.col("n_tokens") >= 20) & (F.col("variety") < 0.72), (F.col("n_tokens") >= 20) & (F.col("variety") > 0.80)),
-    "repeats": lambda: _rates("n_repeats", "n_tokens", 0.2, 0.08),
-    "symbols": lambda: _rates("n_symbols", "n_chars", 0.05, 0.01),
-    "marks": lambda: _rates("n_marks", "n_tokens", 0.2),
-    "capitals": lambda: _rates("n_upper", "n_chars", 0.15, 0.08),
-    "shouts": lambda: _rates("n_shouts", "n_tokens", 0.2),
-    "stops": lambda: _vote((F.col("n_tokens") >= 40) & (_share(F.col("n_stops"), F.col("n_tokens")) < 0.01), (F.col("n_tokens") >= 20) & _share(F.col("n_stops"), F.col("n_tokens")).between(0.03, 0.3)),
+LEAST_TOKENS = 20
+#: Labeller: signal, what it is a share of, bad above, good below (None: votes bad only).
+RATES = {
+    "repeats": ("repeats", "tokens", 0.2, 0.08),
+    "symbols": ("symbols", "chars", 0.05, 0.01),
+    "marks": ("marks", "tokens", 0.2, None),
+    "capitals": ("capitals", "chars", 0.15, 0.08),
+    "shouts": ("shouts", "tokens", 0.2, None),
 }
+LABELLERS = ("variety", *RATES, "stops")
+
+_SPACE, _UPPER, _LOWER, _DIGIT, _PLAIN, _STOP, _SHOUT, _SYMBOL = range(8)
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+@functools.cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Class and lower case of every code point."""
+    kind, low = np.full(0x110000, _SYMBOL, dtype=np.uint8), np.arange(0x110000, dtype=np.uint32)
+    for cp in range(0x30000):
+        c = chr(cp)
+        category = unicodedata.category(c)
+        if c.isspace():
+            kind[cp] = _SPACE
+        elif category == "Lu":
+            kind[cp] = _UPPER
+        elif category[0] in "LM":
+            kind[cp] = _LOWER
+        elif category[0] == "N":
+            kind[cp] = _DIGIT
+        elif c in ".?":
+            kind[cp] = _STOP
+        elif c in ",;:'’-":
+            kind[cp] = _PLAIN
+        elif c == "!":
+            kind[cp] = _SHOUT
+        small = c.lower()
+        if len(small) == 1:
+            low[cp] = ord(small)
+    return kind, low
+
+
+def _run_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each slice of ``values``."""
+    n = len(values)
+    steps = lambda base: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, dtype=np.uint64))), dtype=np.uint64)
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((values.astype(np.uint64) + np.uint64(1)) * steps(_BASE)[:n], dtype=np.uint64)))
+    return mix((sums[end] - sums[start]) * steps(_INVERSE)[start])
+
+
+def signals(texts: list[str | None]) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
+    """Signals of each text, and the hashed features of each (with repeats, before counting)."""
+    kind_of, low_of = _tables()
+    parts = [t or "" for t in texts]
+    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    cp = np.frombuffer(" ".join([*parts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    at = np.concatenate(([0], np.cumsum(sizes + 1)))
+    kind = kind_of[cp]
+
+    def count(mask: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(mask)))
+        return total[at[1:]] - total[at[:-1]]
+
+    def runs(mask: np.ndarray) -> np.ndarray:
+        return mask & ~np.concatenate(([False], mask[:-1]))
+
+    symbol = kind >= _SHOUT
+    word = kind != _SPACE
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False]))))
+    first, last = edge[::2], edge[1::2]
+    tokens = _run_hashes(low_of[cp], first, last)
+    # shapes: runs of capitals, small letters and digits as one sign each, other characters as they are
+    sign = np.where(kind == _UPPER, np.uint32(1), np.where(kind == _LOWER, np.uint32(2), np.where(kind == _DIGIT, np.uint32(3), cp + np.uint32(16))))
+    new = np.concatenate(([True], sign[1:] != sign[:-1])) & word
+    new[first] = True
+    place = np.concatenate(([0], np.cumsum(new)))
+    shapes = _run_hashes(sign[new], place[first], place[last])
+    begin, end = np.searchsorted(first, at[:-1]), np.searchsorted(first, at[1:])
+    again = np.concatenate(([False], tokens[1:] == tokens[:-1]))
+    again[begin[begin < len(again)]] = False
+    total = np.concatenate(([0], np.cumsum(again)))
+    n_tokens, repeats = end - begin, total[end] - total[begin]
+    places = (tokens % np.uint64(FEATURES)).astype(np.int64), (mix(shapes) % np.uint64(FEATURES)).astype(np.int64)
+    distinct = np.fromiter((len(np.unique(tokens[a:b])) for a, b in zip(begin, end, strict=True)), dtype=np.int64, count=len(parts))
+    out = {
+        "chars": sizes, "tokens": n_tokens, "repeats": repeats, "symbols": count(symbol), "marks": count(runs(symbol)), "capitals": count(kind == _UPPER), "shouts": count(runs(kind == _SHOUT)),
+        "stops": count(kind == _STOP), "variety": np.log(distinct + 1.0) / np.log(np.maximum(n_tokens, 1) + 1.0),
+    }
+    features = [np.concatenate((places[0][a:b], places[1][a:b], np.zeros(r, dtype=np.int64))) for a, b, r in zip(begin, end, repeats, strict=True)]
+    return out, features
 
 
-def votes(docs: DataFrame) -> DataFrame:
-    """doc_id, tokens, votes (array of one vote per labeller in order of LABELLERS)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(k) for k, c in _signals(text).items()])
-    words = F.transform("tokens", lambda w: F.lower(w))
-    rows = rows.withColumn("words", words).withColumn("n_tokens", F.size("tokens"))
-    rows = rows.withColumn("variety", F.log(F.size(F.array_distinct("words")) + F.lit(1.0)) / F.log(F.greatest(F.col("n_tokens"), F.lit(1)) + F.lit(1.0)))
-    same = F.zip_with(F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: a == b)
-    rows = rows.withColumn("n_repeats", F.size(F.filter(same, lambda x: x)))
-    return rows.select("doc_id", "tokens", "n_repeats", F.array(*[v() for v in LABELLERS.values()]).alias("votes"))
+def votes(s: dict[str, np.ndarray]) -> np.ndarray:
+    """(texts, labellers) votes in order of LABELLERS; texts under LEAST_TOKENS words get none."""
+    enough = s["tokens"] >= LEAST_TOKENS
+    vote = lambda bad, good: np.where(enough & bad, BAD, np.where(enough & good, GOOD, ABSTAIN))
+    columns = [vote(s["variety"] < 0.72, s["variety"] > 0.80)]
+    for signal, whole, bad, good in RATES.values():
+        rate = s[signal] / np.maximum(s[whole], 1)
+        columns.append(vote(rate > bad, rate < good if good is not None else np.zeros(len(rate), dtype=bool)))
+    rate = s["stops"] / np.maximum(s["tokens"], 1)
+    columns.append(vote((rate < 0.01) & (s["tokens"] >= 2 * LEAST_TOKENS), (rate >= 0.03) & (rate <= 0.3)))
+    return np.stack(columns, axis=1).astype(np.int32)
 
 
 def fit_votes(patterns: list[list[int]], counts: list[int], rounds: int = EM_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -100,41 +159,95 @@ def fit_votes(patterns: list[list[int]], counts: list[int], rounds: int = EM_ROU
     return post, rate
 
 
-def _features() -> Column:
-    """Words and their shapes (runs of capitals, small letters and digits as A, a and 0), hashed later."""
-    shape = lambda w: F.concat(F.lit("shape:"), F.regexp_replace(F.regexp_replace(F.regexp_replace(w, r"\p{Lu}+", "A"), r"[\p{L}\p{M}&&[^\p{Lu}]]+", "a"), r"\p{N}+", "0"))
-    return F.concat(F.transform("tokens", lambda w: F.lower(w)), F.transform("tokens", shape), F.array_repeat(F.lit("repeat:"), F.col("n_repeats")))
+def _unit_counts(features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features with their counts, scaled to length one."""
+    place, n = np.unique(features, return_counts=True)
+    return place, n / max(float(np.sqrt((n.astype(float) ** 2).sum())), 1.0)
+
 
+def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, features: int = FEATURES) -> np.ndarray:
+    """Weights and, last, the intercept of a ridge logistic regression on soft labels.
 
-def score_documents(docs: DataFrame, train_docs: int = TRAIN_DOCS, features: int = FEATURES) -> DataFrame:
+    Accelerated gradient descent; features have length one, so a step of 4 keeps within the curvature of 1/4 and the ridge.
+    """
+    size = np.array([len(p) for p, _ in rows], dtype=np.int64)
+    full = np.flatnonzero(size)
+    place, value = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
+    row, starts = np.repeat(np.arange(len(rows)), size), (np.cumsum(size) - size)[full]
+    w = look = np.zeros(features + 1)
+    for step in range(ITERATIONS):
+        z = np.full(len(rows), look[-1])
+        if len(full):
+            z[full] += np.add.reduceat(look[place] * value, starts)
+        off = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target) / len(rows)
+        slope = np.append(np.bincount(place, off[row] * value, features), off.sum()) + RIDGE * look
+        moved = look - 4.0 * slope
+        look, w = moved + step / (step + 3) * (moved - w), moved
+    return w
+
+
+_PROFILE = "doc_id long, votes array<int>, sampled boolean, place array<int>, value array<double>"
+_SCORED = "doc_id long, votes array<int>, posterior double, score double, keep boolean"
+
+
+def _profile(batches):
+    schema = pa.schema([("doc_id", pa.int64()), ("votes", pa.list_(pa.int32())), ("sampled", pa.bool_()), ("place", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))])
+    for batch in batches:
+        texts, sampled = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        for a, b in chunks(texts):
+            s, features = signals(texts[a:b])
+            units = [_unit_counts(f) if take else ((), ()) for f, take in zip(features, sampled[a:b], strict=True)]
+            columns = [batch.column(0).slice(a, b - a), pa.array(list(votes(s)), pa.list_(pa.int32())), batch.column(2).slice(a, b - a), pa.array([u[0] for u in units], pa.list_(pa.int32())), pa.array([u[1] for u in units], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def score_documents(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """Quality of every document: doc_id, votes, posterior, score, keep.
 
-    ``posterior`` is the label model's chance that a document with these votes is good, ``score``
-    the linear scorer's (0 to 1), ``keep`` whether it is at least ``KEEP_SCORE``. Texts count
-    whole. Null and empty texts have no words: all labellers abstain, and they are
-    never kept. A null doc_id is carried along; repeated rows stay and score alike; other columns are
-    ignored; an empty table gives an empty result. The driver sees the counts of vote patterns, at
-    most 3 to the number of labellers; the scorer is fitted on a sample of about ``train_docs``.
+    ``votes`` has one vote per labeller in order of LABELLERS, ``posterior`` is the label model's
+    chance that a document with these votes is good, ``score`` the linear scorer's (0 to 1),
+    ``keep`` whether it is at least ``KEEP_SCORE``. Texts count whole. Null and empty texts have no
+    words: all labellers abstain, the score is 0 and they are never kept. A null doc_id is carried
+    along; repeated rows stay and score alike; other columns are ignored; an empty table gives an
+    empty result. The driver sees the counts of vote patterns, at most 3 to the number of
+    labellers, and the scorer's weights; the scorer is fitted on about ``train_docs`` documents.
     """
-    voted = votes(docs)
-    counted = voted.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
-    empty = docs.select(F.col("doc_id").cast("long").alias("doc_id")).limit(0)
-    if not counted:
-        return empty.selectExpr("doc_id", "array(0) as votes", "0.0D as posterior", "0.0D as score", "false as keep")
-    post, _ = fit_votes([r["votes"] for r in counted], [r["n"] for r in counted])
-    total = sum(r["n"] for r in counted)
-    code = reduce(lambda c, i: c * 3 + (F.col("votes")[i] + 1), range(len(LABELLERS)), F.lit(0))
-    table = [0.5] * 3 ** len(LABELLERS)
-    for r, p in zip(counted, post, strict=True):
-        table[reduce(lambda c, v: c * 3 + v + 1, r["votes"], 0)] = float(p)
-    posterior = F.get(F.lit(table), code)
-    hashed = HashingTF(inputCol="features", outputCol="counts", numFeatures=features)
-    unit = Normalizer(inputCol="counts", outputCol="vector")
-    vectors = lambda rows: unit.transform(hashed.transform(rows))
-    rows = voted.withColumn("posterior", posterior).withColumn("features", _features())
-    sample = rows if total <= train_docs else rows.where(F.pmod(F.xxhash64("tokens"), F.lit(1_000_000)) < int(1_000_000 * train_docs / total))
-    sample = materialize(vectors(sample).select("vector", "posterior"), "quality-train")
-    soft = sample.select("vector", F.lit(1.0).alias("label"), F.col("posterior").alias("w")).union(sample.select("vector", F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("w"))).where("w > 0.001")
-    model = LogisticRegression(featuresCol="vector", labelCol="label", weightCol="w", maxIter=ITERATIONS, regParam=1e-4).fit(soft)
-    scored = model.transform(vectors(rows)).withColumn("score", F.when(F.size("tokens") > 0, vector_to_array("probability")[1] if model.numClasses > 1 else F.col("posterior")).otherwise(F.lit(0.0)))
-    return scored.select("doc_id", "votes", "posterior", "score", (F.col("score") >= KEEP_SCORE).alias("keep"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n = source.count()
+    cut = 1_000_000 if n <= train_docs else int(1_000_000 * train_docs / n)
+    sampled = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1_000_000)) < cut
+    profiles = materialize(source.select("doc_id", "text", sampled.alias("sampled")).mapInArrow(_profile, _PROFILE), "quality-profiles")
+    counted = profiles.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
+    posterior: dict[tuple, float] = {}
+    if counted:
+        post, _ = fit_votes([r["votes"] for r in counted], [r["n"] for r in counted])
+        posterior = {tuple(r["votes"]): float(p) for r, p in zip(counted, post, strict=True)}
+
+    def fit(batches):
+        rows, target = [], []
+        for batch in batches:
+            for vote, place, value in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                rows.append((np.array(place, dtype=np.int64), np.array(value)))
+                target.append(posterior[tuple(vote)])
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(fit_scorer(rows, np.array(target)))], names=["w"])
+
+    sample = profiles.where("sampled").select("votes", "place", "value").coalesce(1).mapInArrow(fit, "w double")
+    weights = sample.toArrow().column("w").to_numpy() if counted else np.zeros(0)
+    weights = weights if len(weights) else np.zeros(FEATURES + 1)
+    shared = docs.sparkSession.sparkContext.broadcast((posterior, weights))
+
+    def score(batches):
+        schema = pa.schema([("doc_id", pa.int64()), ("votes", pa.list_(pa.int32())), ("posterior", pa.float64()), ("score", pa.float64()), ("keep", pa.bool_())])
+        known, w = shared.value
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in chunks(texts):
+                s, features = signals(texts[a:b])
+                voted = votes(s)
+                z = np.array([w[-1] + float(w[p] @ v) for p, v in map(_unit_counts, features)])
+                points = np.where(s["tokens"] > 0, 1 / (1 + np.exp(-np.clip(z, -50, 50))), 0.0)
+                columns = [batch.column(0).slice(a, b - a), pa.array(list(voted), pa.list_(pa.int32())), pa.array([known[tuple(v)] for v in voted.tolist()], pa.float64()), pa.array(points), pa.array(points >= KEEP_SCORE)]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return source.mapInArrow(score, _SCORED)
