@@ -16,7 +16,8 @@ from .common import materialize
 
 BITS = 128
 TERM_WORDS = 3
-#: Ranges of ids between which the order of documents is found; each range is one window group.
+#: Least number of ranges of ids; each range is one window group. With many shuffle partitions there
+#: are four ranges to a partition, so that groups do not grow with the data.
 ID_RANGES = 1024
 _PAIR = 0x0000000100000001
 _SEEDS = (0, 1)
@@ -89,7 +90,7 @@ def _range_of(doc_id: Column, bounds: list[int]) -> Column:
     return F.when(doc_id.isNull(), F.lit(0)).otherwise(at * step + within)
 
 
-def with_next(docs: DataFrame, ranges: int = ID_RANGES) -> DataFrame:
+def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """rng, rn, ghost, doc_id, text, next_text; next in descending doc_id, the first after the last.
 
     Ids are cut into ranges at quantiles that occur as ids, so each range is one window group of
@@ -98,6 +99,7 @@ def with_next(docs: DataFrame, ranges: int = ID_RANGES) -> DataFrame:
     result so that callers can look ahead once more.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ranges = ranges or max(ID_RANGES, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bounds = _id_bounds(src.select("doc_id"), ranges)
     if not bounds:
         bounds = [0]
