@@ -57,7 +57,7 @@ def labelled(src, name="lab", keys="aoi_id"):
 {name}_e as (select {keys}, a, b from {name}_e0 union all select {keys}, b, a from {name}_e0),
 {name}_reach as (select {keys}, node, node root from {name}_runs union select r.* replace (e.b as node) from {name}_reach r join {name}_e e on {' and '.join(f'r.{k} = e.{k}' for k in keys.split(', '))} and r.node = e.a where e.b > r.root),
 {name}_root as (select {keys}, node, min(root) region_id from {name}_reach group by all),
-{name} as (select r.*, q.region_id from (select {keys}, row, node, unnest(range(lo, hi + 1)) col from {name}_runs) r join {name}_root q on {' and '.join(f'r.{k} = q.{k}' for k in keys.split(', '))} and r.node = q.node)"""
+{name} as (select r.*, q.region_id from (select {keys}, row, node, cast(unnest(range(lo, hi + 1)) as int) col from {name}_runs) r join {name}_root q on {' and '.join(f'r.{k} = q.{k}' for k in keys.split(', '))} and r.node = q.node)"""
 
 
 STATS = """stats as (select l.aoi_id, l.region_id, any_value(vertical) vertical, count(*) n_pixels, count(*) * 100.0::double area_m2,
