@@ -6,8 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from groundshift.plans.scratch import checked_side, materialize, scratch_dir
 
-__all__ = ["checked_side", "materialize", "scratch_dir", "table"]
+__all__ = ["checked_side", "materialize", "scratch_dir", "small_batches", "table"]
+
+#: Rows of an Arrow batch that become Python objects at once.
+SLICE_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_batches(batches):
+    """The batches in slices, so that a worker holds the Python strings of few rows at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)

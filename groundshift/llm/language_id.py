@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 from .shingles import chunks
 
 #: Bounds of the model. The training sample is chosen by a hash of the text and holds about this
@@ -151,7 +151,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches):
         local = Model(*shared.value)
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch.column(2).to_pylist()
             found = [one for a, b in chunks(texts) for one in local.predict(texts[a:b])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], schema=schema)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 MIN_WORDS = 5
 #: Separators of units; a unit's span reaches to the start of the next.
@@ -61,7 +61,7 @@ def _unit_rows(unit: str, min_words: int):
     schema = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen = set()
@@ -73,7 +73,7 @@ def _unit_rows(unit: str, min_words: int):
                     for column, value in zip(rows, (doc_id, *((None, None) if d in seen else d), start, end), strict=True):
                         column.append(value)
                     seen.add(d)
-                if len(rows[0]) > 200_000:
+                if len(rows[0]) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
                     rows = ([], [], [], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
@@ -117,7 +117,7 @@ def _kept_pieces(text: str | None, removed) -> tuple[list[dict], list[dict]]:
 def _cut(batches):
     """(doc_id, text, removed) to the rows of _CUT."""
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
+    for batch in small_batches(batches):
         texts = batch.column(1).to_pylist()
         pieces = [_kept_pieces(t, r) for t, r in zip(texts, batch.column(2).to_pylist(), strict=True)]
         columns = [
@@ -156,7 +156,7 @@ def cut_documents(docs: DataFrame, unit: str = NESTED, min_words: int = MIN_WORD
     names = docs.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             columns = dict(zip(names, batch.columns, strict=False))
             texts, cut = columns["text"].to_pylist(), []
             for text, removed in zip(texts, batch.column(len(names)).to_pylist(), strict=True):
