@@ -2,6 +2,7 @@
 
 from . import queries_articles, queries_claims, queries_regions, queries_scenes, queries_scoring, queries_store  # noqa: F401
 from . import queries_streams  # noqa: F401  after the others: it shares their SQL
+from . import queries_whole  # noqa: F401  last: it repeats queries of the others
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

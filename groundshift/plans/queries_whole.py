@@ -1,0 +1,31 @@
+"""The queries on claims and articles once more, over whole texts.
+
+The SQL of the queries they repeat reads claims of 60 characters and titles of 120. These read the
+whole turn and the whole first sentence, in Spark and in DuckDB.
+"""
+
+from __future__ import annotations
+
+from groundshift.sources.fixtures import TABLES, WHOLE, whole_texts
+
+from .registry import ORACLES, QUERIES
+
+
+def _over_whole_texts(fn):
+    def run(spark, sf_dir):
+        token = whole_texts.set(True)
+        try:
+            return fn(spark, sf_dir)
+        finally:
+            whole_texts.reset(token)
+
+    return run
+
+
+for _name, _sql in list(ORACLES.items()):
+    _whole = _sql
+    for _table in WHOLE:
+        _whole = _whole.replace(TABLES[_table][2], WHOLE[_table][2])
+    if _whole != _sql:
+        QUERIES[f"whole_{_name}"] = _over_whole_texts(QUERIES[_name])
+        ORACLES[f"whole_{_name}"] = _whole

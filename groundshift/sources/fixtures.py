@@ -6,6 +6,8 @@ operator and its SQL check start from equal rows.
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Digital numbers of land covers: red, green, blue, nir (fixed values of the test scenes).
@@ -125,11 +127,16 @@ TABLES = {
     "claims": (["conversations"], CLAIMS_SPARK, CLAIMS_DUCK),
     "briefs": (["conversations"], BRIEFS_SPARK, BRIEFS_DUCK),
 }
+#: The tables above whose texts are cut, with the whole turn and the whole first sentence instead.
+WHOLE = {name: (TABLES[name][0], *(q.replace(cut, uncut) for q in TABLES[name][1:])) for name, cut, uncut in (
+    ("claims", "left(text, 60)", "text"), ("articles", "left(split_part(text, '.', 1), 120)", "split_part(text, '.', 1)"))}
+#: Whether ``table`` reads the tables of ``WHOLE`` (see plans/queries_whole.py).
+whole_texts: ContextVar[bool] = ContextVar("whole_texts", default=False)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of ``TABLES`` over the tables in ``sf_dir``."""
-    bases, query, _ = TABLES[name]
+    bases, query, _ = (TABLES | WHOLE if whole_texts.get() else TABLES)[name]
     return spark.sql(query.replace(f"from {bases[0]}", "from {base}"), base=read(spark, sf_dir, bases[0]))
 
 
