@@ -30,6 +30,13 @@ SMOOTH = 0.5
 UNDETERMINED = "und"
 #: Score below which the filter rejects a document.
 MIN_SCORE = 0.5
+#: A word speaks for the languages in which it is at most this many times rarer than in its own.
+RARER = 20
+#: The score is MIN_SCORE where this share of the way from words of other languages to words of its
+#: own is covered: a document with fewer words of one language than that is rejected. The ends of the
+#: way are medians over one in CALIBRATION of the training sample, which the frequencies leave out.
+COVERED = 0.65
+CALIBRATION = 10
 _WORD = r"\p{L}[\p{L}\p{M}]*"
 
 
@@ -37,26 +44,31 @@ _WORD = r"\p{L}[\p{L}\p{M}]*"
 class Model:
     """Log frequencies in each language of known words (length 0) and n-grams (their length).
 
-    ``index[k]`` gives a word's or n-gram's row in ``logs[k]``, which has a column per language.
+    ``index[k]`` gives a word's or n-gram's row in ``logs[k]``, which has a column per language, and in
+    ``speaks[k]``, whether it speaks for each. ``least`` is the evidence a word at which the score is MIN_SCORE.
     """
 
     languages: list[str]
     index: dict[int, dict[str, int]]
     logs: dict[int, np.ndarray]
+    speaks: dict[int, np.ndarray]
+    least: float = MIN_SCORE
 
     def __post_init__(self):
         self.forget()
 
     def forget(self) -> None:
         self.known = dict(self.index[0])
-        self.scores = self.logs[0]
+        self.scores = np.concatenate((self.logs[0], self.speaks[0]), axis=1)
 
     def _back_off(self, words: list[str]) -> np.ndarray:
-        """Mean log frequency of each word's n-grams of the greatest length that has known ones."""
-        out = np.zeros((len(words), len(self.languages)))
+        """Mean log frequency of each word's n-grams of the greatest length that has known ones, then
+        the share of its n-grams of the greatest length that it has that speaks for each language."""
+        width = len(self.languages)
+        out = np.zeros((len(words), 2 * width))
         todo = list(range(len(words)))
         for n in NGRAMS:
-            get, rows, sizes, done, rest = self.index[n].get, [], [], [], []
+            get, rows, sizes, done, rest, pieces = self.index[n].get, [], [], [], [], []
             for i in todo:
                 w = f" {words[i]} "
                 hits = [r for j in range(len(w) - n + 1) if (r := get(w[j : j + n])) is not None]
@@ -64,16 +76,21 @@ class Model:
                     rows += hits
                     sizes.append(len(hits))
                     done.append(i)
+                    pieces.append(len(w) - n + 1 if n == min(len(w), NGRAMS[0]) else 0)
                 else:
                     rest.append(i)
             if done:
                 size = np.array(sizes)
-                out[done] = np.add.reduceat(self.logs[n][rows], np.cumsum(size) - size) / size[:, None]
+                starts = np.cumsum(size) - size
+                out[done, :width] = np.add.reduceat(self.logs[n][rows], starts) / size[:, None]
+                whole = np.array(pieces)[:, None]  # none where only shorter n-grams are known
+                share = np.add.reduceat(self.speaks[n][rows].astype(float), starts) / np.maximum(whole, 1)
+                out[done, width:] = np.where(whole > 0, share, 0)
             todo = rest
         return out
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Most likely language and its share of the likelihood; und and 0 without letters."""
+    def evidence(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """Summed log frequency in each language, then the mean share of a word that speaks for each."""
         split = [regex.findall(_WORD, (t or "").lower()) for t in texts]
         if len(self.known) > CACHE_WORDS + len(self.index[0]):
             self.forget()
@@ -84,12 +101,28 @@ class Model:
         get, out = self.known.__getitem__, []
         for words in split:
             if not words or not self.languages:
-                out.append((UNDETERMINED, 0.0))
+                out.append(None)
                 continue
             total = self.scores[np.fromiter(map(get, words), dtype=np.int64, count=len(words))].sum(axis=0)
-            share = np.exp(total - total.max())
+            total[len(self.languages) :] /= len(words)
+            out.append(total)
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Most likely language and a score; und and 0 without letters.
+
+        The score is the lesser of the language's share of the likelihood and of what its words
+        speak for it, where ``least`` a word is MIN_SCORE, 0 is 0, 1 is 1, and lines lie between.
+        """
+        out, width = [], len(self.languages)
+        for total in self.evidence(texts):
+            if total is None:
+                out.append((UNDETERMINED, 0.0))
+                continue
+            share = np.exp(total[:width] - total[:width].max())
             best = int(share.argmax())
-            out.append((self.languages[best], float(share[best] / share.sum())))
+            spoken = float(np.interp(total[width + best], (0.0, self.least, 1.0), (0.0, MIN_SCORE, 1.0)))
+            out.append((self.languages[best], min(float(share[best] / share.sum()), spoken)))
         return out
 
 
@@ -101,12 +134,15 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_share: float = MIN_
     """Fit a model on documents with a language that are not held out, by text and lang alone.
 
     The sample is bounded by ``train_docs`` (in expectation, by a hash of the text), the model by
-    ``min_share``; the driver holds the model.
+    ``min_share``; the driver holds the model. One document in ``CALIBRATION`` of the sample, chosen
+    by a hash of the text, gives no frequencies but the least evidence a word of a clean document.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("text", "lang")
     n = labelled.count()
     if n > train_docs:
         labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * train_docs / n))
+    apart = F.pmod(F.xxhash64(F.lit("calibration"), "text"), F.lit(CALIBRATION)) == 0
+    labelled, aside = labelled.where(~apart), labelled.where(apart)
     found = F.coalesce(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)), F.array().cast("array<string>"))
     words = labelled.select("lang", F.explode(found).alias("g")).groupBy("lang", "g").agg(F.count(F.lit(1)).alias("n"))
     words = materialize(words, "lang-words")
@@ -118,7 +154,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_share: float = MIN_
     languages = sorted({lang for lang, _ in totals})
     kinds = (0, *NGRAMS)
     sums = {k: np.array([float(totals.get((lang, k), 0)) for lang in languages]) for k in kinds}
-    index, logs = {k: {} for k in kinds}, {k: np.zeros((0, len(languages))) for k in kinds}
+    index, logs, speaks = {k: {} for k in kinds}, {k: np.zeros((0, len(languages))) for k in kinds}, {k: np.zeros((0, len(languages)), bool) for k in kinds}
     if languages:
         share = every.groupBy("k", "g").pivot("lang", languages).agg(F.sum("n"))
         often = [F.coalesce(F.col(f"`{lang}`"), F.lit(0)) >= F.greatest(F.lit(1.0), F.element_at(F.create_map(*[x for k in kinds for x in (F.lit(k), F.lit(min_share * float(totals.get((lang, k), 0))))]), F.col("k"))) for lang in languages]
@@ -132,7 +168,36 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_share: float = MIN_
             rows = np.flatnonzero(ks == k)
             index[k] = {gs[r]: i for i, r in enumerate(rows)}
             logs[k] = np.log((counts[rows] + SMOOTH) / (sums[k] + SMOOTH * (len(rows) + 1)))
-    return Model(languages, index, logs)
+            speaks[k] = (counts[rows] > 0) & (logs[k] >= logs[k].max(axis=1, keepdims=True, initial=-np.inf) - np.log(RARER))
+    model = Model(languages, index, logs, speaks)
+    model.least = _least_evidence(model, aside) or model.least
+    return model
+
+
+_EVIDENCE = "own double, other double"
+
+
+def _least_evidence(model: Model, aside: DataFrame) -> float | None:
+    """Evidence a word that is ``COVERED`` of the way from other languages to the own; null without documents."""
+    shared = aside.sparkSession.sparkContext.broadcast((model.languages, model.index, model.logs, model.speaks))
+
+    def run(batches):
+        local = Model(*shared.value)
+        width = len(local.languages)
+        for batch in small_batches(batches):
+            texts, langs, own, other = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [], []
+            for a, b in chunks(texts):
+                for lang, total in zip(langs[a:b], local.evidence(texts[a:b]), strict=True):
+                    if total is not None and lang in local.languages:
+                        spoken, at = total[width:], local.languages.index(lang)
+                        own.append(float(spoken[at]))
+                        other.append(float((spoken.sum() - spoken[at]) / (width - 1)) if width > 1 else 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.float64()), pa.array(other, pa.float64())], names=["own", "other"])
+
+    own, other = aside.mapInArrow(run, _EVIDENCE).agg(F.percentile_approx("own", 0.5), F.percentile_approx("other", 0.5)).first()
+    if own is None or not other < own:
+        return None
+    return min(max(other + COVERED * (own - other), 1e-6), 1 - 1e-6)
 
 
 _PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -141,12 +206,14 @@ _PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score (0 to 1) of every whole text.
 
+    The score is at least ``MIN_SCORE`` where the text's words speak for the language as those of
+    labelled documents do (see ``Model.predict``), whatever the text's length.
     A null text or one without letters is ``und`` with score 0; so is every text if nothing can be
     learned. A null doc_id is carried along and never held out; repeated rows stay, other columns
     are ignored. ``lang``, ``source`` and ``doc_id`` are no inputs of a prediction.
     """
     model = model or train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.index, model.logs))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.index, model.logs, model.speaks, model.least))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches):
