@@ -19,6 +19,11 @@ TERM_WORDS = 3
 #: Least number of ranges of ids; each range is one window group. With many shuffle partitions there
 #: are four ranges to a partition, so that groups do not grow with the data.
 ID_RANGES = 1024
+#: Bits by which near copies differ: of 1,513 texts of sf0.1 with random words replaced, of a 5-word Jaccard
+#: of 0.8 or more, 99.87 % differ by no more; of 79,792 pairs of unlike texts the nearest differ by 38.
+NEAR_BITS = 24
+#: Distinct fingerprints that are broadcast at once to meet all others.
+ASKED_BROADCAST = 400_000
 _PAIR = 0x0000000100000001
 _SEEDS = (0, 1)
 
@@ -168,10 +173,31 @@ def within_radius(fingerprints: DataFrame, queries: DataFrame, radius: int = 3,
     return met.where(F.col("distance") <= radius).select("q_hi", "q_lo", "fp_hi", "fp_lo", "distance", "copies").distinct()
 
 
-def near_counts(fingerprints: DataFrame, every: int = 50, radius: int = 3) -> DataFrame:
+def within_any_radius(fingerprints: DataFrame, queries: DataFrame, radius: int, at_once: int = ASKED_BROADCAST) -> DataFrame:
+    """As ``within_radius``, for a radius at which block tables are too coarse: each query meets all.
+
+    The distinct queries are broadcast, in slices by a hash of about ``at_once``, and compared with
+    every distinct fingerprint. So all pairs are found, exactly, by as many comparisons as there are pairs.
+    """
+    spark = fingerprints.sparkSession
+    parts = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # dealt by number, since the work is in the comparisons and not in the few bytes
+    distinct = fingerprints.groupBy("fp_hi", "fp_lo").agg(F.count(F.lit(1)).alias("copies")).repartition(parts)
+    asked = queries.select(F.col("fp_hi").alias("q_hi"), F.col("fp_lo").alias("q_lo")).distinct()
+    slices = max(1, -(-asked.count() // at_once))
+    apart = distance("q_hi", "q_lo", "fp_hi", "fp_lo")
+    found = None
+    for i in range(slices):
+        some = asked if slices == 1 else asked.where(F.pmod(F.xxhash64("q_hi", "q_lo"), F.lit(slices)) == i)
+        met = distinct.join(F.broadcast(some), apart <= radius).select("q_hi", "q_lo", "fp_hi", "fp_lo", apart.alias("distance"), "copies")
+        found = met if found is None else found.union(met)
+    return found
+
+
+def near_counts(fingerprints: DataFrame, every: int = 50, radius: int = NEAR_BITS) -> DataFrame:
     """doc_id, n_within: for each id divisible by ``every``, other documents within ``radius``."""
     queries = fingerprints.where(F.col("doc_id") % every == 0)
-    found = within_radius(fingerprints, queries, radius).groupBy("q_hi", "q_lo").agg(F.sum("copies").alias("n"))
+    found = within_any_radius(fingerprints, queries, radius).groupBy("q_hi", "q_lo").agg(F.sum("copies").alias("n"))
     return queries.alias("q").join(found.hint("merge"), (F.col("q.fp_hi") == F.col("q_hi")) & (F.col("q.fp_lo") == F.col("q_lo"))).select("q.doc_id", (F.col("n") - 1).alias("n_within"))
 
 
