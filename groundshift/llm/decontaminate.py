@@ -47,13 +47,13 @@ def _by_length(at: str, lengths: list[int], what) -> Column:
     return reduce(lambda c, n: c.when(F.col("n") == n, what(at, n)), lengths, F.when(F.lit(False), F.lit(None)))
 
 
-def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, without_id: bool = False) -> DataFrame:
     """Distinct windows of the items: n, fp, window_text, items (sorted ids as strings).
 
     Items with fewer words than ``window`` are one window of their own length; items without words
-    have none. Null item ids are left out.
+    have none. Items without id are left out, or ``without_id`` kept, with no id in ``items``.
     """
-    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w"))
+    items = (benchmark if without_id else benchmark.where(F.col("item_id").isNotNull())).select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w"))
     items = items.where(F.size("w") > 0).withColumn("n", F.least(F.size("w"), F.lit(window)))
     rows = items.select("item", "n", F.posexplode(_shifted(F.col("w"), window)).alias("pos", "at"))
     lengths = list(range(1, window + 1))
@@ -62,17 +62,18 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.groupBy("n", "fp", "window_text").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, without_id: bool = False) -> DataFrame:
     """Words of each document that lie inside an occurrence of a benchmark window.
 
     Returns doc_id, n_words, n_hit, n_items, item_ids (sorted strings), spans (array of
     start word and length), contaminated. ``docs`` needs doc_id and text, other columns are
     ignored. Null or wordless texts have no words and no hits. Rows that repeat doc_id and text
     are one row in the result; equal ids with different texts are judged apart, a null id is kept.
+    With ``without_id`` a window of an item without id is a hit like any other, and adds no id.
     An empty benchmark hits nothing. The benchmark's windows are broadcast up to
     ``FINGERPRINTS_BROADCAST`` counted rows, beyond that both sides are joined by merging.
     """
-    bench = materialize(benchmark_windows(benchmark, window), "bench-windows")
+    bench = materialize(benchmark_windows(benchmark, window, without_id), "bench-windows")
     found = bench.groupBy("n").count().collect()  # one row per window length, at most `window`
     lengths = sorted({window} | {r["n"] for r in found})
     side = checked_side(bench, sum(r["count"] for r in found), FINGERPRINTS_BROADCAST)

@@ -42,7 +42,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), without_id=True)
     return found.selectExpr("doc_id", "n_words", "n_hit", "n_items", "sha2(array_join(item_ids, ','), 256) as items_sha256", "contaminated")
 
 
