@@ -115,32 +115,81 @@ def test_forest_depth_reaches_the_target():
 # units -----------------------------------------------------------------------------------------
 
 
-def brute_units(rows, unit):
+def brute_runs(text, unit, least):
+    """All runs of pieces of at least ``least`` words of which no shorter one that starts or ends alike has as many."""
+    pieces = unit_dedup.split_pieces(text, unit)
+    size = lambda a, b: sum(max(1, len(w) // 12) for x, y in pieces[a:b] for w in text[x:y].lower().split())
+    full = [(a, b) for a in range(len(pieces)) for b in range(a + 1, len(pieces) + 1) if size(a, b) >= least and size(a, a + 1) and size(b - 1, b)]
+    keep = {(a, b) for a, b in full if (a, b - 1) not in full and not any((a, c) in full for c in range(a + 1, b))} | {(a, b) for a, b in full if not any((c, b) in full for c in range(a + 1, b))}
+    return [(pieces[a][0], pieces[b - 1][1], " ".join(w for x, y in pieces[a:b] for w in text[x:y].lower().split())) for a, b in sorted(keep)]
+
+
+def brute_units(rows, unit="sentence", least=unit_dedup.MIN_WORDS):
+    """Text of each (id, text) without what an earlier one has; ranks are ids, then hashes of the texts."""
     seen, out = set(), {}
-    for i, text in sorted(rows):
-        gone = [False] * len(text or "")
-        for a, b in unit_dedup.split_units(text or "", unit):
-            words = " ".join(text[a:b].lower().split())
-            if len(words.split()) >= unit_dedup.MIN_WORDS:
-                if words in seen:
-                    gone[a:b] = [True] * (b - a)
-                seen.add(words)
-        out[i] = None if text is None else "".join(c for c, g in zip(text, gone, strict=True) if not g)
+    for i, _, text in sorted((i, h, t) for i, h, t in rows):
+        gone, own, new = [False] * len(text), {}, set()
+        for a, b, body in unit_dedup.split_units(text, unit, least):
+            if body in seen or a >= own.setdefault(body, b):
+                gone[a:b] = [True] * (b - a)
+            new.add(body)
+        seen |= new
+        out[i, text] = "".join(c for c, g in zip(text, gone, strict=True) if not g)
     return out
 
 
-@pytest.mark.parametrize("unit", ["nested", "sentence", "line", "paragraph"])
+def ranked(frame):
+    rows = frame.where("text is not null").select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64("text").alias("th"), "text").distinct()
+    return [tuple(r) for r in rows.collect()]
+
+
+def test_runs_equal_brute_force():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=200, deadline=None, database=None)
+    @given(st.lists(st.sampled_from(["a b. ", "c d e f! ", "\n", "g ", "h. i", "ninechars" * 5 + " ", "。", "? "]), max_size=12))
+    def same(parts):
+        text = "".join(parts)
+        assert unit_dedup.split_units(text, "sentence", 5) == brute_runs(text, "sentence", 5)
+
+    same()
+
+
+@pytest.mark.parametrize("unit", ["sentence", "line", "paragraph"])
 def test_units_equal_brute_force(docs, unit):
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = brute_units(ranked(docs), unit)
     got = rows_of(unit_dedup.dedup_units(docs, unit))
-    assert {r["doc_id"]: r["text"] for r in got} == brute_units(rows, unit)
-    text = dict(rows)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert {(r["doc_id"], text[r["doc_id"]]): r["text"] for r in got} == want
     for r in got:
         assert "".join(text[r["doc_id"]][s["start"] : s["end"]] for s in r["kept"]) == r["text"]
         spans = sorted((s["start"], s["end"]) for s in r["kept"] + r["removed"])
         assert sum(b - a for a, b in spans) == r["n_chars"]
 
 
+def test_units_of_repeated_ids_and_rows(spark):
+    passage = "One passage of many words that several of these documents hold. It has a short end. Really."
+    rows = [(1, "Start. " + passage), (2, "0123456789. " * 9 + passage), (2, "Other text under the same id. " + passage), (2, "Other text under the same id. " + passage), (None, passage + " Tail."), (3, passage), (3, None), (3, ""), (4, (passage + " ") * 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("removed", F.lit(1)).withColumn("rank", F.lit(1))
+    want = brute_units(ranked(frame))
+    for got in (rows_of(unit_dedup.dedup_units(frame)), rows_of(unit_dedup.cut_documents(frame))):
+        expected = Counter()
+        for i, t in rows:
+            left = None if t is None else want[2**63 - 1 if i is None else i, t]
+            if "n_chars" in got[0] or t is None or t == left or left.strip():
+                expected[i, left] += 1
+        assert Counter((r["doc_id"], r["text"]) for r in got) == expected
+    assert want[2, rows[1][1]] == "0123456789. " * 9 and want[3, passage] == "" and want[2**63 - 1, passage + " Tail."] == "Tail."
+
+
+def test_short_lines_and_texts_without_spaces(spark):
+    line, passage = "Released under the MIT license.", "这是一段没有空格的很长的文字" * 20
+    rows = [(i, f"{line}\nDocument number {i} goes on with text of its own, which is long enough to count.\n{passage}") for i in range(5)]
+    got = {r["doc_id"]: r["text"] for r in rows_of(unit_dedup.dedup_units(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert all(line in t for t in got.values()) and sum(passage in t for t in got.values()) == 1
+
+
 def test_units_cut_from_documents(docs, odd):
     for frame in (docs, odd.where("doc_id is not null").dropDuplicates(["doc_id"]).withColumn("removed", F.lit("clash"))):
         before = {r["doc_id"]: r["text"] for r in frame.collect()}
@@ -155,7 +204,9 @@ def test_units_odd_rows(odd, none):
     got = rows_of(unit_dedup.dedup_units(odd))
     assert len(got) == odd.count()
     assert next(r for r in got if r["doc_id"] == 0)["text"] is None
-    assert next(r for r in got if r["doc_id"] == 9)["text"] == "A line of words that repeats itself.\n"
+    line = "A line of words that repeats itself.\n"  # three make a unit, which overlaps itself
+    assert next(r for r in got if r["doc_id"] == 9)["text"] == line * 3
+    assert rows_of(unit_dedup.dedup_units(odd.where("doc_id = 9").withColumn("text", F.lit(line * 9))))[0]["text"] == line * 3
     assert unit_dedup.dedup_units(none).count() == 0
 
 
@@ -493,7 +544,7 @@ def test_pipeline_stage_by_stage(spark, sf):
         if name == "near_duplicates":
             assert set(after) == {i for i, (c, _) in brute_classes(before.items()).items() if i == c}
         if name == "repeated_units":
-            want = brute_units(list(before.items()), "nested")
+            want = {i: t for (i, _), t in brute_units([(i, 0, t) for i, t in before.items()]).items()}
             assert after == {i: t for i, t in want.items() if t.strip() or t == before[i]}
         if name == "benchmark":
             items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
