@@ -345,20 +345,62 @@ def brute_hits(text, items, window=10):
     return len(w), len(hit), sorted(found)
 
 
-def test_decontamination_equals_brute_force(spark, docs, odd):
-    bench = spark.createDataFrame([(1, "one two three"), (2, "a b c d e f g h i j k"), (3, None), (4, ""), (10, "x x x x x x x x x x x"), (5, "Ünïcödé"), (None, "one")], "item_id long, text string")
-    items = [(r["item_id"], r["text"]) for r in bench.collect() if r["item_id"] is not None]
-    extra = docs.sparkSession.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
-    for frame, b, its in ((odd, bench, items), (docs.limit(40), extra, [(r["item_id"], r["text"]) for r in extra.collect()])):
-        frame = frame.select("doc_id", "text").distinct()
-        want = Counter((r["doc_id"], *map(str, brute_hits(r["text"], its))) for r in frame.collect())
-        got = rows_of(decontaminate.contamination(frame, b))
-        assert Counter((r["doc_id"], str(r["n_words"]), str(r["n_hit"]), str(r["item_ids"])) for r in got) == want
-        assert all(r["contaminated"] == (r["n_hit"] > 0) for r in got)
+def hits_of(frame, bench, **how):
+    return Counter((r["doc_id"], r["n_words"], r["n_hit"], str(r["item_ids"]), r["n_items"], r["contaminated"]) for r in rows_of(decontaminate.contamination(frame, bench, **how)))
+
+
+def brute_of(frame, items):
+    out = Counter()
+    for r in frame.select("doc_id", "text").collect():
+        n, hit, found = brute_hits(r["text"], items)
+        out[r["doc_id"], n, hit, str(found), len(found), hit > 0] += 1
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_equals_brute_force(spark, docs, odd, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(decontaminate, "HASHES_BROADCAST", -1)
+        monkeypatch.setattr(decontaminate, "BYTES_BROADCAST", -1)
+    items = [(1, "one two three"), (2, "a b c d e f g h i j k"), (3, None), (4, ""), (10, "x x x x x x x x x x x"), (5, "Ünïcödé"), (6, "a b c d e f g h i j q"), (7, "h i j k l")]
+    bench = spark.createDataFrame([*items, (None, "one")], "item_id long, text string").withColumn("n", F.lit("clash")).withColumn("win", F.lit("clash"))
+    rows = odd.withColumn("marks", F.lit(0)).withColumn("th", F.lit(0)).withColumn("inside", F.lit(0)).withColumn("of_id", F.lit(0))
+    rows = rows.union(rows.where("doc_id = 7 or doc_id is null"))
+    assert hits_of(rows, bench) == brute_of(rows, items)
+    extra = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    assert hits_of(docs, extra) == brute_of(docs, [(r["item_id"], r["text"]) for r in extra.collect()])
+
+
+def test_decontamination_of_low_entropy_and_short_windows(spark):
+    import random
+
+    rnd = random.Random(3)
+    text = lambda n: " ".join(rnd.choice("abc") for _ in range(n))
+    items = [(i, text(rnd.randint(1, 30))) for i in range(12)]
+    frame = spark.createDataFrame([(i, text(rnd.randint(0, 60))) for i in range(40)] + [(1, "b " * 40)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert hits_of(frame, bench) == brute_of(frame, items)
+    for r in rows_of(decontaminate.contamination(frame, bench)):
+        assert sum(s["length"] for s in r["spans"]) == r["n_hit"]
+
+
+def test_decontamination_of_empty_tables(docs, spark):
+    extra = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     assert decontaminate.contamination(docs.limit(0), extra).count() == 0
     assert not any(r["contaminated"] for r in rows_of(decontaminate.contamination(docs.limit(5), extra.limit(0))))
 
 
+def test_winnowing_thins_and_keeps_every_shared_span(spark):
+    import random
+
+    rnd = random.Random(9)
+    body = [f"w{rnd.randrange(10**6)}" for _ in range(3000)]
+    rows = [(0, " ".join(body))] + [(i, " ".join([f"p{i}", *body[i * 7 : i * 7 + 10], f"q{i}"])) for i in range(1, 100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.explode(F.array(decontaminate.words(F.col("text")))).alias("w"))
+    kept = {r["doc_id"]: {m["h"] for m in r["m"]} for r in frame.select("doc_id", decontaminate.fingerprints(F.col("w")).alias("m")).collect()}
+    assert len(kept[0]) < 3000 * 0.35 and all(kept[0] & kept[i] for i in range(1, 100))
+
+
 # simhash ---------------------------------------------------------------------------------------
 
 
