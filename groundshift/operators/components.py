@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from groundshift.plans.scratch import materialize
 
 MAX_ROUNDS = 60
+#: A node on which more edges hang is a hub: its edges meet its row in a broadcast, not in one task.
+HUB_EDGES = 500
+#: Counted hubs up to which they are broadcast; beyond it all edges are joined by merging.
+HUBS_BROADCAST = 400_000
 
 
 def _contract_batches(batches):
@@ -32,19 +36,34 @@ def _contract_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[off]), pa.array(nodes[root[off]])], names=["a", "b"])
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Hang every larger neighbour of a node on the least node of its neighbourhood."""
-    both = edges.union(edges.select("b", "a"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    return both.join(least.hint("merge"), F.col("a") == F.col("u")).where("b > a").selectExpr("b as a", "m as b").where("a != b")
+def _lowest(edges: DataFrame) -> DataFrame:
+    """(u, m): the least node that each node u with a smaller neighbour hangs on."""
+    return edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+
+
+def _large_star(edges: DataFrame, lowest: DataFrame) -> DataFrame:
+    """Hang every larger neighbour of a node on the least of the node's neighbourhood.
+
+    A node without a smaller neighbour is that least itself, so its edges stay as they are.
+    """
+    hubs = edges.groupBy(F.col("b").alias("u")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB_EDGES)
+    hubs = materialize(hubs.select("u").join(lowest.hint("merge"), "u", "left"), "hubs")
+    n_hubs = hubs.count()
+    on = F.col("b") == F.col("u")
+    if not 0 < n_hubs <= HUBS_BROADCAST:
+        met = edges.join(lowest.hint("merge"), on, "left")
+    else:
+        at_hub = edges.join(F.broadcast(hubs), on).select("a", "b", "u", "m")
+        met = edges.join(F.broadcast(hubs), on, "left_anti").join(lowest.hint("merge"), on, "left").unionByName(at_hub)
+    own = lowest.select(F.col("u").alias("a"), F.col("m").alias("b"))
+    return met.select("a", F.coalesce("m", "b").alias("b")).union(own)
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Hang a node and its smaller neighbours on the least of them."""
-    down = edges.selectExpr("greatest(a, b) as a", "least(a, b) as b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least.withColumnRenamed("a", "u").hint("merge"), F.col("a") == F.col("u")).where("b != m").selectExpr("b as a", "m as b")
-    return moved.union(least.selectExpr("a", "m as b"))
+    """Hang a node and its smaller neighbours on the least of them; ``a`` is the larger end."""
+    least = _lowest(edges)
+    moved = edges.join(least.hint("merge"), F.col("a") == F.col("u")).where("b != m").selectExpr("b as a", "m as b")
+    return moved.union(least.selectExpr("u", "m"))
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -58,15 +77,16 @@ def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
     """(node, root) of every node of the undirected edges (a, b); root is the component's least node.
 
     Edges with a null end and loops are left out. Batches of edges are first contracted where they
-    lie, then rounds of large and small stars follow until all edges are stars; a round settles a
-    hub by aggregated minima and joins, and never gathers its edges in one task.
+    lie, then rounds of large and small stars follow until all edges are stars. Minima are aggregated
+    before the shuffle; edges that hang on one of at most ``HUBS_BROADCAST`` hubs meet its minimum where they lie.
     """
     whole = edges.where("a is not null and b is not null and a != b").selectExpr("cast(greatest(a, b) as long) as a", "cast(least(a, b) as long) as b")
     edges = materialize(whole.distinct().mapInArrow(_contract_batches, "a long, b long").distinct(), "edges")
     for _ in range(max_rounds):
         if _settled(edges):
             break
-        edges = materialize(_small_star(_large_star(edges)).distinct().mapInArrow(_contract_batches, "a long, b long").distinct(), "edges")
+        lowest = materialize(_lowest(edges), "lowest")
+        edges = materialize(_small_star(_large_star(edges, lowest).distinct()).distinct().mapInArrow(_contract_batches, "a long, b long").distinct(), "edges")
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     stars = edges.selectExpr("a as node", "b as root")
