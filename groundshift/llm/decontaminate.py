@@ -92,6 +92,10 @@ def _joined(doc_rows: DataFrame, hashes: DataFrame, keys: list[str]) -> DataFram
     return doc_rows.join(checked_side(hashes, hashes.count(), HASHES_BROADCAST), keys, "left_semi")
 
 
+def _same() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, without_id: bool = False) -> DataFrame:
     """Words of each document that lie inside an occurrence of a benchmark window.
 
@@ -103,6 +107,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
     left out, or with ``without_id`` are hits that add no id. An empty benchmark hits nothing; other columns
     are ignored. Sides of joins are broadcast up to a counted or measured bound, beyond it merged.
     """
+    prints, judged = _judge(docs, benchmark, window, without_id)
+    size = judged.agg(F.coalesce(F.sum((F.size("inside") + F.size("item_ids")) * 32 + 64), F.lit(0))).first()[0]
+    out = prints.join(checked_side(judged, size, BYTES_BROADCAST), _same(), "left")
+    out = out.withColumns({"inside": F.coalesce("inside", F.array().cast("array<int>")), "item_ids": F.coalesce("item_ids", F.array().cast("array<string>"))})
+    inside = F.col("inside")
+    first = F.filter(inside, lambda x, i: F.coalesce(F.get(inside, i - 1) != x - 1, F.lit(True)))
+    last = F.filter(inside, lambda x, i: F.coalesce(F.get(inside, i + 1) != x + 1, F.lit(True)))
+    return out.select(
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), F.size("inside").cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids",
+        F.zip_with(first, last, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("length"))).alias("spans"), (F.size("inside") > 0).alias("contaminated"),
+    )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark window occurs, with all columns; items without id count."""
+    judged = _judge(docs, benchmark, window, True)[1].select("of_id", "of_th")
+    side = checked_side(judged, judged.count(), HASHES_BROADCAST)
+    return docs.join(side, docs["doc_id"].eqNullSafe(side["of_id"]) & (F.xxhash64(docs["text"]) == side["of_th"]), "left_anti")
+
+
+def _judge(docs: DataFrame, benchmark: DataFrame, window: int, without_id: bool) -> tuple[DataFrame, DataFrame]:
+    """doc_id, th (a hash of the text), n_words and fingerprints of every row; and, for the texts that have any,
+    of_id, of_th, the positions inside benchmark windows and the sorted ids of the items."""
     k = min(KGRAM, window)
     key = F.xxhash64("text")
     items = (benchmark if without_id else benchmark.where(F.col("item_id").isNotNull())).select(F.col("item_id").cast("string").alias("item"), F.explode(F.array(words(F.col("text")))).alias("w"))
@@ -126,7 +153,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
     marks = materialize(found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("n", "pos")).alias("marks")), "doc-marks")
     size = marks.agg(F.coalesce(F.sum(F.size("marks") * 16 + 64), F.lit(0))).first()[0]
     side = checked_side(marks.withColumnsRenamed({"doc_id": "of_id", "th": "of_th"}), size, BYTES_BROADCAST)
-    texts = docs.select("doc_id", key.alias("th"), "text").join(side, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th")))
+    texts = docs.select("doc_id", key.alias("th"), "text").join(side, _same())
     texts = texts.select("doc_id", "th", "marks", F.explode(F.array(words(F.col("text")))).alias("w"))
     around = F.flatten(F.transform("marks", lambda m: F.transform(F.when(m["n"] == window, F.sequence(F.greatest(F.lit(0), m["pos"] - (window - k)), m["pos"])).otherwise(F.array(m["pos"])), lambda s: F.struct(m["n"].alias("n"), s.alias("start")))))
     wins = texts.select("doc_id", "th", F.explode(F.transform(F.array_distinct(around), lambda a: F.struct(a["n"].alias("n"), a["start"].alias("start"), F.when(a["start"] + a["n"] <= F.size("w"), _by_length(a["n"], lengths, lambda n: _window_text(F.col("w"), a["start"], n))).alias("win")))).alias("a"))
@@ -141,17 +168,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, w
     spots = hits.groupBy("doc_id", "th").agg(inside.alias("inside"))
     named = hits.select("doc_id", "th", "n", "win").distinct().join(checked_side(bench, _bytes(bench, "win", "item"), BYTES_BROADCAST), ["n", "win"])
     named = named.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
-    judged = spots.join(named.withColumnsRenamed({"doc_id": "of_id", "th": "of_th"}).hint("merge"), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th")))
+    judged = spots.join(named.withColumnsRenamed({"doc_id": "of_id", "th": "of_th"}).hint("merge"), _same())
     judged = materialize(judged.select(F.col("doc_id").alias("of_id"), F.col("th").alias("of_th"), "inside", "item_ids"), "doc-judged")
-
-    # 4. every row with what was found for its text
-    size = judged.agg(F.coalesce(F.sum((F.size("inside") + F.size("item_ids")) * 32 + 64), F.lit(0))).first()[0]
-    out = prints.join(checked_side(judged, size, BYTES_BROADCAST), F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th")), "left")
-    out = out.withColumns({"inside": F.coalesce("inside", F.array().cast("array<int>")), "item_ids": F.coalesce("item_ids", F.array().cast("array<string>"))})
-    inside = F.col("inside")
-    first = F.filter(inside, lambda x, i: F.coalesce(F.get(inside, i - 1) != x - 1, F.lit(True)))
-    last = F.filter(inside, lambda x, i: F.coalesce(F.get(inside, i + 1) != x + 1, F.lit(True)))
-    return out.select(
-        "doc_id", F.col("n_words").cast("long").alias("n_words"), F.size("inside").cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids",
-        F.zip_with(first, last, lambda a, b: F.struct(a.alias("start"), (b - a + 1).alias("length"))).alias("spans"), (F.size("inside") > 0).alias("contaminated"),
-    )
+    return prints, judged

@@ -224,3 +224,18 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, _PREDICTED)
+
+
+def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The rows of ``docs`` whose language can be told, with all columns: a score of at least ``MIN_SCORE``."""
+    model = model or train(docs)
+    shared, at = docs.sparkSession.sparkContext.broadcast((model.languages, model.index, model.logs, model.speaks, model.least)), docs.columns.index("text")
+
+    def run(batches):
+        local = Model(*shared.value)
+        for batch in small_batches(batches):
+            texts = batch.column(at).to_pylist()
+            stay = [lang != UNDETERMINED and score >= MIN_SCORE for a, b in chunks(texts) for lang, score in local.predict(texts[a:b])]
+            yield batch.filter(pa.array(stay, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ def odd(spark):
     rows = [(i, t, "en" if i % 2 else None, None if i % 3 else "s", 1) for i, t in enumerate(ODD)]
     rows += [(3, "one", "en", "s", 1), (None, "no id here at all", None, None, None), (None, None, None, None, None)]
     frame = spark.createDataFrame(rows, DOCS)
-    for name in ("rep", "w", "n", "hit", "size", "target", "score", "fp", "root", "start", "tokens", "votes", "first_id"):
+    for name in ("rep", "w", "n", "hit", "size", "target", "score", "fp", "root", "start", "tokens", "votes", "first_id", "sid", "of_id", "stays", "node", "h1"):
         frame = frame.withColumn(name, F.lit("clash"))
     return frame
 
@@ -103,13 +103,61 @@ def test_near_join_odd_rows(odd, none):
     assert by[0]["class_id"] == 0 and by[0]["n_links"] == 0
     assert all(r["class_id"] is None for r in got if r["doc_id"] is None)
     assert near_join.near_duplicates(none).count() == 0
-    kept = near_join.keep_one(odd, near_join.near_duplicates(odd))
+    kept = near_join.keep_one(odd, near_join.classify(odd))
     assert kept.columns == odd.columns
 
 
-def test_forest_depth_reaches_the_target():
-    depth = near_join.forest_depth()
-    assert near_join.recall(depth) >= near_join.TARGET_RECALL > near_join.recall(depth + 1)
+def test_near_join_of_repeated_ids(spark):
+    """Texts of one id are documents of their own, and one row of each class stays."""
+    body = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, body), (5, "quite another text about something else"), (3, body + " end"), (5, body), (None, body), (8, "alone here"), (8, "alone here"), (9, None), (9, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.lit(0)).withColumn("stays", F.lit(0)).withColumn("of_id", F.lit(0))
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in rows_of(near_join.near_duplicates(frame)))
+    assert got == Counter({(5, 3, 2): 2, (3, 3, 2): 1, (5, 5, 0): 1, (None, None, 0): 1, (8, 8, 1): 2, (9, 9, 0): 2})
+    kept = near_join.keep_one(frame, near_join.classify(frame))
+    assert kept.columns == frame.columns
+    assert Counter((r["doc_id"], r["text"]) for r in rows_of(kept)) == Counter([(5, rows[1][1]), (3, rows[2][1]), (None, body), (8, "alone here"), (9, None)])
+
+
+def test_forest_finds_planted_pairs(spark):
+    import random
+
+    rnd, rows, want = random.Random(8), [], 0
+    for i in range(0, 3000, 2):
+        n = rnd.randint(30, 120)
+        words = [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+        cut = int(n * rnd.uniform(0.1, 0.2))
+        rows += [(i, " ".join(words)), (i + 1, " ".join(words[: n - cut]))]
+        want += len(shingle_set(rows[-1][1])) / len(shingle_set(rows[-2][1])) >= 0.8
+    got = rows_of(near_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert want > 1000 and sum(r["n_links"] for r in got) == 2 * want
+
+
+def test_boilerplate_does_not_chain(spark):
+    """10,000 texts of a pairwise similarity of 0.4 meet in nodes, but no candidate comes of it."""
+    import random
+
+    rnd = random.Random(2)
+    core = " ".join(f"c{i}" for i in range(61))
+    rows = [(i, core + " " + " ".join(f"u{rnd.randrange(10**9)}" for _ in range(43))) for i in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("th", F.lit(0)).select("doc_id", "th", "text")
+    prof = docs.mapInArrow(near_join._profiler(near_join.TREES, 5, 0.8, 0.2), near_join._PROFILE).withColumn("sid", F.col("doc_id")).cache()
+    depths = near_join.measured_depths(prof)
+    nodes = near_join.trie_nodes(prof, near_join.emitted_depths(depths)).cache()
+    crowded = nodes.groupBy("node").count().where("count > 100").count()
+    assert set(depths.values()) <= {4, 5, 6} and crowded > 0
+    assert near_join.candidates(nodes).count() == 0
+
+
+def test_prefixes_stop_where_the_target_is_met(spark):
+    shared = lambda met, n: [[5] * met + [2] * (24 - met)] * n
+    rows = [(1 << 6, s) for s in shared(8, 100)] + [(1 << 9, s) for s in shared(24, 100)] + [(1 << 12, s) for s in shared(3, 10)] + [(1 << 13, None)]
+    firsts = spark.createDataFrame(rows, "n long, shared array<int>")
+    pooled = 2  # all probes share two levels; at five the pooled chance still suffices
+    got = near_join.measured_depths(firsts)
+    assert got == {6: 5, 9: 5, 12: 5, 13: 5} and pooled <= min(got.values())
+    assert near_join.measured_depths(firsts, target=1 - 1e-9) == {6: 2, 9: 5, 12: 5, 13: 5}
+    assert near_join.emitted_depths({6: 5, 7: 4, 8: 8}) == {6: [4, 5], 7: [4], 8: [4, 8]}
 
 
 # units -----------------------------------------------------------------------------------------
