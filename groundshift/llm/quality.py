@@ -1,8 +1,9 @@
 """Quality classifier from weak labels.
 
 Heuristic labellers vote good, bad or abstain on each document. Expectation-maximisation over the
-counts of vote patterns estimates how each labeller votes on good and on bad documents; the
-posterior of a document's pattern then is the soft label on which a hashed linear scorer is trained.
+counts of vote patterns fits one good kind of documents and as many bad kinds as the data support, each
+with its chances of every labeller's three votes; labellers that err together do so within a kind. The
+posterior of a document's pattern is the soft label on which a hashed linear scorer is trained.
 """
 
 from __future__ import annotations
@@ -15,18 +16,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
 from .shingles import chunks, mix
 
-#: The scorer is fitted, in one task, on about this many documents, chosen by a hash of the text.
+#: The scorer is fitted, in one task, on the features of at most this many different texts: those of the least hashes.
 TRAIN_DOCS = 10_000
 FEATURES = 1 << 14
 ITERATIONS = 150
 RIDGE = 1e-4
 KEEP_SCORE = 0.5
-EM_ROUNDS = 100
-#: Labellers are built to be precise: at least this share of their votes on good documents is good.
-LEAST_ACCURACY = 0.995
+EM_ROUNDS = 200
+#: Random starts, of which the likeliest counts, and the most kinds of documents that are tried.
+EM_STARTS = 12
+MOST_KINDS = 8
+#: Pseudo-count of each vote in each kind.
+PRIOR = 0.5
 GOOD, BAD, ABSTAIN = 1, -1, 0
 LEAST_TOKENS = 20
 #: Labeller: signal, what it is a share of, bad above, good below (None: votes bad only).
@@ -48,7 +51,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Class and lower case of every code point."""
     kind, low = np.full(0x110000, _SYMBOL, dtype=np.uint8), np.arange(0x110000, dtype=np.uint32)
-    for cp in range(0x30000):
+    for cp in range(0x110000):
         c = chr(cp)
         category = unicodedata.category(c)
         if c.isspace():
@@ -134,29 +137,52 @@ def votes(s: dict[str, np.ndarray]) -> np.ndarray:
     return np.stack(columns, axis=1).astype(np.int32)
 
 
-def fit_votes(patterns: list[list[int]], counts: list[int], rounds: int = EM_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of good for each pattern, and the accuracies: P(good vote | class) by labeller and class.
+def _fit_kinds(one: np.ndarray, n: np.ndarray, kinds: int, seed: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Log likelihood, responsibilities (kinds, patterns), shares and vote chances (kinds, labellers, votes) of one start."""
+    post = np.random.default_rng(seed).dirichlet(np.full(kinds, 0.3), size=len(one)).T
+    for _ in range(EM_ROUNDS):
+        weight = post * n
+        chance = np.einsum("kp,plv->klv", weight, one) + PRIOR
+        chance /= chance.sum(axis=2, keepdims=True)
+        share = (weight.sum(axis=1) + 1) / (n.sum() + kinds)
+        logs = np.log(share)[:, None] + np.einsum("plv,klv->kp", one, np.log(chance))
+        top = logs.max(axis=0)
+        total = top + np.log(np.exp(logs - top).sum(axis=0))
+        new = np.exp(logs - total)
+        done, post = np.abs(new - post).max() < 1e-9, new
+        if done:
+            break
+    return float(total @ n), post, share, chance
+
 
-    Two-class model with independent labellers, where an abstention says nothing. It starts from
-    a posterior that one bad vote outweighs three good ones, as each labeller knows one fault
-    only. On good documents labellers are held to at least ``LEAST_ACCURACY``.
+def fit_votes(patterns: list[list[int]], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of good for each pattern, and chances by labeller, class (bad, good) and vote (bad, abstain, good).
+
+    A mixture of kinds within which labellers vote independently, abstentions included. Kinds are
+    added while the Bayesian information criterion falls; of several random starts the likeliest counts.
+    Good is the kind with the most good votes less bad ones, bad are all others. Documents
+    on which nobody votes tell nothing and get the share of good ones; so do all if there are no votes.
     """
-    x, n = np.array(patterns, dtype=int).reshape(len(patterns), -1), np.array(counts, dtype=float)
-    up, down = (x == GOOD).astype(float), (x == BAD).astype(float)
-    post = 1 / (1 + np.exp(-(2.0 + up.sum(axis=1) - 3.0 * down.sum(axis=1))))
-    rate = np.zeros((x.shape[1], 2))
-    for _ in range(rounds):
-        weight = np.stack([(1 - post) * n, post * n])
-        ups, downs = weight @ up, weight @ down
-        rate = ((ups + 0.5) / (ups + downs + 1.0)).T
-        rate[:, 1] = np.maximum(rate[:, 1], LEAST_ACCURACY)
-        prior = (weight.sum(axis=1) + 0.5) / (n.sum() + 1)
-        logs = np.log(prior)[None, :] + up @ np.log(rate) + down @ np.log(1 - rate)
-        new = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
-        if np.abs(new - post).max() < 1e-9:
+    x, n = np.array(patterns, dtype=int).reshape(len(patterns), len(patterns[0]) if len(patterns) else 0), np.array(counts, dtype=float)
+    asked = (x != ABSTAIN).any(axis=1)
+    if not asked.any():
+        return np.ones(len(x)), np.full((x.shape[1], 2, 3), 1 / 3)
+    order = np.flatnonzero(asked)[np.lexsort(x[asked].T)]  # the same fit whatever the order of patterns
+    one, m = np.stack([x[order] == v for v in (BAD, ABSTAIN, GOOD)], axis=2).astype(float), n[order]
+    best, least = None, np.inf
+    for kinds in range(1, MOST_KINDS + 1):
+        fit = max((_fit_kinds(one, m, kinds, seed) for seed in range(EM_STARTS)), key=lambda f: f[0])
+        price = -2 * fit[0] + (kinds * 2 * x.shape[1] + kinds - 1) * np.log(m.sum())
+        if price >= least:
             break
-        post = new
-    return post, rate
+        best, least = fit, price
+    _, found, share, chance = best
+    good = int((chance[:, :, 2] - chance[:, :, 0]).sum(axis=1).argmax())
+    post = np.full(len(x), share[good])
+    post[order] = found[good]
+    bad = np.delete(share, good)
+    mixed = np.tensordot(bad / bad.sum(), np.delete(chance, good, axis=0), 1) if len(bad) else np.full_like(chance[0], 1 / 3)
+    return post, np.stack([mixed, chance[good]], axis=1)
 
 
 def _unit_counts(features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,21 +212,46 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, fe
     return w
 
 
-_PROFILE = "doc_id long, votes array<int>, sampled boolean, place array<int>, value array<double>"
 _SCORED = "doc_id long, votes array<int>, posterior double, score double, keep boolean"
 
 
-def _profile(batches):
-    schema = pa.schema([("doc_id", pa.int64()), ("votes", pa.list_(pa.int32())), ("sampled", pa.bool_()), ("place", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))])
+def _count_votes(batches):
+    """Texts to the vote patterns of each batch with their counts."""
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        for a, b in chunks(texts):
+            patterns, n = np.unique(votes(signals(texts[a:b])[0]), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(list(patterns), pa.list_(pa.int32())), pa.array(n, pa.int64())], names=["votes", "n"])
+
+
+def _featured(batches):
+    """(h, text) to h, votes and the unit feature vector."""
+    schema = pa.schema([("h", pa.int64()), ("votes", pa.list_(pa.int32())), ("place", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))])
     for batch in batches:
-        texts, sampled = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        texts = batch.column(1).to_pylist()
         for a, b in chunks(texts):
             s, features = signals(texts[a:b])
-            units = [_unit_counts(f) if take else ((), ()) for f, take in zip(features, sampled[a:b], strict=True)]
-            columns = [batch.column(0).slice(a, b - a), pa.array(list(votes(s)), pa.list_(pa.int32())), batch.column(2).slice(a, b - a), pa.array([u[0] for u in units], pa.list_(pa.int32())), pa.array([u[1] for u in units], pa.list_(pa.float64()))]
+            units = [_unit_counts(f) for f in features]
+            columns = [batch.column(0).slice(a, b - a), pa.array(list(votes(s)), pa.list_(pa.int32())), pa.array([u[0] for u in units], pa.list_(pa.int32())), pa.array([u[1] for u in units], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
+def vote_counts(docs: DataFrame) -> DataFrame:
+    """votes and n: how many documents have each pattern, at most 3 to the number of labellers."""
+    return docs.select("text").mapInArrow(_count_votes, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n"))
+
+
+def training_sample(docs: DataFrame, n_docs: int, most: int = TRAIN_DOCS) -> DataFrame:
+    """h, votes, place and value of at most ``most`` different texts, those of the least hashes, each once.
+
+    ``n_docs`` is the number of documents; at any number about twice ``most`` are looked at, copies aside.
+    """
+    h = F.xxhash64(F.lit("sample"), F.col("text")).bitwiseAND(F.lit((1 << 63) - 1))
+    cut = min((1 << 63) - 1, (1 << 63) * 2 * most // max(n_docs, 1))
+    texts = docs.select(h.alias("h"), "text").where(F.col("text").isNotNull() & (F.col("h") <= cut)).distinct()
+    return texts.mapInArrow(_featured, "h long, votes array<int>, place array<int>, value array<double>").orderBy("h").limit(most)
+
+
 def score_documents(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """Quality of every document: doc_id, votes, posterior, score, keep.
 
@@ -210,14 +261,10 @@ def score_documents(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     words: all labellers abstain, the score is 0 and they are never kept. A null doc_id is carried
     along; repeated rows stay and score alike; other columns are ignored; an empty table gives an
     empty result. The driver sees the counts of vote patterns, at most 3 to the number of
-    labellers, and the scorer's weights; the scorer is fitted on about ``train_docs`` documents.
+    labellers, and the scorer's weights; the scorer is fitted on at most ``train_docs`` different texts.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = source.count()
-    cut = 1_000_000 if n <= train_docs else int(1_000_000 * train_docs / n)
-    sampled = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1_000_000)) < cut
-    profiles = materialize(source.select("doc_id", "text", sampled.alias("sampled")).mapInArrow(_profile, _PROFILE), "quality-profiles")
-    counted = profiles.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()
+    counted = vote_counts(source).collect()
     posterior: dict[tuple, float] = {}
     if counted:
         post, _ = fit_votes([r["votes"] for r in counted], [r["n"] for r in counted])
@@ -226,14 +273,14 @@ def score_documents(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     def fit(batches):
         rows, target = [], []
         for batch in batches:
-            for vote, place, value in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for vote, place, value in zip(*[batch.column(c).to_pylist() for c in ("votes", "place", "value")], strict=True):
                 rows.append((np.array(place, dtype=np.int64), np.array(value)))
                 target.append(posterior[tuple(vote)])
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(fit_scorer(rows, np.array(target)))], names=["w"])
 
-    sample = profiles.where("sampled").select("votes", "place", "value").coalesce(1).mapInArrow(fit, "w double")
-    weights = sample.toArrow().column("w").to_numpy() if counted else np.zeros(0)
+    sample = training_sample(source, sum(r["n"] for r in counted), train_docs).coalesce(1)
+    weights = sample.mapInArrow(fit, "w double").toArrow().column("w").to_numpy() if counted else np.zeros(0)
     weights = weights if len(weights) else np.zeros(FEATURES + 1)
     shared = docs.sparkSession.sparkContext.broadcast((posterior, weights))
 
