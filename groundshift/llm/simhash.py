@@ -16,9 +16,11 @@ from .common import materialize
 
 BITS = 128
 TERM_WORDS = 3
-#: Least number of ranges of ids; each range is one window group. With many shuffle partitions there
-#: are four ranges to a partition, so that groups do not grow with the data.
+#: Ranges of ids, each one window group: at least so many, and eight to a shuffle partition, so that groups do
+#: not grow with the data. Their bounds are two text literals in the plan, however many they are.
 ID_RANGES = 1024
+#: Bits within which block tables find fingerprints: copies with a word or two changed.
+CLOSE_BITS = 3
 #: Bits by which near copies differ: of 1,513 texts of sf0.1 with random words replaced, of a 5-word Jaccard
 #: of 0.8 or more, 99.87 % differ by no more; of 79,792 pairs of unlike texts the nearest differ by 38.
 NEAR_BITS = 24
@@ -71,48 +73,38 @@ def hex_string(hi, lo) -> Column:
 
 
 def _id_bounds(ids: DataFrame, ranges: int) -> list[int]:
-    """At most ``ranges`` existing ids that split the ids evenly; the last is the largest.
-
-    Quantiles are taken over a sample of about 100 ids a range, chosen by a hash, so that what
-    reaches one task does not grow with the number of partitions.
-    """
+    """About ``ranges`` ids in order, those of the least hashes, and the largest; without any id 0."""
     n, top = ids.agg(F.count("doc_id"), F.max("doc_id")).first()
-    if not n:
-        return []
-    share = min(1_000_000, -(-100 * ranges * 1_000_000 // n))
-    sample = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    got = sample.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges + 1)], 20 * ranges)).first()[0]
-    return sorted({*(got or []), top})
-
-
-def _range_of(doc_id: Column, bounds: list[int]) -> Column:
-    """Index of the first bound that is not below the id, found in two steps of about sqrt(n)."""
-    step = max(1, round(len(bounds) ** 0.5))
-    coarse = F.array(*[F.lit(b) for b in bounds[step - 1 :: step]])
-    fine = F.array(*[F.array(*[F.lit(b) for b in bounds[i : i + step]]) for i in range(0, len(bounds), step)])
-    at = F.size(F.filter(coarse, lambda b: b < doc_id))
-    within = F.size(F.filter(F.coalesce(F.get(fine, at), F.array().cast("array<long>")), lambda b: b < doc_id))
-    return F.when(doc_id.isNull(), F.lit(0)).otherwise(at * step + within)
+    h = F.xxhash64(F.lit("bounds"), F.col("doc_id")).bitwiseAND(F.lit((1 << 63) - 1))
+    some = ids.where((h <= min((1 << 63) - 1, (1 << 63) * ranges // max(n, 1))) | (F.col("doc_id") == F.lit(top)))
+    return some.where("doc_id is not null").agg(F.array_sort(F.collect_set("doc_id"))).first()[0] or [0]
 
 
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """rng, rn, ghost, doc_id, text, next_text; next in descending doc_id, the first after the last.
 
-    Ids are cut into ranges at quantiles that occur as ids, so each range is one window group of
-    bounded size. The head of every range is copied, as a ghost, to the end of the range before
-    it, which makes ``lead`` right at the borders without any global sort. Ghosts stay in the
-    result so that callers can look ahead once more.
+    Ids are cut into ranges at ids that occur, so each range is one window group of bounded size. The
+    head of every range is copied, as a ghost, to the end of the range before it, which makes ``lead``
+    right at the borders without any global sort. Ghosts stay in the result so that callers can look
+    ahead once more. Rows without doc_id, and rows of one doc_id, are in one range each.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranges = ranges or max(ID_RANGES, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or max(ID_RANGES, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bounds = _id_bounds(src.select("doc_id"), ranges)
-    if not bounds:
-        bounds = [0]
-    top, rng = len(bounds) - 1, _range_of(F.col("doc_id"), bounds)
-    head = F.col("doc_id").isNotNull() & F.get(F.array(*[F.lit(b) for b in bounds]), F.col("rng")).eqNullSafe(F.col("doc_id"))
-    alone = F.col("doc_id").isNull() & F.lit(bounds == [0])
-    places = F.when(head | alone, F.array(F.struct(F.col("rng"), F.lit(0).alias("ghost")), F.struct(F.when(F.col("rng") == top, 0).otherwise(F.col("rng") + 1).alias("rng"), F.lit(1).alias("ghost"))))
-    places = places.otherwise(F.array(F.struct(F.col("rng"), F.lit(0).alias("ghost"))))
+    top, step, doc_id = len(bounds) - 1, max(1, round(len(bounds) ** 0.5)), F.col("doc_id")
+    cut = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    heads = F.split(F.lit(",".join(str(c[-1]) for c in cut)), ",").cast("array<long>")
+    blocks = F.split(F.lit(";".join(",".join(map(str, c)) for c in cut)), ";")
+    block = lambda i: F.split(F.get(blocks, i), ",").cast("array<long>")
+    # the first bound that is not below the id, in two steps of about sqrt(n)
+    at = F.size(F.filter(heads, lambda b: b < doc_id))
+    within = F.size(F.filter(F.coalesce(block(at), F.array().cast("array<long>")), lambda b: b < doc_id))
+    rng = F.when(doc_id.isNull(), F.lit(0)).otherwise(at * step + within)
+    head = doc_id.isNotNull() & F.get(block(F.floor(F.col("rng") / step).cast("int")), F.col("rng") % step).eqNullSafe(doc_id)
+    alone = doc_id.isNull() & F.lit(src.where("doc_id is not null").isEmpty())
+    here = F.struct(F.col("rng"), F.lit(0).alias("ghost"))
+    before = F.struct(F.when(F.col("rng") == top, 0).otherwise(F.col("rng") + 1).alias("rng"), F.lit(1).alias("ghost"))
+    places = F.when(head | alone, F.array(here, before)).otherwise(F.array(here))
     rows = src.withColumn("rng", rng).select("doc_id", "text", F.explode(places).alias("p")).select("p.rng", "p.ghost", "doc_id", "text")
     order = Window.partitionBy("rng").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "text")
     return rows.select("rng", F.row_number().over(order).alias("rn"), "ghost", "doc_id", "text", F.lead("text").over(order).alias("next_text"))
@@ -194,17 +186,24 @@ def within_any_radius(fingerprints: DataFrame, queries: DataFrame, radius: int,
     return found
 
 
-def near_counts(fingerprints: DataFrame, every: int = 50, radius: int = NEAR_BITS) -> DataFrame:
-    """doc_id, n_within: for each id divisible by ``every``, other documents within ``radius``."""
+def near_counts(fingerprints: DataFrame, every: int = 50, close: int = CLOSE_BITS, radius: int = NEAR_BITS) -> DataFrame:
+    """doc_id, fp_hi, fp_lo, n_close, n_within: for each id divisible by ``every``, other documents within ``close``
+    and ``radius`` bits; one row for each id and fingerprint.
+
+    Block tables find what is close. At the wide radius their keys would be a few bits, and each query meets all.
+    """
     queries = fingerprints.where(F.col("doc_id") % every == 0)
-    found = within_any_radius(fingerprints, queries, radius).groupBy("q_hi", "q_lo").agg(F.sum("copies").alias("n"))
-    return queries.alias("q").join(found.hint("merge"), (F.col("q.fp_hi") == F.col("q_hi")) & (F.col("q.fp_lo") == F.col("q_lo"))).select("q.doc_id", (F.col("n") - 1).alias("n_within"))
+    count = lambda found, name: found.groupBy("q_hi", "q_lo").agg((F.sum("copies") - 1).alias(name))
+    near = count(within_radius(fingerprints, queries, close), "n_close").join(count(within_any_radius(fingerprints, queries, radius), "n_within").hint("merge"), ["q_hi", "q_lo"])
+    asked = queries.select("doc_id", "fp_hi", "fp_lo").distinct()
+    return asked.join(near.withColumnsRenamed({"q_hi": "fp_hi", "q_lo": "fp_lo"}).hint("merge"), ["fp_hi", "fp_lo"])
 
 
 def op5(docs: DataFrame) -> DataFrame:
+    """``fingerprint_documents`` as hex strings, with the numbers of ``near_counts`` for its queries, else null."""
     fps = materialize(fingerprint_documents(docs), "simhash")
-    near = near_counts(fps.where(F.col("doc_id").isNotNull())).distinct()
-    return fps.join(near.hint("merge"), "doc_id", "left").select(
+    near = materialize(near_counts(fps.where(F.col("doc_id").isNotNull())), "simhash-near")
+    return fps.join(near.hint("merge"), ["doc_id", "fp_hi", "fp_lo"], "left").select(
         "doc_id", "n_chars", "edited_sha256", hex_string("fp_hi", "fp_lo").alias("fingerprint"), hex_string("edited_hi", "edited_lo").alias("edited_fingerprint"),
-        "near_edited", "near_next", F.col("n_within").alias("n_within_radius"),
+        "near_edited", "near_next", F.col("n_close").alias("n_close"), F.col("n_within").alias("n_within_radius"),
     )
