@@ -19,9 +19,9 @@ from .common import materialize, small_batches
 from .shingles import chunks
 
 #: Bounds of the model. The training sample is chosen by a hash of the text and holds about this
-#: many documents; statistics are over their whole texts. Words and n-grams stay in the model if
-#: they make up MIN_SHARE of a language's, so there are at most 1 / MIN_SHARE of each kind and language.
-TRAIN_DOCS = 20_000
+#: many different texts of each language; statistics are over their whole texts. Words and n-grams stay in the
+#: model if they make up MIN_SHARE of a language's, so there are at most 1 / MIN_SHARE of each kind and language.
+TRAIN_DOCS = 5_000
 MIN_SHARE = 2e-5
 #: Scored words that a Python worker remembers; beyond it starts anew.
 CACHE_WORDS = 100_000
@@ -130,17 +130,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def training_sample(docs: DataFrame, counts: dict[str, int], train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """text and lang of about ``train_docs`` different texts of each language; ``counts`` says how many rows each has.
+
+    A share of the 63-bit hashes of texts, so that it is never empty for want of precision, and copies count once.
+    """
+    shares = [x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min((1 << 63) - 1, (1 << 63) * train_docs // max(n, 1))))]
+    if not shares:
+        return docs.select("text", "lang").limit(0)
+    h = F.xxhash64("text").bitwiseAND(F.lit((1 << 63) - 1))
+    return docs.select("text", "lang").where(h <= F.element_at(F.create_map(*shares), F.col("lang"))).distinct()
+
+
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_share: float = MIN_SHARE) -> Model:
     """Fit a model on documents with a language that are not held out, by text and lang alone.
 
-    The sample is bounded by ``train_docs`` (in expectation, by a hash of the text), the model by
-    ``min_share``; the driver holds the model. One document in ``CALIBRATION`` of the sample, chosen
-    by a hash of the text, gives no frequencies but the least evidence a word of a clean document.
+    The sample is bounded by ``train_docs`` a language, the model by ``min_share``; the driver holds the
+    model. One document in ``CALIBRATION`` of the sample, chosen by a hash of the text, gives no
+    frequencies but the least evidence a word of a clean document. Any string may name a language.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("text", "lang")
-    n = labelled.count()
-    if n > train_docs:
-        labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * train_docs / n))
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    labelled = materialize(training_sample(labelled, counts, train_docs), "lang-sample")
     apart = F.pmod(F.xxhash64(F.lit("calibration"), "text"), F.lit(CALIBRATION)) == 0
     labelled, aside = labelled.where(~apart), labelled.where(apart)
     found = F.coalesce(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)), F.array().cast("array<string>"))
@@ -156,14 +167,17 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_share: float = MIN_
     sums = {k: np.array([float(totals.get((lang, k), 0)) for lang in languages]) for k in kinds}
     index, logs, speaks = {k: {} for k in kinds}, {k: np.zeros((0, len(languages))) for k in kinds}, {k: np.zeros((0, len(languages)), bool) for k in kinds}
     if languages:
-        share = every.groupBy("k", "g").pivot("lang", languages).agg(F.sum("n"))
-        often = [F.coalesce(F.col(f"`{lang}`"), F.lit(0)) >= F.greatest(F.lit(1.0), F.element_at(F.create_map(*[x for k in kinds for x in (F.lit(k), F.lit(min_share * float(totals.get((lang, k), 0))))]), F.col("k"))) for lang in languages]
-        kept = often[0]
-        for more in often[1:]:
-            kept = kept | more
-        best = share.where(kept).orderBy("k", "g").toArrow()
+        # columns go by the number of the language: names may be any string
+        numbered = every.withColumn("li", F.array_position(F.array(*[F.lit(lang) for lang in languages]), F.col("lang")))
+        names = [f"n{i}" for i in range(1, len(languages) + 1)]
+        share = numbered.groupBy("k", "g").agg(*[F.coalesce(F.sum(F.when(F.col("li") == i, F.col("n"))), F.lit(0)).alias(name) for i, name in enumerate(names, 1)])
+        least = lambda lang: F.element_at(F.create_map(*[x for k in kinds for x in (F.lit(k), F.lit(max(1.0, min_share * float(totals.get((lang, k), 0)))))]), F.col("k"))
+        kept = F.lit(False)
+        for lang, name in zip(languages, names, strict=True):
+            kept = kept | (F.col(name) >= least(lang))
+        best = share.where(kept).toArrow()
         ks, gs = best.column("k").to_numpy(), best.column("g").to_pylist()
-        counts = np.stack([np.nan_to_num(best.column(lang).to_numpy().astype(float)) for lang in languages], axis=1)
+        counts = np.stack([best.column(name).to_numpy().astype(float) for name in names], axis=1)
         for k in kinds:
             rows = np.flatnonzero(ks == k)
             index[k] = {gs[r]: i for i, r in enumerate(rows)}
