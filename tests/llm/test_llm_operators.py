@@ -340,6 +340,47 @@ def test_language_on_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_language_names_may_be_any_string(spark):
+    names = ["g", "k", "a`b", "n1", "lang.x", ""]
+    words = [["alpha", "beta", "gamma"], ["uno", "dos", "tres"], ["yksi", "kaksi", "kolme"], ["ein", "zwei", "drei"], ["jeden", "dwa", "trzy"], ["egy", "ketto", "harom"]]
+    rows = [(i * 6 + j, " ".join(words[j][(i + k) % 3] for k in range(9)), names[j]) for i in range(40) for j in range(6)] + [(900, "text without a language", None)]
+    got = rows_of(language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert all(r["lang_pred"] == names[r["doc_id"] % 6] for r in got if r["doc_id"] < 900)
+    nothing = rows_of(language_id.identify(spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")))
+    assert [(r["lang_pred"], r["score"]) for r in nothing] == [("und", 0.0)]
+
+
+def test_language_sample_is_bounded_at_any_size(spark):
+    frame = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.lit("one hot text of all")).otherwise(F.concat(F.lit("text number "), F.col("id"))).alias("text"), F.when(F.col("id") < 19_990, "en").otherwise("rare").alias("lang"))
+    got = language_id.training_sample(frame, {"en": 19_990, "rare": 10}, 500).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in got}["rare"] == 6 and 100 < {r["lang"]: r["count"] for r in got}["en"] < 400
+    some = language_id.training_sample(frame, {"en": 10**12, "rare": 10**12}, 10**11).count()
+    assert 500 < some < 2000
+
+
+def brute_back_off(model, text):
+    """Language by plain sums: a known word's log frequencies, else the mean of its longest known n-grams'."""
+    import regex
+
+    total, found = [0.0] * len(model.languages), regex.findall(r"\p{L}[\p{L}\p{M}]*", (text or "").lower())
+    for w in found:
+        if w in model.index[0]:
+            rows = [model.logs[0][model.index[0][w]]]
+        else:
+            rows = next((r for n in language_id.NGRAMS if (r := [model.logs[n][model.index[n][p]] for j in range(len(w) + 3 - n) if (p := f" {w} "[j : j + n]) in model.index[n]])), [])
+        for i in range(len(total)):
+            total[i] += sum(r[i] for r in rows) / max(len(rows), 1)
+    return max(range(len(total)), key=total.__getitem__) if found else None
+
+
+def test_language_equals_brute_force_back_off(docs):
+    model = language_id.train(docs)
+    texts = [r["text"] for r in docs.collect()] + ["zzqx wolkig", "Ünïcödé", "", None, "123 456", "blorptastic ungewiss señorita"]
+    for text, (lang, score) in zip(texts, model.predict(texts), strict=True):
+        at = brute_back_off(model, text)
+        assert lang == ("und" if at is None else model.languages[at]) and 0 <= score <= 1
+
+
 def test_language_odd_rows(odd, none):
     got = rows_of(language_id.identify(odd))
     assert len(got) == odd.count()
@@ -363,10 +404,75 @@ def test_quality_against_labels(spark):
     assert sum(r["keep"] for r in good) / len(good) > 0.98
 
 
-def test_quality_votes_model():
-    post, rate = quality.fit_votes([[1, 1, 0], [1, -1, 1], [-1, -1, 0], [-1, -1, -1]], [600, 5, 20, 15])
-    assert post[0] > 0.9 > 0.1 > post[2] and post[3] < 0.1
-    assert (rate[:, 1] >= quality.LEAST_ACCURACY).all() and (rate > 0).all() and (rate <= 1).all()
+def test_quality_chances_are_those_of_the_labels(spark):
+    """The fit sees no label, and finds how often each labeller votes good, bad or not at all on either class."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    counted = quality.vote_counts(docs).collect()
+    _, chance = quality.fit_votes([r["votes"] for r in counted], [r["n"] for r in counted])
+    texts = docs.join(labels.where("quality is not null"), "doc_id").select("text", "quality").collect()
+    voted = quality.votes(quality.signals([r["text"] for r in texts])[0])
+    true = [r["quality"] for r in texts]
+    for j, name in enumerate(quality.LABELLERS):
+        for y in (0, 1):
+            on = [v[j] for v, q in zip(voted, true, strict=True) if q == y and v.any()]
+            for at, vote in enumerate((quality.BAD, quality.ABSTAIN, quality.GOOD)):
+                assert abs(sum(v == vote for v in on) / len(on) - chance[j, y, at]) < 0.05, (name, y, vote)
+
+
+def test_quality_fit_recovers_a_mixture():
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    kinds = [(0.8, [0.0, 0.1, 0.9]), (0.12, [0.9, 0.1, 0.0]), (0.08, [0.1, 0.8, 0.1])]
+    rows, true = [], []
+    for k, (share, chance) in enumerate(kinds):
+        n = int(5000 * share)
+        rows += list(rnd.choice([-1, 0, 1], size=(n, 6), p=chance))
+        true += [k == 0] * n
+    patterns, at, n = np.unique(np.array(rows), axis=0, return_inverse=True, return_counts=True)
+    post, chance = quality.fit_votes(patterns.tolist(), n.tolist())
+    right = [(p > 0.5) == t for p, t, r in zip(post[at.ravel()], true, rows, strict=True) if r.any()]  # where someone votes
+    assert sum(right) / len(right) > 0.99 and abs(chance[:, 1, 2] - 0.9).max() < 0.03
+    shuffled = list(range(len(n)))[::-1]
+    again, _ = quality.fit_votes(patterns[shuffled].tolist(), n[shuffled].tolist())
+    assert (again[::-1] == post).all()
+    assert (quality.fit_votes([[0, 0], [0, 0]], [3, 4])[0] == 1).all() and len(quality.fit_votes([], [])[0]) == 0
+
+
+def test_quality_scores_equal_brute_force(spark):
+    """Scores of a tiny corpus from plain dictionaries of features."""
+    import math
+
+    texts = ["A plain text of several good words, with a stop at its end. " * (1 + i % 3) for i in range(20)] + ["@@ ## $$ %% spam!!! " * 9] * 3 + ["", None, "x"]
+    got = rows_of(quality.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    distinct = sorted({t for t in texts if t is not None})
+    counted = Counter(tuple(v) for v in quality.votes(quality.signals(texts)[0]).tolist())
+    post, _ = quality.fit_votes([list(k) for k in counted], list(counted.values()))
+    soft = dict(zip(counted, post, strict=True))
+    rows = [quality._unit_counts(f) for f in quality.signals(distinct)[1]]
+    target = [soft[tuple(v)] for v in quality.votes(quality.signals(distinct)[0]).tolist()]
+    w = look = [0.0] * (quality.FEATURES + 1)
+    for step in range(quality.ITERATIONS):
+        slope = [quality.RIDGE * x for x in look]
+        for (place, value), y in zip(rows, target, strict=True):
+            z = look[-1] + sum(look[p] * v for p, v in zip(place, value, strict=True))
+            off = (1 / (1 + math.exp(-z)) - y) / len(rows)
+            slope[-1] += off
+            for p, v in zip(place, value, strict=True):
+                slope[p] += off * v
+        moved = [x - 4 * g for x, g in zip(look, slope, strict=True)]
+        look, w = [m + step / (step + 3) * (m - o) for m, o in zip(moved, w, strict=True)], moved
+    want = {t: 1 / (1 + math.exp(-(w[-1] + sum(w[p] * v for p, v in zip(*r, strict=True))))) if t.strip() else 0 for t, r in zip(distinct, rows, strict=True)}
+    assert all(abs(r["score"] - (want[texts[r["doc_id"]]] if texts[r["doc_id"]] else 0)) < 1e-6 for r in got)
+
+
+def test_quality_sample_is_bounded_at_any_size(spark):
+    frame = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("one hot text of all")).otherwise(F.concat(F.lit("text number "), F.col("id"))).alias("text"))
+    for n_docs, most in ((30_000, 500), (30_000, 40_000), (1, 100)):
+        got = [r["h"] for r in quality.training_sample(frame, n_docs, most).select("h").collect()]
+        assert 0.8 * min(most, 15_001) <= len(got) == len(set(got)) <= most
+    some = quality.training_sample(frame, 10**11, 10**9).count()  # far more documents: the share of hashes shrinks, but not to none
+    assert 0 < some < 15_001
 
 
 def test_quality_odd_rows(odd, none):
@@ -495,6 +601,20 @@ def test_simhash_odd_rows(odd, none, docs):
     assert sum(r["near_edited"] > r["near_next"] for r in got) / len(got) > 0.95
 
 
+def test_simhash_of_repeated_ids(spark):
+    """Texts of one id stay rows of their own, those divisible by 50 too, and follow each other across ranges."""
+    rows = [(50, f"text number {i} of one id and some words more") for i in range(3)] + [(50, "text number 0 of one id and some words more")] + [(i, f"document {i} says this and that") for i in range(1, 30)] + [(None, "no id"), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rows_of(simhash.op5(frame))
+    assert Counter((r["doc_id"], r["n_chars"]) for r in got) == Counter((i, len(t or "")) for i, t in rows)
+    assert sum(r["n_close"] is not None for r in got) == 4 and {r["n_close"] >= 1 for r in got if r["doc_id"] == 50 and r["fingerprint"] == brute_fingerprint(rows[0][1])} == {True}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    for ranges in (1, 3, 1000):
+        follow = Counter((r["doc_id"], r["text"], r["next_text"]) for r in simhash.with_next(frame, ranges).where("ghost = 0").collect())
+        by_id = [(i, t) for i, t in order if i is not None and i != 50]
+        assert all((i, t, n) in follow for (i, t), (_, n) in zip(by_id, by_id[1:], strict=False))
+
+
 def test_radius_search_equals_brute_force(spark):
     import random
 
@@ -542,20 +662,37 @@ def test_association_rules_equal_brute_force(spark):
     from itertools import combinations
 
     rows = [(["a", "b"], True)] * 30 + [(["a", "c"], False)] * 40 + [(["b", "c"], True)] * 5 + [(["b", "c"], False)] * 5 + [(["d"], False)] * 20 + [(["a", "b", "d"], False)] * 2
-    found = rows_of(url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), 0.05, 0.6))
+    rows += [(["e", "f"], True)] * 10 + [(["e", "f", "g"], True)] * 8 + [(["e", "g"], True)] * 2 + [(["e"], False)] * 6
+    found = rows_of(url_rules.mine_rules(spark.createDataFrame(rows, "items array<string>, blocked boolean"), 0.03, 0.6))
     want = {}
     for size in (1, 2, 3):
-        for t in combinations("abcd", size):
-            on = [b for tokens, b in rows if set(t) <= set(tokens)]
-            if on and sum(on) / len(rows) >= 0.05 and sum(on) / len(on) >= 0.6:
-                want[t] = round(sum(on) / len(on), 9)
-    assert {tuple(r["tokens"]): round(r["confidence"], 9) for r in found} == want
-    sets = spark.createDataFrame([(["a", "b", "d"],), (["a"],), (["b", "c"],)], "tokens array<string>")
-    matched = {tuple(r["tokens"]): round(r["confidence"], 9) for r in rows_of(url_rules.match_rules(sets, url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), 0.05, 0.6)))}
-    brute = {s: max((c for t, c in want.items() if set(t) <= set(s)), default=None) for s in (("a", "b", "d"), ("a",), ("b", "c"))}
+        for t in combinations("abcdefg", size):
+            on = [b for items, b in rows if set(t) <= set(items)]
+            if on and sum(on) / len(rows) >= 0.03 and sum(on) / len(on) >= 0.6:
+                want[t] = sum(on) / len(on)
+    shortest = {t: round(c, 9) for t, c in want.items() if not any(set(o) < set(t) and d >= c for o, d in want.items())}
+    assert {tuple(r["items"]): round(r["confidence"], 9) for r in found} == shortest and ("e", "f") in want and ("e", "f") not in shortest
+    sets = spark.createDataFrame([(["a", "b", "d"],), (["a"],), (["b", "c"],), (["e", "f", "x"],)], "items array<string>")
+    matched = {tuple(r["items"]): round(r["confidence"], 9) for r in rows_of(url_rules.match_rules(sets, url_rules.mine_rules(spark.createDataFrame(rows, "items array<string>, blocked boolean"), 0.03, 0.6)))}
+    brute = {s: max((round(c, 9) for t, c in want.items() if set(t) <= set(s)), default=None) for s in (("a", "b", "d"), ("a",), ("b", "c"), ("e", "f", "x"))}
     assert matched == {s: c for s, c in brute.items() if c is not None}
 
 
+def test_rules_need_enough_urls_and_no_subsets(spark):
+    """A URL with 25 query keys that is labelled once gives no rule, labelled ten times one item and one rule; ties and odd labels do no harm."""
+    long_url = "http://bad.example/p/{}?" + "&".join(f"k{c}=1" for c in "abcdefghijklmnopqrstuvwxy")
+    pages = [(i, long_url.format(i)) for i in range(12)] + [(100 + i, f"http://fine.example/q/{100 + i}") for i in range(40)] + [(200, "http://other.example/p/200?kc=7"), (201, None)]
+    frame = spark.createDataFrame(pages, "page_id long, url string").withColumn("items", F.lit(1)).withColumn("url_no", F.lit(1))
+    labels = lambda n: spark.createDataFrame([(i, 0) for i in range(n)] + [(100 + i, 1) for i in range(40)] + [(None, 0), (100, None)], "doc_id long, quality int")
+    once = {r["page_id"]: r["verdict"] for r in rows_of(url_rules.filter_urls(frame, labels(1)))}
+    assert set(once.values()) == {"allow"}
+    labelled = url_rules.labelled_urls(frame, labels(10)).withColumn("url_no", F.monotonically_increasing_id())
+    classes = {r["token"]: r["item"] for r in rows_of(url_rules.token_classes(labelled))}
+    assert len({classes[f"query:k{c}"] for c in "abcxy"}) == 1
+    ten = {r["page_id"]: (r["verdict"], r["confidence"]) for r in rows_of(url_rules.filter_urls(frame, labels(10)))}
+    assert all(ten[i] == ("block", 1.0) for i in [*range(12), 200]) and all(ten[100 + i] == ("allow", None) for i in range(40)) and ten[201] == ("allow", None)
+
+
 # mixing ----------------------------------------------------------------------------------------
 
 
@@ -612,6 +749,24 @@ def test_pivotal_rounding_keeps_the_sum_and_the_chances():
     assert all(abs(h / 3000 - f) < 0.04 for h, f in zip(hits, fracs, strict=True))
 
 
+def test_mix_of_many_equal_rows(spark, monkeypatch):
+    """Equal rows are shared out among themselves, whatever the type of their ids, and meet in no group."""
+    monkeypatch.setattr(mixing, "RUN_ROWS", 7)
+    rows = [(5, "a b c", "s")] * 100 + [(None, "a b", "s")] * 41 + [(i, "w " * i, "t") for i in range(1, 40)] + [(99, "only one document here", None)]
+    want = brute_targets({"s": 382, "t": 780, None: 4})
+    for kind in ("int", "string", "long"):
+        frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("doc_id", F.col("doc_id").cast(kind)).withColumn("n_rows", F.lit(1))
+        got = rows_of(mixing.mix_sources(frame, group_rows=8))
+        assert Counter((r["doc_id"], r["source"]) for r in got) == Counter((r[0], r[2]) for r in rows)
+        taken = Counter()
+        for r in got:
+            assert r["copies"] in (0, 1, 2)
+            taken[r["source"]] += r["taken"]
+        assert abs(taken["s"] - want["s"]) <= 5 and abs(taken["t"] - want["t"]) <= 40 and taken[None] in (4, 8)
+        hundred = [r["copies"] for r in got if r["doc_id"] == 5 and r["source"] == "s"]
+        assert max(hundred) - min(hundred) <= 1
+
+
 def test_mix_odd_rows(odd, none):
     got = rows_of(mixing.mix_sources(odd))
     assert len(got) == odd.count() and all(r["taken"] == 0 for r in got if r["size"] == 0)
