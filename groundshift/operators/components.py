@@ -7,13 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundshift.plans.scratch import materialize
+from groundshift.plans.scratch import join_hot, materialize
 
 MAX_ROUNDS = 60
 #: A node on which more edges hang is a hub: its edges meet its row in a broadcast, not in one task.
 HUB_EDGES = 500
-#: Counted hubs up to which they are broadcast; beyond it all edges are joined by merging.
-HUBS_BROADCAST = 400_000
 
 
 def _contract_batches(batches):
@@ -46,15 +44,9 @@ def _large_star(edges: DataFrame, lowest: DataFrame) -> DataFrame:
 
     A node without a smaller neighbour is that least itself, so its edges stay as they are.
     """
-    hubs = edges.groupBy(F.col("b").alias("u")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB_EDGES)
-    hubs = materialize(hubs.select("u").join(lowest.hint("merge"), "u", "left"), "hubs")
-    n_hubs = hubs.count()
-    on = F.col("b") == F.col("u")
-    if not 0 < n_hubs <= HUBS_BROADCAST:
-        met = edges.join(lowest.hint("merge"), on, "left")
-    else:
-        at_hub = edges.join(F.broadcast(hubs), on).select("a", "b", "u", "m")
-        met = edges.join(F.broadcast(hubs), on, "left_anti").join(lowest.hint("merge"), on, "left").unionByName(at_hub)
+    hung = edges.groupBy(F.col("b").alias("u")).agg(F.count(F.lit(1)).alias("n"))
+    least = hung.join(lowest.hint("merge"), "u", "left")
+    met = join_hot(edges.withColumn("u", F.col("b")), least, "u", f"n > {HUB_EDGES}")
     own = lowest.select(F.col("u").alias("a"), F.col("m").alias("b"))
     return met.select("a", F.coalesce("m", "b").alias("b")).union(own)
 
@@ -78,7 +70,7 @@ def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> Data
 
     Edges with a null end and loops are left out. Batches of edges are first contracted where they
     lie, then rounds of large and small stars follow until all edges are stars. Minima are aggregated
-    before the shuffle; edges that hang on one of at most ``HUBS_BROADCAST`` hubs meet its minimum where they lie.
+    before the shuffle; edges that hang on a hub meet its minimum where they lie (``join_hot``).
     """
     whole = edges.where("a is not null and b is not null and a != b").selectExpr("cast(greatest(a, b) as long) as a", "cast(least(a, b) as long) as b")
     edges = materialize(whole.distinct().mapInArrow(_contract_batches, "a long, b long").distinct(), "edges")

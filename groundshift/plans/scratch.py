@@ -40,3 +40,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def checked_side(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Hint for the smaller side of a join: broadcast up to ``limit`` counted rows, else merge."""
     return F.broadcast(df) if rows <= limit else df.hint("merge")
+
+
+#: Counted hot keys up to which their rows are broadcast.
+HOT_BROADCAST = 400_000
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, hot: str, how: str = "inner") -> DataFrame:
+    """Join on ``key`` with a side that has a row for each key and knows which keys are ``hot`` (a condition on it).
+
+    Rows of hot keys meet a broadcast of those, where they lie; all others, or all if more than
+    ``HOT_BROADCAST`` keys are hot, are joined by merging. ``how`` is inner or left.
+    """
+    big = materialize(side.where(hot), "hot-keys")
+    if not 0 < big.count() <= HOT_BROADCAST:
+        return rows.join(side.hint("merge"), key, how)
+    rest = rows.join(F.broadcast(big.select(key)), key, "left_anti").join(side.where(f"not coalesce({hot}, false)").hint("merge"), key, how)
+    return rest.unionByName(rows.join(F.broadcast(big), key))
