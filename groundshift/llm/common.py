@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundshift.plans.scratch import checked_side, materialize, scratch_dir
+from groundshift.plans.scratch import checked_side, join_hot, materialize, scratch_dir
 
-__all__ = ["checked_side", "materialize", "scratch_dir", "small_batches", "table"]
+__all__ = ["checked_side", "join_hot", "materialize", "scratch_dir", "small_batches", "table"]
 
 #: Rows of an Arrow batch that become Python objects at once.
 SLICE_ROWS = 512

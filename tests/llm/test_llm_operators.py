@@ -146,7 +146,7 @@ def test_boilerplate_does_not_chain(spark):
     nodes = near_join.trie_nodes(prof, near_join.emitted_depths(depths)).cache()
     crowded = nodes.groupBy("node").count().where("count > 100").count()
     assert set(depths.values()) <= {4, 5, 6} and crowded > 0
-    assert near_join.candidates(nodes).count() == 0
+    assert near_join.candidates(nodes, prof).count() == 0
 
 
 def test_prefixes_stop_where_the_target_is_met(spark):
