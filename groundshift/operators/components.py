@@ -12,26 +12,47 @@ from groundshift.plans.scratch import join_hot, materialize
 MAX_ROUNDS = 60
 #: A node on which more edges hang is a hub: its edges meet its row in a broadcast, not in one task.
 HUB_EDGES = 500
+#: Edges that one task contracts at once.
+TASK_EDGES = 500_000
+
+
+def _contract(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Stars around the least node of each component of the edges."""
+    nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    i, j = place[: len(a)], place[len(a) :]
+    root = np.arange(len(nodes))
+    while len(i):
+        low = np.minimum(root[i], root[j])
+        before = root.copy()
+        for end in (i, j):
+            np.minimum.at(root, end, low)
+            np.minimum.at(root, before[end], low)
+        root = root[root]
+        if (root == before).all():
+            break
+    off = root != np.arange(len(nodes))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[off]), pa.array(nodes[root[off]])], names=["a", "b"])
 
 
-def _contract_batches(batches):
-    """Replace the edges of each Arrow batch by stars around the least node of their components."""
+def _contract_tasks(batches):
+    """Replace the edges of each run of batches by stars; a run ends with ``TASK_EDGES`` edges or the task."""
+    held, n = [], 0
     for batch in batches:
-        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
-        i, j = place[: len(a)], place[len(a) :]
-        root = np.arange(len(nodes))
-        while len(i):
-            low = np.minimum(root[i], root[j])
-            before = root.copy()
-            for end in (i, j):
-                np.minimum.at(root, end, low)
-                np.minimum.at(root, before[end], low)
-            root = root[root]
-            if (root == before).all():
-                break
-        off = root != np.arange(len(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[off]), pa.array(nodes[root[off]])], names=["a", "b"])
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        n += batch.num_rows
+        if n >= TASK_EDGES:
+            yield _contract(*map(np.concatenate, zip(*held, strict=True)))
+            held, n = [], 0
+    if held:
+        yield _contract(*map(np.concatenate, zip(*held, strict=True)))
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """The edges contracted where they lie, then in tasks of about ``TASK_EDGES``; and whether one task held all, which settles them."""
+    local = materialize(edges.mapInArrow(_contract_tasks, "a long, b long"), "edges")
+    tasks = max(1, -(-local.count() // TASK_EDGES))
+    stars = local.coalesce(tasks).mapInArrow(_contract_tasks, "a long, b long")
+    return materialize(stars if tasks == 1 else stars.distinct(), "edges"), tasks == 1
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -68,17 +89,17 @@ def _settled(edges: DataFrame) -> bool:
 def connected_components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(node, root) of every node of the undirected edges (a, b); root is the component's least node.
 
-    Edges with a null end and loops are left out. Batches of edges are first contracted where they
-    lie, then rounds of large and small stars follow until all edges are stars. Minima are aggregated
+    Edges with a null end and loops are left out. Edges are first contracted where they lie and in
+    tasks of bounded size, then rounds of large and small stars follow until all edges are stars. Minima are aggregated
     before the shuffle; edges that hang on a hub meet its minimum where they lie (``join_hot``).
     """
     whole = edges.where("a is not null and b is not null and a != b").selectExpr("cast(greatest(a, b) as long) as a", "cast(least(a, b) as long) as b")
-    edges = materialize(whole.distinct().mapInArrow(_contract_batches, "a long, b long").distinct(), "edges")
+    edges, done = _contracted(whole)
     for _ in range(max_rounds):
-        if _settled(edges):
+        if done or _settled(edges):
             break
         lowest = materialize(_lowest(edges), "lowest")
-        edges = materialize(_small_star(_large_star(edges, lowest).distinct()).distinct().mapInArrow(_contract_batches, "a long, b long").distinct(), "edges")
+        edges, done = _contracted(_small_star(_large_star(edges, lowest).distinct()))
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     stars = edges.selectExpr("a as node", "b as root")

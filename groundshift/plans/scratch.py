@@ -52,8 +52,8 @@ def join_hot(rows: DataFrame, side: DataFrame, key: str, hot: str, how: str = "i
     Rows of hot keys meet a broadcast of those, where they lie; all others, or all if more than
     ``HOT_BROADCAST`` keys are hot, are joined by merging. ``how`` is inner or left.
     """
-    big = materialize(side.where(hot), "hot-keys")
-    if not 0 < big.count() <= HOT_BROADCAST:
+    if not 0 < side.where(hot).limit(HOT_BROADCAST + 1).count() <= HOT_BROADCAST:
         return rows.join(side.hint("merge"), key, how)
+    big = materialize(side.where(hot), "hot-keys")
     rest = rows.join(F.broadcast(big.select(key)), key, "left_anti").join(side.where(f"not coalesce({hot}, false)").hint("merge"), key, how)
     return rest.unionByName(rows.join(F.broadcast(big), key))
