@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+from functools import cache
+from itertools import chain
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Scene classes that make a pixel unusable (fixed values).
 UNUSABLE_CLASSES = (0, 1, 3, 8, 9, 10, 11)
-#: Latin letters with diacritics and what they fold to (fixed values).
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+#: Code points that are folded: the planes with letters, and the compatibility ideographs.
+FOLDED = (range(0x20000), range(0x2F800, 0x2FA20))
+HANGUL = range(0xAC00, 0xD7A4)
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -44,11 +49,38 @@ def passes(value: Column, direction: str, threshold: float) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
+@cache
+def _foldings() -> tuple[str, str, str, str]:
+    """Letters that fold to one letter, those letters, what follows them there is dropped; and the longer foldings as a regex class and as JSON.
+
+    A letter folds to its compatibility decomposition without combining marks, in folded case.
+    Hangul syllables stay whole.
+    """
+    one, plain, dropped, longer = [], [], [], {}
+    for c in map(chr, chain(*FOLDED)):
+        if ord(c) in HANGUL or 0xD800 <= ord(c) < 0xE000:
+            continue
+        f = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).casefold()
+        if not f:
+            dropped.append(c)
+        elif len(f) > 1:
+            longer[c] = f
+        elif f != c:
+            one.append(c)
+            plain.append(f)
+    some = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in longer) + "]"
+    return "".join(one + dropped), "".join(plain), some, json.dumps(longer)
+
+
 def normalize_text(text: Column) -> Column:
-    """Lower case without diacritics, ß as ss, single spaces, trimmed."""
-    folded = F.translate(F.lower(text), ACCENTED, PLAIN)
-    bare = F.regexp_replace(F.replace(folded, F.lit("ß"), F.lit("ss")), r"\p{M}", "")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    """Compatibility decomposition without combining marks, folded case, single spaces, trimmed; null stays null.
+
+    Ligatures, fractions and the like become several letters; Hangul syllables are not taken apart.
+    """
+    one, plain, some, longer = _foldings()
+    spelled = F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(F.from_json(F.lit(longer), "map<string,string>"), c), c))
+    bare = F.translate(F.when(F.rlike(text, F.lit(some)), F.array_join(spelled, "")).otherwise(text), one, plain)
+    return F.trim(F.regexp_replace(bare, r"[\s\x1c-\x1f\x85\x{1680}\x{2028}\x{2029}]+", " "))
 
 
 def title_key(text: Column) -> Column:

@@ -11,6 +11,7 @@ from groundshift.plans.scratch import checked_side
 #: Days before, after, and of the longest look-back (fixed values).
 LEAD_DAYS, LAG_DAYS, LOOKBACK_DAYS = 30, 14, 400
 WATCHES_BROADCAST = 1000
+DEALS = 64
 
 
 def fusion_window(pairs: DataFrame) -> DataFrame:
@@ -63,14 +64,19 @@ def score_articles(articles: DataFrame, watches: DataFrame) -> DataFrame:
     """Every article with its gate outcome under every watch of its area.
 
     Articles that carry an aoi_id meet the watches of that area. Articles without one meet all
-    watches, a stated query set of at most ``WATCHES_BROADCAST`` rows.
+    watches, a stated query set, in blocks of about ``WATCHES_BROADCAST``: every article goes to
+    each block once, and a block's watches lie in ``DEALS`` parts of the articles. One block is broadcast.
     """
+    n = watches.count()
     if "aoi_id" in articles.columns:
-        met = articles.join(watches, "aoi_id")
-    else:
-        if watches.count() > WATCHES_BROADCAST:
-            raise ValueError("give the articles an aoi_id: there are too many watches to score all articles under each")
+        met = articles.join(checked_side(watches, n, WATCHES_BROADCAST), "aoi_id")
+    elif n <= WATCHES_BROADCAST:
         met = articles.join(F.broadcast(watches))
+    else:
+        blocks = -(-n // WATCHES_BROADCAST)
+        dealt = articles.select("*", F.pmod(F.xxhash64("article_id"), F.lit(DEALS)).alias("_deal"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+        query = watches.select("*", F.pmod(F.xxhash64("aoi_id", "window_start"), F.lit(blocks)).cast("int").alias("_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))).alias("_deal"))
+        met = dealt.join(query.hint("merge"), ["_block", "_deal"]).drop("_block", "_deal")
     return met.withColumn("gate", gate())
 
 

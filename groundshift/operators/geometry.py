@@ -34,7 +34,7 @@ def vertices_to_wgs84(vertices: DataFrame) -> DataFrame:
 
 def edges_to_grid(edges: DataFrame, grids: DataFrame) -> DataFrame:
     """lon/lat edges in fractional columns and rows of their area's grid (epsg, a, e, x0g, y0g)."""
-    met = edges.join(grids, "aoi_id")
+    met = edges.join(grids.hint("merge"), "aoi_id")
     out = {}
     for n in "01":
         east, north = to_utm(F.col(f"x{n}"), F.col(f"y{n}"), F.col("epsg"))
@@ -76,7 +76,7 @@ def touched_cells(edges: DataFrame) -> DataFrame:
 def polygon_area_check(edges: DataFrame, official: DataFrame) -> DataFrame:
     """Projected (shoelace) area against the official one: relative error and whether it is within tolerance."""
     area = F.abs(F.sum(F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")) / 2)
-    met = edges.groupBy("aoi_id").agg(area.alias("area_m2")).join(official, "aoi_id")
+    met = edges.groupBy("aoi_id").agg(area.alias("area_m2")).join(official.hint("merge"), "aoi_id")
     return met.withColumn("error", F.abs(F.col("area_m2") - F.col("official_m2")) / F.col("official_m2")).withColumn("ok", F.col("error") <= AREA_TOLERANCE)
 
 
@@ -91,7 +91,7 @@ def region_overlap(labels: DataFrame, cells: DataFrame) -> DataFrame:
     """Per region: shared cells with the area's target, IoU and covered share."""
     target = cells.groupBy("aoi_id").agg(F.count(F.lit(1)).alias("target"))
     on = cells.withColumn("_on", F.lit(1))
-    got = labels.join(on.hint("merge"), ["aoi_id", "row", "col"], "left").groupBy("aoi_id", "region_id").agg(F.count(F.lit(1)).alias("own"), F.count("_on").alias("shared")).join(target, "aoi_id")
+    got = labels.join(on.hint("merge"), ["aoi_id", "row", "col"], "left").groupBy("aoi_id", "region_id").agg(F.count(F.lit(1)).alias("own"), F.count("_on").alias("shared")).join(target.hint("merge"), "aoi_id")
     return got.select("aoi_id", "region_id", "shared", (F.col("shared") / (F.col("own") + F.col("target") - F.col("shared"))).alias("iou"), (F.col("shared") / F.col("own")).alias("covered"))
 
 
@@ -106,7 +106,7 @@ def truth_in_window(edges: DataFrame, windows: DataFrame) -> DataFrame:
 
     A polygon meets a box if an edge does, or if a corner of the box lies inside it (odd crossings).
     """
-    met = edges.join(windows, "aoi_id")
+    met = edges.join(windows.hint("merge"), "aoi_id")
 
     def within(p: str, d, lo: str, hi: str):
         a, b = (F.col(lo) - F.col(p)) / F.when(d != 0, d), (F.col(hi) - F.col(p)) / F.when(d != 0, d)

@@ -28,9 +28,12 @@ def pair_scenes(before: DataFrame, after: DataFrame, bands) -> DataFrame:
     return named(before, 0).join(named(after, 1), list(KEY))
 
 
-def index_deltas(pairs: DataFrame) -> DataFrame:
-    """ndvi and ndwi of both dates and their change, after masking."""
-    ok = usable(F.col("scl"))
+def index_deltas(pairs: DataFrame, classes=("scl",)) -> DataFrame:
+    """ndvi and ndwi of both dates and their change, after masking.
+
+    ``classes`` names the class columns, such as one for each date; a pixel must be usable in all.
+    """
+    ok = usable(*map(F.col, classes))
     at = lambda f, a, b, n: F.when(ok, f(F.col(f"{a}{n}"), F.col(f"{b}{n}")))
     out = pairs.withColumns({
         "ndvi_before": at(ndvi, "red", "nir", 0), "ndvi_after": at(ndvi, "red", "nir", 1), "ndwi_before": at(ndwi, "green", "nir", 0), "ndwi_after": at(ndwi, "green", "nir", 1),
@@ -69,17 +72,30 @@ def ssim_dissimilarity(pairs: DataFrame, a: str = "red0", b: str = "red1") -> Da
     return sums.select(*KEY, (F.lit(1.0) - top / low).alias("ssim_dissim"))
 
 
-def change_maps(pairs: DataFrame, presets=PRESETS) -> DataFrame:
-    """The pairs with exactly the maps that the presets' rules name, and ``usable``."""
+def change_maps(pairs: DataFrame, presets=PRESETS, classes=("scl",)) -> DataFrame:
+    """The pairs with exactly the maps that the presets' rules name, and ``usable``.
+
+    SSIM is taken of the band that the preset of the pixel's vertical names, and by the first
+    preset's where there is no such preset. ``classes`` as for ``index_deltas``.
+    """
     wanted = {r.map for p in presets for r in p.rules}
-    maps = index_deltas(pairs)
+    maps = index_deltas(pairs, classes)
     indices = [m for m in ("ndvi", "ndwi", "ndvi_before", "ndwi_before", "ndvi_after", "ndwi_after") if m in wanted]
     out = maps.select(*pairs.columns, "usable", *indices)
     if "ssim_dissim" in wanted:
-        out = out.join(ssim_dissimilarity(pairs).hint("merge"), list(KEY))
+        out = out.join(ssim_dissimilarity(pairs.select(*KEY, *[_ssim_band(presets, n) for n in "01"]), "_s0", "_s1").hint("merge"), list(KEY))
     return out
 
 
+def _ssim_band(presets, date: str) -> Column:
+    """The band of one date that SSIM is taken of, by the pixel's vertical."""
+    band = F.col(f"{presets[0].ssim_band}{date}")
+    for i, p in enumerate(presets):
+        if p.ssim_band != presets[0].ssim_band:
+            band = F.when(F.col("vertical") == i, F.col(f"{p.ssim_band}{date}")).otherwise(band)
+    return band.alias(f"_s{date}")
+
+
 def rule_mask(maps: DataFrame, presets=PRESETS) -> DataFrame:
     """``maps`` with hit: usable and all rules of the pixel's vertical (its place in ``presets``)."""
     def of(p: Preset) -> Column:

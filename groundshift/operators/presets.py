@@ -30,6 +30,7 @@ class Preset:
     focus_radius_m: float | None = None
     open_size: int = 3
     close_size: int = 3
+    ssim_band: str = "red"
 
     def __post_init__(self):
         if not self.rules or self.primary_map not in {r.map for r in self.rules}:

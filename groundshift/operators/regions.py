@@ -23,7 +23,8 @@ def row_runs(mask: DataFrame, col: str = "hit") -> DataFrame:
 
 
 def _node(row: Column, lo: Column) -> Column:
-    return F.shiftleft(row.cast("long"), _BITS).bitwiseOR(lo.cast("long"))
+    node = F.shiftleft(row.cast("long"), _BITS).bitwiseOR(lo.cast("long"))
+    return F.when((row < 1 << _BITS) & (lo < 1 << _BITS), node).otherwise(F.raise_error(F.lit("a grid may have at most 2^20 rows and columns")))
 
 
 def region_runs(mask: DataFrame, col: str = "hit") -> DataFrame:
@@ -146,12 +147,13 @@ def keep_near_largest(stats: DataFrame, labels: DataFrame, presets=PRESETS, pixe
     return out.select(*stats.columns)
 
 
-def detect_changes(pairs: DataFrame, presets=PRESETS) -> tuple[DataFrame, DataFrame]:
+def detect_changes(pairs: DataFrame, presets=PRESETS, classes=("scl",)) -> tuple[DataFrame, DataFrame]:
     """(detections, labels): regions after rules, cleaning, area floor and focus, and their pixels.
 
-    All areas run in one job; ``labels`` holds the pixels of the regions that stay.
+    All areas run in one job; ``labels`` holds the pixels of the regions that stay. ``classes``
+    names the class columns of both dates; a pixel must be usable in all.
     """
-    maps = materialize(change_maps(pairs, presets), "maps")
+    maps = materialize(change_maps(pairs, presets, classes), "maps")
     mask = clean_mask(rule_mask(maps, presets).select("aoi_id", "row", "col", "hit"))
     labels = connected_regions(mask)
     large = materialize(min_area_filter(region_stats(maps, labels, presets), presets), "regions")

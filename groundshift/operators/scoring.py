@@ -90,8 +90,9 @@ def preexisting_water_share(pixels: DataFrame, ndwi_floor: float = -0.05) -> Dat
     return pixels.where("predicted").groupBy("aoi_id").agg(_ratio(F.count_if(F.coalesce("ndwi_before", F.lit(-1.0)) > ndwi_floor), F.count(F.lit(1))).alias("water_share"))
 
 
-def valid_pixels(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("valid", usable(F.col("scl")))
+def valid_pixels(pairs: DataFrame, classes=("scl",)) -> DataFrame:
+    """pairs with valid: usable by all of the class columns."""
+    return pairs.withColumn("valid", usable(*map(F.col, classes)))
 
 
 #: What flood and increment truth must say (fixed values).

@@ -70,7 +70,7 @@ se as (select s.threshold, s.aoi_id, s.row, s.col, x.region_id is not null predi
 
 @query(duck(f"select threshold, tp, fp, fn, tn, {_RATIO} from (select threshold, {_COUNT} from se group by threshold)", "pixels", extra=MAPS + ", " + _SWEEP))
 def threshold_sweep(spark, sf_dir):
-    maps = G.materialize(P.change_maps(_pixels(spark, sf_dir)), "maps")
+    maps = G.materialize(P.change_maps(_pixels(spark, sf_dir).where("vertical = 0")), "maps")
     # the threshold's place becomes part of the area's number, so one run of the region operators serves all thresholds
     place = F.array_position(F.array(*map(F.lit, THRESHOLDS)), F.col("threshold")).cast("int")
     wide = (F.col("aoi_id") * 100 + place).alias("aoi_id")
