@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, mixing, near_join, quality, simhash, token_counts, unit_dedup, url_rules, warc
+from . import decontaminate, language_id, mixing, near_join, quality, simhash, token_counts, turn_repair, unit_dedup, url_rules, warc
 from .common import table
+from .turn_repair_sql import OP11_SQL
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_near_join": op2_near_join,
@@ -61,6 +66,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
+    "op11_turn_repair": op11_turn_repair,
 }
 
 OP9_SQL = r"""
@@ -90,4 +96,4 @@ select page_id, cast(n as bigint) payload_bytes,
 from r
 """
 
-ORACLE_SQL = {"op7_warc": OP7_SQL, "op9_decontamination": OP9_SQL}
+ORACLE_SQL = {"op7_warc": OP7_SQL, "op9_decontamination": OP9_SQL, "op11_turn_repair": OP11_SQL}
