@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, mixing, near_join, quality, simhash, token_alignment, token_counts, turn_repair, unit_dedup, url_rules, warc
+from . import decontaminate, language_id, mixing, near_join, quality, simhash, token_alignment, token_counts, toxicity, turn_repair, unit_dedup, url_rules, warc
 from .common import table
 from .turn_repair_sql import OP11_SQL
 
@@ -55,6 +55,10 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(turn_repair.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
     "op11_turn_repair": op11_turn_repair,
+    "op12_toxicity": op12_toxicity,
     "op13_token_alignment": op13_token_alignment,
 }
 
