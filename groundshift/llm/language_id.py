@@ -131,9 +131,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, counts: dict[str, int], train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """text and lang of about ``train_docs`` different texts of each language; ``counts`` says how many rows each has.
+    """text and lang of about ``train_docs`` different texts of each language, all if there are no more; ``counts`` says how many different ones each has.
 
-    A share of the 63-bit hashes of texts, so that it is never empty for want of precision, and copies count once.
+    A share of the 63-bit hashes of texts: it is never empty for want of precision or for copies, which count once.
     """
     shares = [x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min((1 << 63) - 1, (1 << 63) * train_docs // max(n, 1))))]
     if not shares:
@@ -147,10 +147,11 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, min_share: float = MIN_
 
     The sample is bounded by ``train_docs`` a language, the model by ``min_share``; the driver holds the
     model. One document in ``CALIBRATION`` of the sample, chosen by a hash of the text, gives no
-    frequencies but the least evidence a word of a clean document. Any string may name a language.
+    frequencies but the least evidence a word of a clean document. Any string may name a language; the
+    plan has a column for each, so there should be hundreds at most.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("text", "lang")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    counts = {r["lang"]: r["n"] for r in labelled.select("lang", F.xxhash64("text").alias("h")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     labelled = materialize(training_sample(labelled, counts, train_docs), "lang-sample")
     apart = F.pmod(F.xxhash64(F.lit("calibration"), "text"), F.lit(CALIBRATION)) == 0
     labelled, aside = labelled.where(~apart), labelled.where(apart)

@@ -110,7 +110,7 @@ def _round_groups(state: DataFrame, seed: str) -> DataFrame:
 
 def mix_sources(docs: DataFrame, seed: str = "mix", share: float = 1.5, cap: float = 2.0, weights=WEIGHTS,
                 group_rows: int = GROUP_ROWS) -> DataFrame:
-    """How often the mix takes each document: doc_id, source, size, source_size, target, copies, taken.
+    """How often the mix takes each document: doc_id, size, source_size, target, taken, source, copies.
 
     ``docs`` has ``doc_id``, ``text`` and ``source``; other columns are ignored. Null or blank
     texts have size 0 and are taken 0 words. A null source is a source of its own, the last one.
@@ -156,5 +156,5 @@ def mix_sources(docs: DataFrame, seed: str = "mix", share: float = 1.5, cap: flo
     copies = F.col("base") + F.when(F.col("nth") < F.col("extra"), 1).otherwise(0)
     back = targets.select("rank", "source", "source_size", "target")
     return rows.join(checked_side(back, n_sources, SOURCES_BROADCAST), "rank").select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")
+        "doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), "source", copies.alias("copies")
     )

@@ -242,13 +242,14 @@ def vote_counts(docs: DataFrame) -> DataFrame:
 
 
 def training_sample(docs: DataFrame, n_docs: int, most: int = TRAIN_DOCS) -> DataFrame:
-    """h, votes, place and value of at most ``most`` different texts, those of the least hashes, each once.
+    """h, votes, place and value of ``most`` different texts, or of all if there are no more: those of the least hashes, each once.
 
-    ``n_docs`` is the number of documents; at any number about twice ``most`` are looked at, copies aside.
+    ``n_docs`` is the number of different texts, not of rows: copies neither crowd others out nor leave the sample
+    empty. At any number about twice ``most`` are looked at.
     """
-    h = F.xxhash64(F.lit("sample"), F.col("text")).bitwiseAND(F.lit((1 << 63) - 1))
+    hashed = docs.where("text is not null").select(F.xxhash64(F.lit("sample"), F.col("text")).bitwiseAND(F.lit((1 << 63) - 1)).alias("h"), "text")
     cut = min((1 << 63) - 1, (1 << 63) * 2 * most // max(n_docs, 1))
-    texts = docs.select(h.alias("h"), "text").where(F.col("text").isNotNull() & (F.col("h") <= cut)).distinct()
+    texts = hashed.where(F.col("h") <= cut).distinct()
     return texts.mapInArrow(_featured, "h long, votes array<int>, place array<int>, value array<double>").orderBy("h").limit(most)
 
 
@@ -279,9 +280,9 @@ def score_documents(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(fit_scorer(rows, np.array(target)))], names=["w"])
 
-    sample = training_sample(source, sum(r["n"] for r in counted), train_docs).coalesce(1)
-    weights = sample.mapInArrow(fit, "w double").toArrow().column("w").to_numpy() if counted else np.zeros(0)
-    weights = weights if len(weights) else np.zeros(FEATURES + 1)
+    different = source.where("text is not null").select(F.xxhash64("text")).distinct().count()
+    weights = training_sample(source, different, train_docs).coalesce(1).mapInArrow(fit, "w double").toArrow().column("w").to_numpy() if counted else np.zeros(0)
+    weights = weights if len(weights) else np.zeros(FEATURES + 1)  # only where there are no texts at all
     shared = docs.sparkSession.sparkContext.broadcast((posterior, weights))
 
     def score(batches):
