@@ -49,63 +49,86 @@ def passes(value: Column, direction: str, threshold: float) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-@cache
-def _foldings() -> tuple[str, str, str, str]:
-    """Letters that fold to one letter, those letters, what follows them there is dropped; and the longer foldings as a regex class and as JSON.
+def _fold(c: str) -> str:
+    """Compatibility decomposition without combining marks, in folded case."""
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).casefold()
 
-    A letter folds to its compatibility decomposition without combining marks, in folded case.
-    Hangul syllables stay whole.
-    """
-    one, plain, dropped, longer = [], [], [], {}
+
+@cache
+def _foldings(below: int) -> tuple[str, str]:
+    """Letters below a code point that fold to one letter, and those letters; what follows them is dropped."""
+    one, plain, dropped = [], [], []
     for c in map(chr, chain(*FOLDED)):
-        if ord(c) in HANGUL or 0xD800 <= ord(c) < 0xE000:
+        if ord(c) >= below or ord(c) in HANGUL or 0xD800 <= ord(c) < 0xE000:
             continue
-        f = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).casefold()
+        f = _fold(c)
         if not f:
             dropped.append(c)
-        elif len(f) > 1:
-            longer[c] = f
-        elif f != c:
+        elif len(f) == 1 and f != c:
             one.append(c)
             plain.append(f)
-    some = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in longer) + "]"
-    return "".join(one + dropped), "".join(plain), some, json.dumps(longer)
+    return "".join(one + dropped), "".join(plain)
+
+
+@cache
+def _longer() -> tuple[str, str]:
+    """Letters below U+0100 that fold to several, as members of a regex class; and for each 256 code points a map of those in it, as JSON."""
+    pages = [{} for _ in range(FOLDED[-1].stop >> 8)]
+    for c in map(chr, chain(*FOLDED)):
+        if ord(c) not in HANGUL and not 0xD800 <= ord(c) < 0xE000 and len(_fold(c)) > 1:
+            pages[ord(c) >> 8][c] = _fold(c)
+    return "".join(f"\\x{{{ord(c):x}}}" for c in pages[0]), json.dumps(pages)
+
+
+def _spelled(c: Column) -> Column:
+    """A letter, or the several that it folds to. Hangul syllables are taken apart by rule."""
+    code = F.ascii(c)
+    at = code - HANGUL.start
+    jamo = lambda first, n: F.array(*[F.lit(chr(first + i)) for i in range(n)])
+    syllable = F.concat(F.get(jamo(0x1100, 19), F.floor(at / 588).cast("int")), F.get(jamo(0x1161, 21), F.floor(at % 588 / 28).cast("int")), F.when(at % 28 > 0, F.get(jamo(0x11A7, 28), at % 28)).otherwise(""))
+    page = F.get(F.from_json(F.lit(_longer()[1]), "array<map<string,string>>"), F.shiftright(code, 8))
+    return F.when(code.between(HANGUL.start, HANGUL.stop - 1), syllable).otherwise(F.coalesce(F.element_at(page, c), c))
 
 
 def normalize_text(text: Column) -> Column:
     """Compatibility decomposition without combining marks, folded case, single spaces, trimmed; null stays null.
 
-    Ligatures, fractions and the like become several letters; Hangul syllables are not taken apart.
+    Ligatures, fractions, Hangul syllables and the like become several letters. ASCII texts take
+    the lower case only, those of Latin letters below U+0100 a table of those.
     """
-    one, plain, some, longer = _foldings()
-    spelled = F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(F.from_json(F.lit(longer), "map<string,string>"), c), c))
-    bare = F.translate(F.when(F.rlike(text, F.lit(some)), F.array_join(spelled, "")).otherwise(text), one, plain)
+    members, _ = _longer()
+    one, plain = _foldings(FOLDED[-1].stop)
+    long_way = F.translate(F.array_join(F.transform(F.split(text, ""), _spelled), ""), one, plain)
+    bare = F.when(~F.rlike(text, F.lit(r"[^\x00-\x7f]")), F.lower(text)).when(~F.rlike(text, F.lit(rf"[^\x00-\xff]|[{members}]")), F.translate(text, *_foldings(0x100))).otherwise(long_way)
     return F.trim(F.regexp_replace(bare, r"[\s\x1c-\x1f\x85\x{1680}\x{2028}\x{2029}]+", " "))
 
 
 def title_key(text: Column) -> Column:
     """Comparison key of a title: normalised, other than letters, digits and spaces as one space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(normalize_text(text), "[^0-9a-z ]+", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(normalize_text(text), "[^0-9a-z]+", " "))
 
 
-def _matches(text: Column, terms: Column, tail: str) -> Column:
-    hay = normalize_text(text)
+def holds_term(hay: Column, needle: Column, tail: bool) -> Column:
+    """Whether a folded text has a folded term from the beginning of a word on and, with ``tail``, to the end of one."""
+    quoted = F.concat(F.lit(r"(?<![0-9a-z])\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E" + ("(?![0-9a-z])" if tail else "")))
+    return (needle != "") & F.contains(hay, needle) & F.regexp_like(hay, quoted)
 
-    def hit(term: Column) -> Column:
-        needle = normalize_text(term)
-        return (needle != "") & F.regexp_like(hay, F.concat(F.lit(r"(?<![0-9a-z])\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E" + tail)))
 
-    return F.filter(terms, hit)
+def _matches(text: Column, terms: Column, tail: bool) -> Column:
+    # the text is folded once, as the start of a one-element list, and each term once
+    folded = F.transform(terms, lambda t: F.struct(t.alias("term"), normalize_text(t).alias("needle")))
+    hits = F.transform(F.array(normalize_text(text)), lambda hay: F.filter(folded, lambda t: holds_term(hay, t["needle"], tail)))
+    return F.get(hits, 0)["term"]
 
 
 def match_terms(text: Column, terms: Column) -> Column:
-    """The terms that occur as whole words, in their order and original spelling."""
-    return _matches(text, terms, "(?![0-9a-z])")
+    """The terms that occur as whole words, in their order and original spelling; see ``operators.articles.term_hits`` for many rows and terms."""
+    return _matches(text, terms, True)
 
 
 def match_stems(text: Column, stems: Column) -> Column:
     """The stems that begin a word, in their order and original spelling."""
-    return _matches(text, stems, "")
+    return _matches(text, stems, False)
 
 
 def epsg_of_tile(stac_id: Column) -> Column:

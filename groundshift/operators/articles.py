@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundshift.functions.columns import match_stems, match_terms, title_key
-from groundshift.plans.scratch import checked_side
+from groundshift.functions.columns import holds_term, normalize_text, title_key
+from groundshift.plans.scratch import checked_side, materialize
 
 #: Days before, after, and of the longest look-back (fixed values).
 LEAD_DAYS, LAG_DAYS, LOOKBACK_DAYS = 30, 14, 400
 WATCHES_BROADCAST = 1000
+#: Terms of a term dictionary up to which it is broadcast (each some hundred bytes at most).
+TERMS_BROADCAST = 100_000
 DEALS = 64
+_RUN = "[0-9a-z]+"
 
 
 def fusion_window(pairs: DataFrame) -> DataFrame:
@@ -39,14 +42,65 @@ def article_candidates(articles: DataFrame, watches: DataFrame) -> DataFrame:
     return met.where("seendate between window_start and window_end").where(F.contains(F.lower("full_text"), F.lower(F.get("place_terms", 0)))).drop("_month")
 
 
-def gate() -> Column:
-    """Struct (passed, toponym, temporal, thematic, reason) of an article under a watch.
+def vocabulary() -> Column:
+    """Names a watch's terms; watches with equal ones share it."""
+    return F.md5(F.to_json(F.struct(F.concat("place_terms", "region_terms").alias("names"), "stems")).cast("binary"))
+
+
+def term_dictionary(watches: DataFrame) -> DataFrame:
+    """vocabulary, stem (boolean), place, term, needle and key of every term: the index in which titles look terms up.
+
+    ``needle`` is the folded term. ``key`` is what a title must have for it: the first run of letters and digits as a word,
+    or as the beginning of one where a stem ends with it, led by its length; terms without such a run have an empty key.
+    """
+    v = watches.select(vocabulary().alias("vocabulary"), F.concat("place_terms", "region_terms").alias("names"), "stems").dropDuplicates(["vocabulary"])
+    each = v.select("vocabulary", F.lit(False).alias("stem"), F.posexplode("names").alias("place", "term")).unionByName(v.select("vocabulary", F.lit(True).alias("stem"), F.posexplode("stems").alias("place", "term")))
+    each = each.withColumn("needle", normalize_text(F.col("term"))).where("needle <> ''")
+    run = F.regexp_extract("needle", _RUN, 0)
+    open_end = F.col("stem") & F.endswith("needle", run) & ~F.rlike(F.col("needle"), F.lit(_RUN + "[^0-9a-z]+" + _RUN))
+    return each.withColumn("key", F.when(run == "", "").when(open_end, F.concat(F.length(run).cast("string"), F.lit("-"), run)).otherwise(F.concat(F.lit("="), run)))
+
+
+def term_hits(rows: DataFrame, watches: DataFrame) -> DataFrame:
+    """``rows`` with toponym and thematic, the terms and stems of the row's watch in its title, in their order and spelling.
+
+    ``rows`` has title, place_terms, region_terms and stems. Each different title is folded once and taken apart into its
+    words, and their beginnings of those lengths that stems have; these meet the dictionary in an equi-join, and only what
+    meets is compared. The work of a title grows with its words and the terms it has, not with all terms.
+    A null title has none. Broadcast: the dictionary, up to ``TERMS_BROADCAST`` counted terms.
+    """
+    terms = materialize(term_dictionary(watches), "article-terms")
+    n_terms = terms.count()
+    starts = sorted(int(r["n"]) for r in terms.where("key rlike '^[0-9]'").select(F.split_part("key", F.lit("-"), F.lit(1)).alias("n")).distinct().collect())  # a row for each length
+    titles = rows.where("title is not null").select("title", vocabulary().alias("vocabulary")).distinct()
+    titles = titles.groupBy("title").agg(F.collect_set("vocabulary").alias("asked")).withColumn("hay", normalize_text(F.col("title")))  # as many as there are watches at most
+    words = F.array_distinct(F.regexp_extract_all("hay", F.lit(_RUN), F.lit(0)))
+    keys = [F.transform(words, lambda w: F.concat(F.lit("="), w)), F.array(F.lit(""))]
+    keys += [_beginnings(words, n) for n in starts]
+    keyed = titles.select("title", "hay", "asked", F.explode(F.array_distinct(F.concat(*keys))).alias("key"))
+    met = keyed.join(checked_side(terms, n_terms, TERMS_BROADCAST), "key").where(F.array_contains("asked", F.col("vocabulary")))
+    sure = F.col("key").isin("") | (F.length("needle") != F.length(F.regexp_extract("needle", _RUN, 0)))
+    met = met.where(~sure | F.when(F.col("stem"), holds_term(F.col("hay"), F.col("needle"), False)).otherwise(holds_term(F.col("hay"), F.col("needle"), True)))
+    hits = met.groupBy("title", "vocabulary").agg(F.array_sort(F.collect_list(F.when(~F.col("stem"), F.struct("place", "term")))).alias("toponym"), F.array_sort(F.collect_list(F.when(F.col("stem"), F.struct("place", "term")))).alias("thematic"))
+    hits = materialize(hits.select("title", F.col("vocabulary").alias("_vocabulary"), F.col("toponym.term").alias("toponym"), F.col("thematic.term").alias("thematic")), "article-hits")
+    none = F.array().cast("array<string>")
+    out = rows.withColumn("_vocabulary", vocabulary()).join(hits.hint("merge"), ["title", "_vocabulary"], "left")
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce("toponym", none).alias("toponym"), F.coalesce("thematic", none).alias("thematic"))
+
+
+def _beginnings(words: Column, n: int) -> Column:
+    """The first ``n`` letters of each word that has them, led by their number."""
+    return F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.concat(F.lit(f"{n}-"), F.left(w, F.lit(n))))
+
+
+def gated(rows: DataFrame, watches: DataFrame) -> DataFrame:
+    """``rows`` of articles under watches with ``gate``, a struct (passed, toponym, temporal, thematic, reason).
 
     Gates in order: language, url, toponym, temporal, thematic; the first that fails is the reason,
     and terms matched up to there are kept.
     """
-    toponym = match_terms(F.col("title"), F.concat("place_terms", "region_terms"))
-    thematic = match_stems(F.col("title"), F.col("stems"))
+    found = term_hits(rows, watches)
+    toponym, thematic = F.col("toponym"), F.col("thematic")
     inside = F.col("seendate").between(F.col("window_start"), F.col("window_end"))
     reason = (
         F.when(~F.coalesce(F.array_contains("languages", F.col("language")), F.lit(False)), "language").when(~(F.col("url").startswith("http://") | F.col("url").startswith("https://")), "url")
@@ -54,10 +108,11 @@ def gate() -> Column:
     )
     none = F.array().cast("array<string>")
     early = F.coalesce(reason.isin("language", "url"), F.lit(False))
-    return F.struct(
+    gate = F.struct(
         reason.isNull().alias("passed"), F.when(early, none).otherwise(toponym).alias("toponym"), F.coalesce(reason.isNull() | (reason == "thematic"), F.lit(False)).alias("temporal"),
         F.when(reason.isNull(), thematic).otherwise(none).alias("thematic"), reason.alias("reason"),
     )
+    return found.withColumn("gate", gate).drop("toponym", "thematic")
 
 
 def score_articles(articles: DataFrame, watches: DataFrame) -> DataFrame:
@@ -77,7 +132,7 @@ def score_articles(articles: DataFrame, watches: DataFrame) -> DataFrame:
         dealt = articles.select("*", F.pmod(F.xxhash64("article_id"), F.lit(DEALS)).alias("_deal"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
         query = watches.select("*", F.pmod(F.xxhash64("aoi_id", "window_start"), F.lit(blocks)).cast("int").alias("_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))).alias("_deal"))
         met = dealt.join(query.hint("merge"), ["_block", "_deal"]).drop("_block", "_deal")
-    return met.withColumn("gate", gate())
+    return gated(met, watches)
 
 
 def dedupe_articles(rows: DataFrame, ranks: DataFrame, keys=("aoi_id",)) -> DataFrame:
@@ -93,7 +148,7 @@ def dedupe_articles(rows: DataFrame, ranks: DataFrame, keys=("aoi_id",)) -> Data
 
 def fuse_articles(articles: DataFrame, watches: DataFrame, ranks: DataFrame) -> DataFrame:
     """Admitted articles of every watch: candidates, gates, then dedup; with gates and duplicates as meta."""
-    passed = article_candidates(articles, watches).withColumn("gate", gate()).where("gate.passed")
+    passed = materialize(gated(article_candidates(articles, watches), watches).where("gate.passed"), "article-passed")
     kept = dedupe_articles(passed, ranks)
     rows = passed.join(kept.hint("merge"), ["aoi_id", "article_id"])
     return rows.select("aoi_id", "article_id", "url", "title", "domain", "language", "seendate", F.col("gate.toponym").alias("toponym"), F.col("gate.thematic").alias("thematic"), "duplicates")

@@ -46,6 +46,12 @@ def _scored(spark, sf_dir):
     return A.score_articles(_articles(spark, sf_dir), _watches(spark, sf_dir))
 
 
+def _hits(spark, sf_dir):
+    """All articles under all watches, which are few and fixed, with the terms in their titles."""
+    watches = _watches(spark, sf_dir)
+    return A.term_hits(_articles(spark, sf_dir).join(F.broadcast(watches)), watches)
+
+
 def _ranks(spark):
     return spark.range(4).selectExpr("concat('src', id * 3) domain", "cast(id as int) domain_rank")
 
@@ -67,14 +73,12 @@ def normalize_text(spark, sf_dir):
 
 @query(duck("select aoi_id, article_id, array_to_string(topo, ',') hits from scored", "articles", extra=_WATCH + ", " + _SCORED))
 def match_terms(spark, sf_dir):
-    met = _articles(spark, sf_dir).join(F.broadcast(_watches(spark, sf_dir)))
-    return met.select("aoi_id", "article_id", F.array_join(C.match_terms(F.col("title"), F.concat("place_terms", "region_terms")), ",").alias("hits"))
+    return _hits(spark, sf_dir).select("aoi_id", "article_id", F.array_join("toponym", ",").alias("hits"))
 
 
 @query(duck("select aoi_id, article_id, array_to_string(theme, ',') hits from scored", "articles", extra=_WATCH + ", " + _SCORED))
 def match_stems(spark, sf_dir):
-    met = _articles(spark, sf_dir).join(F.broadcast(_watches(spark, sf_dir)))
-    return met.select("aoi_id", "article_id", F.array_join(C.match_stems(F.col("title"), F.col("stems")), ",").alias("hits"))
+    return _hits(spark, sf_dir).select("aoi_id", "article_id", F.array_join("thematic", ",").alias("hits"))
 
 
 @query(duck("""select aoi_id, article_id, reason is null passed, case when reason in ('language', 'url') then '' else array_to_string(topo, ',') end toponym, reason is null or reason = 'thematic' temporal,
