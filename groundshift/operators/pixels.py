@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundshift.functions.columns import ndvi, ndwi, passes, usable
 
+from . import tiles
 from .presets import PRESETS, Preset
 
 KEY = ("aoi_id", "row", "col")
-#: SSIM over 7 x 7 windows of bands with a range of 10,000 (fixed values).
-SSIM_SIDE, SSIM_C1, SSIM_C2 = 7, 1e4, 9e4
 
 
 def mask_unusable(pairs: DataFrame, bands, classes=("scl",)) -> DataFrame:
@@ -41,35 +41,14 @@ def index_deltas(pairs: DataFrame, classes=("scl",)) -> DataFrame:
     return out.withColumns({"ndvi": F.col("ndvi_after") - F.col("ndvi_before"), "ndwi": F.col("ndwi_after") - F.col("ndwi_before"), "usable": ok})
 
 
-def _mirrored(df: DataFrame, axis: str, other: str, reach: int) -> DataFrame:
-    """The rows of a grid with ``reach`` mirrored lines added at both ends of an axis."""
-    size = F.max(axis).over(Window.partitionBy("aoi_id", other)) + 1
-    sized = df.withColumn("_n", size)
-    places = [F.col(axis), *[F.when(F.col(axis) == k, -1 - k) for k in range(reach)], *[F.when(F.col(axis) == F.col("_n") - 1 - k, F.col("_n") + k) for k in range(reach)]]
-    return sized.withColumn(axis, F.explode(F.array_compact(F.array(*places)))).drop("_n")
+def _ssim(grid: tiles.Grid, a: str, b: str) -> np.ndarray:
+    return tiles.ssim_dissimilarity(grid.of(a, 0, np.int64), grid.of(b, 0, np.int64))
 
 
 def ssim_dissimilarity(pairs: DataFrame, a: str = "red0", b: str = "red1") -> DataFrame:
-    """aoi_id, row, col, ssim_dissim: one minus the local SSIM of two raw bands.
-
-    Window sums are separable: one pass of moving sums down the columns, one along the rows, each
-    over a grid with a mirrored border. Lines are bounded by the grid's side.
-    """
-    reach, n = SSIM_SIDE // 2, float(SSIM_SIDE * SSIM_SIDE)
-    x, y = F.col(a).cast("long"), F.col(b).cast("long")
-    sums = pairs.select(*KEY, x.alias("x"), y.alias("y"), (x * x).alias("xx"), (y * y).alias("yy"), (x * y).alias("xy"))
-    names = ("x", "y", "xx", "yy", "xy")
-    for axis, other in (("row", "col"), ("col", "row")):
-        frame = Window.partitionBy("aoi_id", other).orderBy(axis).rangeBetween(-reach, reach)
-        size = Window.partitionBy("aoi_id", other)
-        wide = _mirrored(sums, axis, other, reach).select("aoi_id", "row", "col", *[F.sum(c).over(frame).alias(c) for c in names], (F.max(axis).over(size) - reach).alias("_last"))
-        sums = wide.where((F.col(axis) >= 0) & (F.col(axis) <= F.col("_last"))).drop("_last")
-    mean = {c: F.col(c) / F.lit(n) for c in names}
-    fix = F.lit(n / (n - 1))
-    vx, vy, vxy = fix * (mean["xx"] - mean["x"] * mean["x"]), fix * (mean["yy"] - mean["y"] * mean["y"]), fix * (mean["xy"] - mean["x"] * mean["y"])
-    top = (2 * mean["x"] * mean["y"] + SSIM_C1) * (2 * vxy + SSIM_C2)
-    low = (mean["x"] * mean["x"] + mean["y"] * mean["y"] + SSIM_C1) * (vx + vy + SSIM_C2)
-    return sums.select(*KEY, (F.lit(1.0) - top / low).alias("ssim_dissim"))
+    """aoi_id, row, col, ssim_dissim: one minus the local SSIM of two raw bands, 7 x 7 windows, mirrored border."""
+    bands = pairs.select(*KEY, F.col(a).cast("long").alias("_x"), F.col(b).cast("long").alias("_y"))
+    return tiles.over_tiles(bands, {"ssim_dissim": "double"}, lambda g: {"ssim_dissim": _ssim(g, "_x", "_y")}, tiles.SSIM_SIDE // 2).select(*KEY, "ssim_dissim")
 
 
 def change_maps(pairs: DataFrame, presets=PRESETS, classes=("scl",)) -> DataFrame:
@@ -78,13 +57,59 @@ def change_maps(pairs: DataFrame, presets=PRESETS, classes=("scl",)) -> DataFram
     SSIM is taken of the band that the preset of the pixel's vertical names, and by the first
     preset's where there is no such preset. ``classes`` as for ``index_deltas``.
     """
+    out, wanted = _with_indices(pairs, presets, classes)
+    if "ssim_dissim" not in wanted:
+        return out
+    found = tiles.over_tiles(out.withColumns({f"_s{n}": _ssim_band(presets, n) for n in "01"}), {"ssim_dissim": "double"}, lambda g: {"ssim_dissim": _ssim(g, "_s0", "_s1")}, tiles.SSIM_SIDE // 2)
+    return found.drop("_s0", "_s1")
+
+
+def _with_indices(pairs: DataFrame, presets, classes) -> tuple[DataFrame, set[str]]:
+    """The pairs with ``usable`` and the indices that rules name, and the names of all maps that they name."""
     wanted = {r.map for p in presets for r in p.rules}
-    maps = index_deltas(pairs, classes)
     indices = [m for m in ("ndvi", "ndwi", "ndvi_before", "ndwi_before", "ndvi_after", "ndwi_after") if m in wanted]
-    out = maps.select(*pairs.columns, "usable", *indices)
-    if "ssim_dissim" in wanted:
-        out = out.join(ssim_dissimilarity(pairs.select(*KEY, *[_ssim_band(presets, n) for n in "01"]), "_s0", "_s1").hint("merge"), list(KEY))
-    return out
+    return index_deltas(pairs, classes).select(*pairs.columns, "usable", *indices), wanted
+
+
+def cleaned_maps(pairs: DataFrame, presets=PRESETS, classes=("scl",), ssim_everywhere: bool = True) -> DataFrame:
+    """``change_maps`` with ``hit``, the mask of the rules after opening and closing with the preset's sizes, in one exchange.
+
+    SSIM, rules and morphology are one pass over tiles. Without ``ssim_everywhere`` SSIM is taken only in areas of a
+    vertical whose preset has a rule on it, and undefined in others.
+    """
+    out, wanted = _with_indices(pairs, presets, classes)
+    of = lambda i, p: reduce(lambda x, y: x & y, [passes(F.col(r.map), r.direction, r.threshold) for r in p.rules if r.map != "ssim_dissim"], F.col("usable"))
+    before = F.lit(False)
+    for i, p in enumerate(presets):
+        before = F.when(F.col("vertical") == i, of(i, p)).otherwise(before)
+    bands = {f"_s{n}": _ssim_band(presets, n) for n in "01"} if "ssim_dissim" in wanted else {}
+    limits = {i: [r for r in p.rules if r.map == "ssim_dissim"] for i, p in enumerate(presets)}
+    with_ssim = bool(bands)
+
+    def work(grid: tiles.Grid) -> dict[str, np.ndarray]:
+        vertical, hit = grid.of("vertical", -1, np.int64), grid.of("_rules", False, bool)
+        here = [i for i in np.unique(vertical) if i >= 0]
+        found = {}
+        if with_ssim:
+            if ssim_everywhere or any(limits.get(i) for i in here):
+                found["ssim_dissim"] = _ssim(grid, "_s0", "_s1")
+                for i in here:
+                    for r in limits.get(i, ()):
+                        v = found["ssim_dissim"]
+                        hit &= (vertical != i) | {"increase": v >= r.threshold, "at_least": v >= r.threshold, "decrease": v <= -r.threshold, "at_most": v <= r.threshold}[r.direction]
+            else:
+                found["ssim_dissim"] = np.full(grid.shape, np.nan)
+        sizes = {(presets[i].open_size, presets[i].close_size) for i in here if i < len(presets)}
+        found["hit"] = np.zeros(grid.shape, dtype=bool)
+        for size in sizes:  # one, unless verticals share an area
+            mine = np.isin(vertical, [i for i in here if i < len(presets) and (presets[i].open_size, presets[i].close_size) == size])
+            found["hit"] |= tiles.open_close(hit, *size) & mine
+        return found
+
+    halo = (tiles.SSIM_SIDE // 2 if bands else 0) + max(tiles.reach_of(p.open_size, p.close_size) for p in presets)
+    made = {"ssim_dissim": "double"} if bands else {}
+    found = tiles.over_tiles(out.withColumns({"_rules": before} | bands), made | {"hit": "boolean"}, work, halo)
+    return found.drop("_rules", *bands)
 
 
 def _ssim_band(presets, date: str) -> Column:
@@ -130,13 +155,21 @@ def binary_dilation(mask: DataFrame, col: str = "hit", size: int = 3, keys=("aoi
 def clean_mask(mask: DataFrame, col: str = "hit", open_size: int = 3, close_size: int = 3, keys=("aoi_id",)) -> DataFrame:
     """Opening, then closing; a size of 1 or less skips its step.
 
-    Every step begins along the lines on which the one before ended, so that their passes share a
-    partitioning: five exchanges instead of eight.
+    One pass over tiles; null counts as false, and so does what lies outside of the grid.
     """
-    steps = [(open_size, False), (open_size, True)] * (open_size > 1) + [(close_size, True), (close_size, False)] * (close_size > 1)
-    for i, (size, grow) in enumerate(steps):
-        mask = _morph(mask, col, size, grow, keys, columns_first=i % 2 == 0)
-    return mask
+    return tiles.over_tiles(mask, {col: "boolean"}, lambda g: {col: tiles.open_close(g.of(col, False, bool), open_size, close_size)}, tiles.reach_of(open_size, close_size), keys)
+
+
+def clean_levels(levels: DataFrame, col: str, open_size: int = 3, close_size: int = 3, keys=("aoi_id",)) -> DataFrame:
+    """The greatest threshold at which the cleaned mask ``col >= threshold`` holds each pixel; null where none does.
+
+    ``clean_mask`` of every threshold at once: flat openings and closings commute with thresholds.
+    """
+    def work(grid: tiles.Grid) -> dict[str, np.ndarray]:
+        found = tiles.open_close(grid.of(col, -np.inf, np.float64), open_size, close_size)
+        return {col: np.where(np.isneginf(found), np.nan, found)}
+
+    return tiles.over_tiles(levels, {col: "double"}, work, tiles.reach_of(open_size, close_size), keys)
 
 
 def percentile_stretch(bands: DataFrame, low: float = 2.0, high: float = 98.0, gamma: float = 1.0, fixed_max: float | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from groundshift.plans.scratch import materialize
 
 from .components import connected_components
-from .pixels import change_maps, clean_mask, rule_mask
+from .pixels import cleaned_maps
 from .presets import PRESETS
 
 PIXEL_M = 10.0
@@ -153,9 +153,8 @@ def detect_changes(pairs: DataFrame, presets=PRESETS, classes=("scl",)) -> tuple
     All areas run in one job; ``labels`` holds the pixels of the regions that stay. ``classes``
     names the class columns of both dates; a pixel must be usable in all.
     """
-    maps = materialize(change_maps(pairs, presets, classes), "maps")
-    mask = clean_mask(rule_mask(maps, presets).select("aoi_id", "row", "col", "hit"))
-    labels = connected_regions(mask)
+    maps = materialize(cleaned_maps(pairs, presets, classes), "maps")
+    labels = connected_regions(maps.select("aoi_id", "row", "col", "hit"))
     large = materialize(min_area_filter(region_stats(maps, labels, presets), presets), "regions")
     kept = keep_near_largest(large, labels.join(large.select("aoi_id", "region_id"), ["aoi_id", "region_id"]), presets)
     types = F.lit(None).cast("string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from groundshift.functions.columns import usable
 
-from .pixels import clean_mask
+from .pixels import clean_levels
 from .presets import PRESETS
 
 
@@ -42,14 +42,25 @@ def emitted_mask(pixels: DataFrame, kept_labels: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(maps: DataFrame, thresholds: list[float], map_name: str = "ssim_dissim", vertical: int = 0) -> DataFrame:
-    """Cleaned masks of one vertical's pixels at every threshold: threshold, aoi_id, row, col, hit.
+    """The pixels of one vertical's cleaned masks: threshold, aoi_id, row, col of those that are hit.
 
-    The maps are computed once; the threshold is one more key.
+    One pass of grey-scale morphology gives each pixel the greatest threshold at which it stays,
+    whatever the number of thresholds; a pixel then is a row for each threshold below that.
     """
-    each = maps.where(F.col("vertical") == vertical).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    hit = F.col("usable") & F.coalesce(F.col(map_name) >= F.col("threshold"), F.lit(False))
+    level = F.when(F.col("usable"), F.col(map_name))
     preset = PRESETS[vertical]
-    return clean_mask(each.select("threshold", "aoi_id", "row", "col", hit.alias("hit")), "hit", preset.open_size, preset.close_size, ("threshold", "aoi_id"))
+    kept = clean_levels(maps.where(F.col("vertical") == vertical).select("aoi_id", "row", "col", level.alias("level")), "level", preset.open_size, preset.close_size)
+    passed = F.filter(F.array(*map(F.lit, sorted(thresholds))), lambda t: t <= F.col("level"))
+    return kept.where("level is not null").select(F.explode(passed).alias("threshold"), "aoi_id", "row", "col")
+
+
+def sweep_counts(emitted: DataFrame, pixels: DataFrame, thresholds: list[float]) -> DataFrame:
+    """tp, fp, fn, tn of every threshold; ``emitted`` has threshold, truth and valid of emitted pixels, ``pixels`` truth and valid of all."""
+    t, v = F.coalesce("truth", F.lit(False)), F.coalesce("valid", F.lit(False))
+    found = emitted.groupBy("threshold").agg(F.count_if(v & t).alias("tp"), F.count_if(v & ~t).alias("fp"))
+    every = pixels.agg(F.count_if(v & t).alias("truths"), F.count_if(v & ~t).alias("others")).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    tp, fp = (F.coalesce(c, F.lit(0)) for c in ("tp", "fp"))
+    return every.join(found.hint("merge"), "threshold", "left").select("threshold", tp.alias("tp"), fp.alias("fp"), (F.col("truths") - tp).alias("fn"), (F.col("others") - fp).alias("tn"))
 
 
 def water_sensitivity(pixels: DataFrame, ndwi_floor: float = -0.05, water_class: int = 6) -> DataFrame:

@@ -70,18 +70,17 @@ se as (select s.threshold, s.aoi_id, s.row, s.col, x.region_id is not null predi
 
 @query(duck(f"select threshold, tp, fp, fn, tn, {_RATIO} from (select threshold, {_COUNT} from se group by threshold)", "pixels", extra=MAPS + ", " + _SWEEP))
 def threshold_sweep(spark, sf_dir):
-    maps = G.materialize(P.change_maps(_pixels(spark, sf_dir).where("vertical = 0")), "maps")
+    maps = G.materialize(P.change_maps(_pixels(spark, sf_dir).where("vertical = 0")).withColumn("truth", F.expr(TRUTH)).withColumnRenamed("usable", "valid"), "maps")
     # the threshold's place becomes part of the area's number, so one run of the region operators serves all thresholds
     place = F.array_position(F.array(*map(F.lit, THRESHOLDS)), F.col("threshold")).cast("int")
-    wide = (F.col("aoi_id") * 100 + place).alias("aoi_id")
-    masks = G.materialize(S.threshold_sweep(maps, list(THRESHOLDS)).select(wide, "row", "col", "hit", F.col("aoi_id").alias("own"), "threshold"), "sweep")
-    labels = G.connected_regions(masks)
+    hits = S.threshold_sweep(maps.withColumnRenamed("valid", "usable"), list(THRESHOLDS)).select((F.col("aoi_id") * 100 + place).alias("aoi_id"), "row", "col", F.lit(True).alias("hit"))
+    labels = G.connected_regions(hits)
     stats = labels.groupBy("aoi_id", "region_id").agg(F.lit(0).alias("vertical"), (F.count(F.lit(1)) * 100.0).alias("area_m2"))
     large = G.materialize(G.min_area_filter(stats), "sweep-large")
     kept = G.keep_near_largest(large, labels.join(large.select("aoi_id", "region_id"), ["aoi_id", "region_id"]))
-    pixels = S.emitted_mask(masks, labels.join(kept.select("aoi_id", "region_id"), ["aoi_id", "region_id"]))
-    valid = maps.where("vertical = 0").select(F.col("aoi_id").alias("own"), "row", "col", F.col("usable").alias("valid"))
-    return _rounded(S.score_ratios(S.confusion_counts(pixels.join(valid, ["own", "row", "col"]).withColumn("truth", F.expr(TRUTH)), ("threshold",))))
+    emitted = labels.join(kept.select("aoi_id", "region_id"), ["aoi_id", "region_id"]).select(F.expr("aoi_id div 100").cast("int").alias("aoi_id"), F.get(F.array(*map(F.lit, THRESHOLDS)), (F.col("aoi_id") % 100 - 1).cast("int")).alias("threshold"), "row", "col")
+    emitted = emitted.join(maps.select("aoi_id", "row", "col", "truth", "valid").hint("merge"), ["aoi_id", "row", "col"])
+    return _rounded(S.score_ratios(S.sweep_counts(emitted, maps, list(THRESHOLDS))))
 
 
 @query(duck(f"select aoi_id, tp, fp, fn, tn, {_RATIO}, round(share, 6) change_share from (select aoi_id, {_COUNT}, avg(case when truth then 1.0 else 0.0 end) filter (\"valid\") share from em group by rollup(aoi_id))", "pixels", extra=_EMITTED))
