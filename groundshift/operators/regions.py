@@ -10,6 +10,9 @@ from groundshift.plans.scratch import materialize
 from .components import connected_components
 from .pixels import cleaned_maps
 from .presets import PRESETS
+from .rings import polygons_to_wgs84, region_polygons, region_rings
+
+__all__ = ["connected_regions", "detect_changes", "detection_geometry", "keep_near_largest", "materialize", "min_area_filter", "region_outline", "region_rings", "region_runs", "region_stats", "row_runs"]
 
 PIXEL_M = 10.0
 _BITS = 20  # of row and column in the number of a run; the rest is left for the area
@@ -85,44 +88,6 @@ def region_outline(labels: DataFrame) -> DataFrame:
     return each.join(labels.hint("merge"), ["aoi_id", "region_id", "row", "col"], "left_anti").select("aoi_id", "region_id", "r0", "c0", "r1", "c1")
 
 
-def region_rings(outline: DataFrame) -> DataFrame:
-    """Closed rings of a region: aoi_id, region_id, ring, n_vertices, signed_area, vertices.
-
-    Boundary edges are walked from corner to corner, one region a group; a group is a region's
-    boundary, not its pixels. Where two edges leave a corner the walk turns so that rings touch
-    but never cross. Exterior rings have a positive area, holes a negative one.
-    """
-    import pandas as pd
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        after: dict[tuple, list[tuple]] = {}
-        for r0, c0, r1, c1 in sorted(zip(pdf.r0, pdf.c0, pdf.r1, pdf.c1, strict=True)):
-            after.setdefault((int(r0), int(c0)), []).append((int(r1), int(c1)))
-        rings = []
-        while after:
-            start = min(after)
-            path, at, came = [], start, None
-            while True:
-                path.append(at)
-                ways = after[at]
-                if came and len(ways) > 1:  # take the left turn, towards the pixel just left
-                    d = (at[0] - came[0], at[1] - came[1])
-                    ways.sort(key=lambda w, d=d, at=at: d[0] * (w[1] - at[1]) - d[1] * (w[0] - at[0]))
-                nxt = ways.pop()
-                if not ways:
-                    del after[at]
-                came, at = at, nxt
-                if at == start:
-                    break
-            corners = [p for k, p in enumerate(path) if (p[0] - path[k - 1][0]) * (path[(k + 1) % len(path)][1] - p[1]) != (p[1] - path[k - 1][1]) * (path[(k + 1) % len(path)][0] - p[0])]
-            doubled = sum(d[1] * c[0] - c[1] * d[0] for c, d in zip(path, path[1:] + path[:1], strict=True))
-            rings.append((corners, doubled / 2))
-        aoi, region = pdf.aoi_id.iloc[0], pdf.region_id.iloc[0]
-        return pd.DataFrame([{"aoi_id": aoi, "region_id": region, "ring": k, "n_vertices": len(c), "signed_area": a, "vertices": [{"row": p[0], "col": p[1]} for p in c]} for k, (c, a) in enumerate(rings)])
-
-    return outline.groupBy("aoi_id", "region_id").applyInPandas(walk, "aoi_id int, region_id long, ring int, n_vertices int, signed_area double, vertices array<struct<row: int, col: int>>")
-
-
 def keep_near_largest(stats: DataFrame, labels: DataFrame, presets=PRESETS, pixel: float = PIXEL_M) -> DataFrame:
     """Regions within the preset's radius of their area's largest, edge to edge; no radius keeps all.
 
@@ -162,3 +127,11 @@ def detect_changes(pairs: DataFrame, presets=PRESETS, classes=("scl",)) -> tuple
         types = F.when(F.col("vertical") == i, F.lit(p.change_type)).otherwise(types)
     kept = materialize(kept.withColumn("change_type", types), "detections")
     return kept, labels.join(kept.select("aoi_id", "region_id"), ["aoi_id", "region_id"])
+
+
+def detection_geometry(labels: DataFrame, grids: DataFrame, pixel: float = PIXEL_M) -> DataFrame:
+    """Polygons of the detections whose pixels are ``labels``: aoi_id, region_id, area_m2, n_rings, rings and geometry.
+
+    ``grids`` as for ``rings.polygons_to_wgs84``; geometry is GeoJSON in longitude and latitude, area_m2 that of the pixel polygon.
+    """
+    return polygons_to_wgs84(materialize(region_polygons(region_outline(labels), pixel * pixel), "polygons"), grids)

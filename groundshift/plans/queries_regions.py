@@ -210,9 +210,34 @@ def region_outline(spark, sf_dir):
     return G.region_outline(_labels(spark, sf_dir))
 
 
-@query()
+#: Edges with the one that follows (of two, the left turn), rings by flooding the least edge along them.
+_RINGS = _SIDES + """, o as (select *, cast(case when c1 > c0 then 0 when r1 < r0 then 1 when c1 < c0 then 2 else 3 end as int) dir, ((cast(r0 as bigint) << 30) | (c0 << 4)) + case when c1 > c0 then 0 when r1 < r0 then 1 when c1 < c0 then 2 else 3 end id
+  from (select aoi_id, region_id, r0, c0, r1, c1 from sides s where not exists (from lab l where l.aoi_id = s.aoi_id and l.region_id = s.region_id and l.row = s.r and l.col = s.c))),
+nx as (select e.aoi_id, e.region_id, e.id, any_value(e.dir) dir, arg_max(f.id, (e.r1 - e.r0) * (f.c1 - f.c0) - (e.c1 - e.c0) * (f.r1 - f.r0)) nid, arg_max(f.dir, (e.r1 - e.r0) * (f.c1 - f.c0) - (e.c1 - e.c0) * (f.r1 - f.r0)) ndir
+  from o e join o f on e.aoi_id = f.aoi_id and e.region_id = f.region_id and f.r0 = e.r1 and f.c0 = e.c1 group by all),
+flood as (select aoi_id, region_id, id node, id root from o union select r.aoi_id, r.region_id, n.nid, r.root from flood r join nx n on n.aoi_id = r.aoi_id and n.region_id = r.region_id and n.id = r.node where n.nid > r.root),
+inring as (select aoi_id, region_id, node id, min(root) root from flood group by all),
+rsize as (select o.aoi_id, o.region_id, root, cast(count(*) filter (nx.dir <> ndir) as int) n_vertices, sum(c1 * r0 - c0 * r1) / 2.0::double signed_area from o join inring using (aoi_id, region_id, id) join nx using (aoi_id, region_id, id) group by all),
+rings as (select *, cast(row_number() over (partition by aoi_id, region_id order by root) - 1 as int) ring from rsize)"""
+
+
+@query(duck("select aoi_id, region_id, ring, n_vertices, signed_area from rings", "pixels", extra=LABELS + ", " + _RINGS))
 def region_rings(spark, sf_dir):
-    return G.region_rings(G.region_outline(_labels(spark, sf_dir))).drop("vertices")
+    return G.region_rings(G.region_outline(_labels(spark, sf_dir)), vertices=False)
+
+
+#: The walk around each ring from its least corner; the corners at which it turns.
+_WALK = """, walk as (select aoi_id, region_id, root, root node, 0 k from rings union all select w.aoi_id, w.region_id, w.root, n.nid, w.k + 1 from walk w join nx n on n.aoi_id = w.aoi_id and n.region_id = w.region_id and n.id = w.node where n.nid <> w.root),
+turned as (select w.*, r0, c0, n.dir <> p.dir turns from walk w join o on o.aoi_id = w.aoi_id and o.region_id = w.region_id and o.id = w.node join nx n on n.aoi_id = w.aoi_id and n.region_id = w.region_id and n.id = w.node join nx p on p.aoi_id = w.aoi_id and p.region_id = w.region_id and p.nid = w.node),
+spelt as (select aoi_id, region_id, root, string_agg(r0 || ' ' || c0, ',' order by k) s from turned where turns group by all)"""
+
+
+@query(duck("select r.aoi_id, r.region_id, sum(signed_area) * 100 area_m2, cast(count(*) as int) n_rings, string_agg(s, ';' order by signed_area < 0, ring) corners from rings r join spelt using (aoi_id, region_id, root) join (select aoi_id, region_id from kept) using (aoi_id, region_id) group by all", "pixels", extra=", ".join((KEPT, _RINGS)) + _WALK))
+def detection_polygons(spark, sf_dir):
+    """Detections as polygons in pixel corners; ``regions.detection_geometry`` gives them coordinates."""
+    labels = G.detect_changes(_pixels(spark, sf_dir))[1]
+    ring = lambda r: F.array_join(F.transform(r, lambda v: F.concat(v["row"].cast("string"), F.lit(" "), v["col"].cast("string"))), ",")
+    return G.region_polygons(G.region_outline(labels)).select("aoi_id", "region_id", "area_m2", "n_rings", F.array_join(F.transform("rings", ring), ";").alias("corners"))
 
 
 @query(duck("select aoi_id, region_id, area_m2 from kept", "pixels", extra=KEPT))
