@@ -118,19 +118,53 @@ def resolve_attempts(attempts: DataFrame, violations: DataFrame, limit: int = MA
     return used.groupBy("group_id").agg(F.when(F.max("won").isNotNull(), "validated").otherwise("rejected").alias("status"), F.coalesce(F.max("won"), F.max("made")).alias("attempts"), F.sum("tokens").alias("tokens"))
 
 
-def brief_context(detections: DataFrame, keys=("aoi_id",)) -> DataFrame:
-    """Per area: count, total area, counts by type, and the largest detections as lines.
+_PAIR = ("aoi_id", "before_scene_id", "after_scene_id")
+
+
+def _lines(rows: DataFrame, keys, order: list[Column], line: Column, limit: int) -> DataFrame:
+    """keys and lines: the first ``limit`` rows of each key as text; Spark limits each key's rows before they are shuffled."""
+    top = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= limit)
+    return top.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+
+
+def _fixed(value: Column, digits: int) -> Column:
+    """A number of no less than 0 with so many decimals."""
+    scaled = F.round(value * 10**digits).cast("long")
+    return F.concat(F.floor(scaled / 10**digits).cast("string"), F.lit("."), F.lpad((scaled % 10**digits).cast("string"), digits, "0"))
+
+
+def detection_context(detections: DataFrame, keys=_PAIR) -> DataFrame:
+    """Per pair: count, total area, counts by type, and the largest detections as lines.
 
     Totals cover all detections, lines the ``PROMPT_DETECTIONS`` largest.
     """
     totals = detections.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("area_m2"), 2).alias("total_area"))
     types = detections.groupBy(*keys, "change_type").agg(F.count(F.lit(1)).alias("k"))
     types = types.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("change_type", "k"))), lambda t: F.concat_ws("=", t["change_type"], t["k"].cast("string"))), ", ").alias("by_type"))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("area_m2"), "detection_id"))
-    line = F.concat(F.lit("id="), F.col("detection_id").cast("string"), F.lit(" type="), F.col("change_type"), F.lit(" area_m2="), F.round("area_m2").cast("long").cast("string"))
-    top = detections.withColumn("place", place).where(F.col("place") <= PROMPT_DETECTIONS)
-    lines = top.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
-    return totals.join(types, list(keys)).join(lines, list(keys))
+    parts = ("id=", F.col("detection_id").cast("string"), " type=", F.col("change_type"), " area_m2=", F.round("area_m2").cast("long").cast("string"), " magnitude=", _fixed(F.col("magnitude"), 3), " confidence=", _fixed(F.col("confidence"), 2))
+    line = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    return totals.join(types, list(keys)).join(_lines(detections, keys, [F.desc("area_m2"), F.col("detection_id")], line, PROMPT_DETECTIONS), list(keys))
+
+
+def article_context(articles: DataFrame, keys=("aoi_id",)) -> DataFrame:
+    """Per area: number of articles and the ``PROMPT_ARTICLES`` earliest as lines."""
+    line = F.concat(F.lit("["), F.col("article_id").cast("string"), F.lit("] "), F.date_format("seendate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(" "), F.col("domain"), F.lit(": "), F.col("title"))
+    found = articles.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_articles"))
+    return found.join(_lines(articles, keys, [F.col("seendate"), F.col("article_id")], line, PROMPT_ARTICLES).withColumnRenamed("lines", "article_lines"), list(keys))
+
+
+def brief_context(briefs: DataFrame, detections: DataFrame, articles: DataFrame) -> DataFrame:
+    """What a brief is written from: brief_id, n, total_area, by_type, lines, n_articles, article_lines.
+
+    ``briefs`` has brief_id, aoi_id and the pair's scenes; ``articles`` are the admitted ones of each area
+    (``articles.fuse_articles``). Contexts are made once a pair and area, whatever the number of its briefs. Totals cover all rows, lines the
+    largest detections and the earliest articles. A brief without any has zeros and empty texts.
+    """
+    d = detection_context(detections).hint("merge")
+    out = briefs.select("brief_id", *_PAIR).join(d, list(_PAIR), "left").join(article_context(articles).hint("merge"), "aoi_id", "left")
+    zero, text = F.lit(0).cast("long"), F.lit("")
+    return out.select("brief_id", F.coalesce("n", zero).alias("n"), F.coalesce("total_area", F.lit(0.0)).alias("total_area"), F.coalesce("by_type", text).alias("by_type"), F.coalesce("lines", text).alias("lines"),
+                      F.coalesce("n_articles", zero).alias("n_articles"), F.coalesce("article_lines", text).alias("article_lines"))
 
 
 def persist_claims(claims: DataFrame, briefs: DataFrame) -> DataFrame:

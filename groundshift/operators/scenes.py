@@ -35,17 +35,22 @@ def usable_fraction(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("aoi_id").agg(F.avg(usable(F.col("scl")).cast("double")).alias("usable_fraction"))
 
 
+def requested_scenes(scenes: DataFrame, requests: DataFrame, min_usable: float = MIN_USABLE) -> DataFrame:
+    """Usable scenes in the windows of their area's request, with step, by how many days the narrowest of the ``candidate_windows`` that holds it is wider."""
+    day = F.to_date("captured_at")
+    late = F.greatest(F.datediff(day, F.col("end")), F.lit(0))
+    met = scenes.join(requests.where(F.col("start") <= F.col("end")), "aoi_id").withColumn("step", (F.ceil(late / WIDEN_STEP_DAYS) * WIDEN_STEP_DAYS).cast("int"))
+    return met.where((day >= F.col("start")) & (F.col("step") <= WIDEN_CAP_DAYS) & (F.col("usable_fraction") >= min_usable))
+
+
 def select_usable_scene(scenes: DataFrame, requests: DataFrame, min_usable: float = MIN_USABLE) -> DataFrame:
     """The scene each request takes: narrowest window first, then least cloud, earliest, id.
 
     A scene counts in the narrowest of the ``candidate_windows`` that holds it; scenes under ``min_usable`` are passed over.
     """
-    day = F.to_date("captured_at")
-    late = F.greatest(F.datediff(day, F.col("end")), F.lit(0))
-    met = scenes.join(requests.where(F.col("start") <= F.col("end")), "aoi_id").withColumn("step", (F.ceil(late / WIDEN_STEP_DAYS) * WIDEN_STEP_DAYS).cast("int"))
-    met = met.where((day >= F.col("start")) & (F.col("step") <= WIDEN_CAP_DAYS) & (F.col("usable_fraction") >= min_usable))
-    order = Window.partitionBy("aoi_id").orderBy("step", "cloud_pct", "captured_at", "scene_id")
-    return met.withColumn("place", F.row_number().over(order)).where("place = 1").select("aoi_id", "scene_id", "step", "cloud_pct", "usable_fraction")
+    met = requested_scenes(scenes, requests, min_usable)
+    best = F.min_by(F.struct("scene_id", "step", "cloud_pct", "usable_fraction"), F.struct("step", "cloud_pct", "captured_at", "scene_id"))
+    return met.groupBy("aoi_id").agg(best.alias("b")).select("aoi_id", "b.*")
 
 
 def pin_scene(specs: DataFrame, scenes: DataFrame, min_usable: float = MIN_USABLE) -> DataFrame:

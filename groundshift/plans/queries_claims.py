@@ -8,6 +8,7 @@ from groundshift.functions import columns as C
 from groundshift.operators import claims as V
 from groundshift.sources.fixtures import duck, table
 
+from .queries_articles import _CAND, _FUSED, _RANK, _SCORED, _WATCH, _fused
 from .registry import query
 
 _MONTHS = "(" + "|".join(C.MONTHS) + ")"
@@ -138,12 +139,19 @@ def resolve_attempts(spark, sf_dir):
     return V.resolve_attempts(attempts, _violations(spark, sf_dir))
 
 
-@query(duck("""select aoi_id, n, total_area, by_type, lines from (select aoi_id, count(*) n, round(sum(area_m2), 2) total_area from detections group by aoi_id)
-  join (select aoi_id, string_agg(concat(change_type, '=', cast(k as varchar)), ', ' order by change_type) by_type from (select aoi_id, change_type, count(*) k from detections group by all) group by aoi_id) using (aoi_id)
-  join (select aoi_id, string_agg(concat('id=', cast(detection_id as varchar), ' type=', change_type, ' area_m2=', cast(cast(round(area_m2) as bigint) as varchar)), chr(10) order by rn) lines
-    from (select *, row_number() over (partition by aoi_id order by area_m2 desc, detection_id) rn from detections) where rn <= 50 group by aoi_id) using (aoi_id)""", "detections"))
+_CONTEXT = """dctx as (select * from (select aoi_id, before_scene_id, after_scene_id, count(*) n, round(sum(area_m2), 2) total_area from detections group by all)
+  join (select aoi_id, before_scene_id, after_scene_id, string_agg(concat(change_type, '=', cast(k as varchar)), ', ' order by change_type) by_type from (select aoi_id, before_scene_id, after_scene_id, change_type, count(*) k from detections group by all) group by all) using (aoi_id, before_scene_id, after_scene_id)
+  join (select aoi_id, before_scene_id, after_scene_id, string_agg(concat('id=', cast(detection_id as varchar), ' type=', change_type, ' area_m2=', cast(cast(round(area_m2) as bigint) as varchar), ' magnitude=', cast(cast(round(magnitude * 1000) as bigint) // 1000 as varchar), '.', lpad(cast(cast(round(magnitude * 1000) as bigint) % 1000 as varchar), 3, '0'),
+  ' confidence=', cast(cast(round(confidence * 100) as bigint) // 100 as varchar), '.', lpad(cast(cast(round(confidence * 100) as bigint) % 100 as varchar), 2, '0')), chr(10) order by rn) lines
+    from (select *, row_number() over (partition by aoi_id, before_scene_id, after_scene_id order by area_m2 desc, detection_id) rn from detections) where rn <= 50 group by all) using (aoi_id, before_scene_id, after_scene_id)),
+actx as (select aoi_id, count(*) n_articles, string_agg(concat('[', cast(article_id as varchar), '] ', strftime(seendate, '%Y-%m-%dT%H:%M:%S'), ' ', "domain", ': ', title), chr(10) order by rn2) filter (rn2 <= 10) article_lines
+  from (select *, row_number() over (partition by aoi_id order by seendate, article_id) rn2 from fused) group by aoi_id)"""
+
+
+@query(duck("""select brief_id, coalesce(n, 0) n, coalesce(total_area, 0) total_area, coalesce(by_type, '') by_type, coalesce(lines, '') lines, coalesce(n_articles, 0) n_articles, coalesce(article_lines, '') article_lines
+  from briefs b left join dctx d on b.aoi_id = d.aoi_id and b.before_scene_id = d.before_scene_id and b.after_scene_id = d.after_scene_id left join actx a on a.aoi_id = b.aoi_id""", "briefs", "detections", "articles", extra=", ".join((_WATCH, _SCORED, _CAND, _RANK, _FUSED, _CONTEXT))))
 def brief_context(spark, sf_dir):
-    return V.brief_context(table(spark, sf_dir, "detections"))
+    return V.brief_context(_briefs(spark, sf_dir), table(spark, sf_dir, "detections"), _fused(spark, sf_dir))
 
 
 _LINKS = """lk as (select brief_id, seq, 'detection' evidence_type, unnest(evidence) detection_id, null::bigint article_id from claims where brief_id in (select brief_id from briefs where status = 'validated')
@@ -170,11 +178,3 @@ def latest_validated_brief(spark, sf_dir):
 def claims_with_evidence(spark, sf_dir):
     c, b = _claims(spark, sf_dir), _briefs(spark, sf_dir)
     return V.claims_with_evidence(c, b, V.persist_claims(c, b)).withColumn("links", F.array_join("links", " "))
-
-
-@query(duck("""select 'claim' kind, claim_id id, coalesce(string_agg(cast(detection_id as varchar), ' ' order by detection_id), '') others from (select distinct l.claim_id, d.detection_id from links l left join (select detection_id from detections where detection_id % 5 <> 0) d on l.detection_id = d.detection_id) group by claim_id
-  union all select 'detection', detection_id, string_agg(cast(claim_id as varchar), ' ' order by claim_id) from (select distinct claim_id, detection_id from links where detection_id % 5 <> 0 and detection_id in (select detection_id from detections)) group by detection_id""", "links", "detections"))
-def evidence_index(spark, sf_dir):
-    by_claim, by_detection = V.evidence_index(table(spark, sf_dir, "links"), table(spark, sf_dir, "detections").where("detection_id % 5 <> 0"))
-    a = by_claim.select(F.lit("claim").alias("kind"), F.col("claim_id").alias("id"), F.array_join("detections", " ").alias("others"))
-    return a.union(by_detection.select(F.lit("detection"), "detection_id", F.array_join("claims", " ")))

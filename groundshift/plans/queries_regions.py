@@ -114,11 +114,12 @@ def nbr(spark, sf_dir):
     return _pixels(spark, sf_dir).select("aoi_id", "row", "col", F.round(C.nbr(F.col("nir1"), F.col("blue1") - 300), 6).alias("v"))
 
 
-@query(duck("select aoi_id, row, col, round(d, 6) delta from (select aoi_id, row, col, cast(nir1 - red1 as double) / nullif(nir1 + red1, 0) - cast(nir0 - red0 as double) / nullif(nir0 + red0, 0) d from pixels where row % 7 <> 0)", "pixels"))
+@query(duck("select aoi_id, row, col, round(d, 6) delta from (select aoi_id, row, col, cast(nir1 - red1 as double) / nullif(nir1 + red1, 0) - cast(nir0 - red0 as double) / nullif(nir0 + red0, 0) d from pixels)", "pixels"))
 def index_delta(spark, sf_dir):
     p = _pixels(spark, sf_dir)
     date = lambda n: p.select("aoi_id", "row", "col", F.col(f"red{n}").alias("red"), F.col(f"nir{n}").alias("nir"))
-    met = P.pair_scenes(date(0), date(1).where("row % 7 <> 0"), ["red", "nir"])
+    after = date(1).unionByName(date(1).withColumn("row", F.col("row") + 1000))  # the later scene reaches further
+    met = P.pair_scenes(date(0), after, ["red", "nir"])
     return met.select("aoi_id", "row", "col", F.round(C.ndvi(F.col("red1"), F.col("nir1")) - C.ndvi(F.col("red0"), F.col("nir0")), 6).alias("delta"))
 
 

@@ -165,15 +165,6 @@ def select_usable_scene(spark, sf_dir):
     return S.select_usable_scene(table(spark, sf_dir, "scenes"), _requests(spark, sf_dir))
 
 
-@query(duck("""select event_id spec_id, q.stac_id, q."day", case when u is null then 'missing' when u < 0.7 then 'below usable minimum' else 'found' end status from
-  (select scene_id event_id, case when scene_id % 5 = 0 then concat(stac_id, 'x') else stac_id end stac_id, cast(captured_at as date) "day" from scenes where scene_id % 10 < 6) q
-  left join (select stac_id, cast(captured_at as date) "day", max(usable_fraction) u from scenes group by all) n on q.stac_id = n.stac_id and q."day" = n."day" """, "scenes"))
-def pin_scene(spark, sf_dir):
-    s = table(spark, sf_dir, "scenes")
-    specs = s.where("scene_id % 10 < 6").selectExpr("scene_id spec_id", "case when scene_id % 5 = 0 then concat(stac_id, 'x') else stac_id end stac_id", "to_date(captured_at) day")
-    return S.pin_scene(specs, s)
-
-
 _LONG = "b as (" + " union all ".join(f"select aoi_id, row, col, '{x}1' band, {x}1 \"value\" from pixels" for x in BANDS) + ")"
 
 

@@ -43,13 +43,6 @@ def confusion_counts(spark, sf_dir):
 _ORDERS = 'c as (select o_custkey, count(*) filter (o_orderstatus = \'F\') tp, count(*) filter (o_orderstatus = \'O\') fp, count(*) filter (o_orderstatus = \'P\') fn, count(*) tn from orders where o_custkey % 3 <> 0 or o_orderstatus = \'X\' group by all)'
 
 
-@query(duck(f"select o_custkey, tp, fp, fn, {_RATIO} from c", extra=_ORDERS))
-def score_ratios(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").where("o_custkey % 3 <> 0 or o_orderstatus = 'X'")
-    counts = o.groupBy("o_custkey").agg(*[F.count_if(F.col("o_orderstatus") == s).alias(n) for s, n in (("F", "tp"), ("O", "fp"), ("P", "fn"))])
-    return _rounded(S.score_ratios(counts))
-
-
 @query(duck(f"select vertical, aoi_id, tp, fp, fn, tn, {_RATIO} from (select vertical, aoi_id, {_COUNT} from tp group by rollup(vertical, aoi_id))", "pixels", extra=MAPS + ", " + _TRUE))
 def micro_average(spark, sf_dir):
     return _rounded(S.micro_average(S.confusion_counts(_scored(spark, sf_dir), ("vertical", "aoi_id")), ["vertical", "aoi_id"]))
@@ -116,12 +109,12 @@ def increment_identity(spark, sf_dir):
     return S.increment_identity(features, 2024).select("l_orderkey", "l_linenumber", "main_class", "uuid", "reject")
 
 
-@query("""with t as (select c_custkey % 50 aoi_id, date '2024-01-01' + cast(c_custkey % 90 as int) d from customer where c_custkey % 50 <> 7), w as (select distinct c_custkey % 50 aoi_id, date '2024-01-10' b, date '2024-03-01' a from customer)
+@query("""with t as (select c_custkey % 50 aoi_id, date '2024-01-01' + cast(c_custkey % 90 as int) d from customer), w as (select distinct c_custkey % 50 + x aoi_id, date '2024-01-10' b, date '2024-03-01' a from customer, (values (0), (50)) v(x))
 select w.aoi_id, coalesce(string_agg(distinct cast(d as varchar), ' ' order by cast(d as varchar)) filter (d < b or d > a), '') outside, count(d) = 0 no_truth from w left join t on w.aoi_id = t.aoi_id group by w.aoi_id""")
 def truth_date_bracket(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
-    truth = c.where("c_custkey % 50 <> 7").selectExpr("c_custkey % 50 aoi_id", "date_add(date'2024-01-01', cast(c_custkey % 90 as int)) image_date")
-    windows = c.selectExpr("c_custkey % 50 aoi_id", "date'2024-01-10' before_date", "date'2024-03-01' after_date").distinct()
+    truth = c.selectExpr("c_custkey % 50 aoi_id", "date_add(date'2024-01-01', cast(c_custkey % 90 as int)) image_date")
+    windows = c.selectExpr("explode(array(c_custkey % 50, c_custkey % 50 + 50)) aoi_id", "date'2024-01-10' before_date", "date'2024-03-01' after_date").distinct()
     out = S.truth_date_bracket(truth, windows)
     return out.withColumn("outside", F.array_join(F.transform("outside", lambda d: d.cast("string")), " "))
 
@@ -164,14 +157,6 @@ def combined_bounds(spark, sf_dir):
     return S.combined_bounds(table(spark, sf_dir, "aois"))
 
 
-@query("""with s as (select c_name metric, c_acctbal "value" from customer where c_custkey % 4 <> 0), f as (select c_name metric, c_acctbal + c_custkey % 3 "value" from customer where c_custkey % 5 <> 0)
-select coalesce(s.metric, f.metric) metric, s."value" stored, f."value" fresh, round(abs(s."value" - f."value"), 6) drift from s full join f on s.metric = f.metric""")
-def run_drift(spark, sf_dir):
-    c = read(spark, sf_dir, "customer")
-    out = S.run_drift(c.where("c_custkey % 4 <> 0").selectExpr("c_name metric", "c_acctbal value"), c.where("c_custkey % 5 <> 0").selectExpr("c_name metric", "c_acctbal + c_custkey % 3 value"))
-    return out.withColumn("drift", F.round("drift", 6))
-
-
 # geometry ---------------------------------------------------------------------------------------
 
 _ZONE = f"({Y.A * Y.A * (1 - Y.E2) / 2!r}::double * (sin(radians({{0}})) / (1 - {Y.E2!r}::double * sin(radians({{0}})) ** 2) + {1 / (2 * Y.E)!r}::double * ln((1 + {Y.E!r}::double * sin(radians({{0}}))) / (1 - {Y.E!r}::double * sin(radians({{0}}))))))"
@@ -241,12 +226,6 @@ def polygon_area_check(spark, sf_dir):
     return out.select("aoi_id", F.round("area_m2", 4).alias("area_m2"), F.round("error", 8).alias("error"), "ok")
 
 
-@query(duck("select aoi_id, min(l.row) min_row, min(l.col) min_col, max(l.row) + 1 max_row, max(l.col) + 1 max_col from lab l where region_id % 2 = 1 group by aoi_id", "pixels", extra=LABELS))
-def region_bounds(spark, sf_dir):
-    labels = G.connected_regions(P.clean_mask(P.rule_mask(P.change_maps(_pixels(spark, sf_dir))).select("aoi_id", "row", "col", "hit")))
-    return M.region_bounds(G.region_outline(labels), labels.where("region_id % 2 = 1").select("aoi_id", "region_id").distinct())
-
-
 @query(duck("""select l.aoi_id, l.region_id, count(c.row) shared, round(count(c.row) / cast(count(*) + any_value(n) - count(c.row) as double), 6) iou, round(count(c.row) / cast(count(*) as double), 6) covered from lab l left join cells c on l.aoi_id = c.aoi_id and l.row = c.row and l.col = c.col
   join (select aoi_id, count(*) n from cells group by aoi_id) t on t.aoi_id = l.aoi_id group by l.aoi_id, l.region_id""", "pixels", extra=", ".join((LABELS, _POLY, _INSIDE))))
 def region_overlap(spark, sf_dir):

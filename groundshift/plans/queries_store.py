@@ -32,14 +32,14 @@ def upsert_scenes(spark, sf_dir):
     return T.upsert_scenes(_base(spark, sf_dir), _changes(spark, sf_dir))
 
 
-@query("""with b as (select c_custkey aoi_id, c_name slug, c_mktsegment segment, case when c_custkey % 4 <> 0 then 7 end cadence_days, c_acctbal last_checked_at from customer where c_custkey % 3 <> 0),
-c as (select c_custkey + 100000 aoi_id, c_name slug, 'NEW' segment, 1 cadence_days, 0.0::double last_checked_at from customer where c_custkey % 2 = 0)
+@query("""with b as (select c_custkey aoi_id, c_name slug, c_mktsegment segment, case when c_custkey % 4 <> 0 then 7 end cadence_days, c_acctbal last_checked_at from customer),
+c as (select c_custkey + 100000 aoi_id, case when c_custkey % 2 = 0 then c_name else concat('new ', c_name) end slug, 'NEW' segment, 1 cadence_days, 0.0::double last_checked_at from customer)
 select coalesce(b.aoi_id, c.aoi_id) aoi_id, coalesce(b.slug, c.slug) slug, coalesce(c.segment, b.segment) segment, case when b.slug is not null then b.cadence_days else c.cadence_days end cadence_days,
   case when b.slug is not null then b.last_checked_at else c.last_checked_at end last_checked_at from b full join c on b.slug = c.slug""")
 def upsert_aois(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
-    base = c.where("c_custkey % 3 <> 0").selectExpr("c_custkey aoi_id", "c_name slug", "c_mktsegment segment", "case when c_custkey % 4 <> 0 then 7 end cadence_days", "c_acctbal last_checked_at")
-    return T.upsert_aois(base, c.where("c_custkey % 2 = 0").selectExpr("c_custkey + 100000 aoi_id", "c_name slug", "'NEW' segment", "1 cadence_days", "0.0D last_checked_at"))
+    base = c.selectExpr("c_custkey aoi_id", "c_name slug", "c_mktsegment segment", "case when c_custkey % 4 <> 0 then 7 end cadence_days", "c_acctbal last_checked_at")
+    return T.upsert_aois(base, c.selectExpr("c_custkey + 100000 aoi_id", "case when c_custkey % 2 = 0 then c_name else concat('new ', c_name) end slug", "'NEW' segment", "1 cadence_days", "0.0D last_checked_at"))
 
 
 @query(duck("""select detection_id, aoi_id, before_scene_id, after_scene_id, area_m2 from detections where not (aoi_id % 3 = 0 and before_scene_id = 2 and after_scene_id = 3)
@@ -77,15 +77,6 @@ def geojson_features(spark, sf_dir):
     return R.geojson_features(c, F.array(F.array(at(0, 0), at(1, 0), at(0, 1), at(0, 0))), ["c_name", "c_nationkey"])
 
 
-_MET = """met as (select d.*, s.captured_at from detections d left join (select aoi_id, before_scene_id b, after_scene_id a from act where aoi_id % 2 = 0) p on d.aoi_id = p.aoi_id join scenes s on s.scene_id = d.after_scene_id where a is null or (d.before_scene_id = b and d.after_scene_id = a))"""
-
-
-@query(duck("select aoi_id, detection_id, area_m2, change_type, cast(row_number() over (partition by aoi_id order by area_m2 desc, detection_id) as int) place from met where captured_at >= timestamp '2024-01-01' and change_type = 'flooding'", "detections", "jobs", "scenes", extra=ACTIVE + ", " + _MET))
-def query_detections(spark, sf_dir):
-    t = lambda n: table(spark, sf_dir, n)
-    return T.query_detections(t("detections"), t("jobs").where("aoi_id % 2 = 0"), t("scenes"), "2024-01-01", "flooding")
-
-
 @query(duck("""select aoi_id, before_scene_id, after_scene_id, detection_id, area_m2, cast(row_number() over (partition by aoi_id, before_scene_id, after_scene_id order by area_m2 desc, detection_id) as int) place
   from detections d where exists (from briefs b where b.aoi_id = d.aoi_id and b.before_scene_id = d.before_scene_id and b.after_scene_id = d.after_scene_id)""", "detections", "briefs"))
 def detections_for_pair(spark, sf_dir):
@@ -97,20 +88,6 @@ def latest_detected_pair(spark, sf_dir):
     return T.latest_detected_pair(table(spark, sf_dir, "detections"))
 
 
-_FEW = "few as (select * from detections where aoi_id % 4 <> 1)"
-
-
-@query(duck("select a.aoi_id, count(d.area_m2) n, round(coalesce(sum(cast(round(area_m2 * 100) as bigint)) / 1000000.0::double, 0), 4) total_ha, round(coalesce(max(area_m2) / 10000, 0), 4) largest_ha from aois a left join few d on a.aoi_id = d.aoi_id group by a.aoi_id", "aois", "detections", extra=_FEW))
-def rerun_summary(spark, sf_dir):
-    return T.rerun_summary(table(spark, sf_dir, "aois"), table(spark, sf_dir, "detections").where("aoi_id % 4 <> 1"))
-
-
-@query(duck("""select a.aoi_id, coalesce(f, 'No change detected') finding from aois a left join (select aoi_id, string_agg(concat(cast(n as varchar), ' ', change_type), ', ' order by n desc, change_type) f
-  from (select aoi_id, change_type, count(*) n from few group by all) group by aoi_id) c on a.aoi_id = c.aoi_id""", "aois", "detections", extra=_FEW))
-def change_type_counts(spark, sf_dir):
-    return T.change_type_counts(table(spark, sf_dir, "aois"), table(spark, sf_dir, "detections").where("aoi_id % 4 <> 1"))
-
-
 @query(duck("select aoi_id, slug, cast(row_number() over (order by case when aoi_id % 10 = 7 then aoi_id else 1073741824 end, slug) as int) place from aois", "aois"))
 def aoi_order(spark, sf_dir):
     a = table(spark, sf_dir, "aois")
@@ -135,8 +112,3 @@ def recheck_windows(spark, sf_dir):
 def due_rechecks(spark, sf_dir):
     t = lambda n: table(spark, sf_dir, n)
     return T.due_rechecks(t("aois"), t("jobs"), t("scenes"), NOW, "2024-02-15")
-
-
-@query(duck("select aoi_id, case when aoi_id in (select aoi_id from jobs where status = 'succeeded') then 'ran, found nothing' else 'never ran' end verdict from aois where aoi_id not in (select aoi_id from few)", "aois", "detections", "jobs", extra=_FEW))
-def zero_detection_audit(spark, sf_dir):
-    return T.zero_detection_audit(table(spark, sf_dir, "aois"), table(spark, sf_dir, "detections").where("aoi_id % 4 <> 1"), table(spark, sf_dir, "jobs"))

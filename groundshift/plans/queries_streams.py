@@ -11,6 +11,7 @@ from groundshift.streaming import updates as U
 
 from . import queries_articles as QA
 from . import queries_scenes as QS
+from .queries_store import TODAY
 from .registry import ORACLES, query
 from .scratch import scratch_dir
 
@@ -29,7 +30,8 @@ def stream_articles(spark, sf_dir):
     return out.withColumns({c: F.array_join(c, " " if c == "duplicates" else ",") for c in ("toponym", "thematic", "duplicates")})
 
 
-@query(ORACLES["select_usable_scene"])
+@query(f"""select p.*, case when w then d end before_start, case when w then cast(d + 1 as date) end after_start, case when w then date '{TODAY}' end after_end
+from ({ORACLES["select_usable_scene"]}) p join (select event_id, cast(ts as date) d, cast(ts as date) + 1 < date '{TODAY}' w from events) e on e.event_id = p.scene_id""")
 def stream_scene_selection(spark, sf_dir):
     source, schema, store = _arrivals(spark, table(spark, sf_dir, "scenes"), "scene_id")
-    return U.stream_scene_selection(spark, source, schema, store, QS._requests(spark, sf_dir))
+    return U.stream_scene_selection(spark, source, schema, store, QS._requests(spark, sf_dir), TODAY)

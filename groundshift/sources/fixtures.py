@@ -6,7 +6,6 @@ operator and its SQL check start from equal rows.
 
 from __future__ import annotations
 
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -84,7 +83,7 @@ from lineitem
 """
 
 _ARTICLES = """
-select doc_id article_id, left({first}, 120) title, source domain,
+select doc_id article_id, {first} title, source domain,
   case lang when 'en' then 'English' when 'de' then 'German' when 'fr' then 'French' when 'es' then 'Spanish' else lang end language,
   concat(case when doc_id % 17 = 0 then 'ftp://' else 'https://' end, source, '/', cast(doc_id as {text})) url,
   {seen} seendate, text full_text
@@ -98,7 +97,7 @@ SUFFIXES = (" about 12,500 m²", " 1.25 ha and 40%", " on 2024-1-3", " on 2024-1
 _CLAIMS = """
 select conv_id brief_id, cast(row_number() over (partition by conv_id order by turn) - 1 as int) seq,
   case when (conv_id + turn) % 5 = 0 then 'mixed' when role = 'user' then 'observed' when role = 'assistant' then 'reported' when conv_id % 9 = 0 then 'rumour' else 'context' end claim_type,
-  case when conv_id % 23 = 0 and turn = 1 then '  ' else concat(left(text, 60), case (conv_id * 7 + turn) % 8 {cases} end) end text,
+  case when conv_id % 23 = 0 and turn = 1 then '  ' else concat(text, case (conv_id * 7 + turn) % 8 {cases} end) end text,
   case when turn % 4 = 3 then {empty} when turn % 6 = 5 then {unknown} else {known} end evidence,
   case when turn % 4 = 1 then {empty} when turn % 7 = 4 then {unknown} else {articles} end article_evidence
 from conversations
@@ -127,16 +126,10 @@ TABLES = {
     "claims": (["conversations"], CLAIMS_SPARK, CLAIMS_DUCK),
     "briefs": (["conversations"], BRIEFS_SPARK, BRIEFS_DUCK),
 }
-#: The tables above whose texts are cut, with the whole turn and the whole first sentence instead.
-WHOLE = {name: (TABLES[name][0], *(q.replace(cut, uncut) for q in TABLES[name][1:])) for name, cut, uncut in (
-    ("claims", "left(text, 60)", "text"), ("articles", "left(split_part(text, '.', 1), 120)", "split_part(text, '.', 1)"))}
-#: Whether ``table`` reads the tables of ``WHOLE`` (see plans/queries_whole.py).
-whole_texts: ContextVar[bool] = ContextVar("whole_texts", default=False)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of ``TABLES`` over the tables in ``sf_dir``."""
-    bases, query, _ = (TABLES | WHOLE if whole_texts.get() else TABLES)[name]
+    bases, query, _ = TABLES[name]
     return spark.sql(query.replace(f"from {bases[0]}", "from {base}"), base=read(spark, sf_dir, bases[0]))
 
 

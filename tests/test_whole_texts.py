@@ -3,15 +3,11 @@
 from pyspark.sql import functions as F
 
 from groundshift.plans import catalogue
-from groundshift.sources.fixtures import WHOLE, read, table, whole_texts
+from groundshift.sources.fixtures import read, table
 
 
 def test_no_text_is_a_prefix(spark, sf):
-    token = whole_texts.set(True)
-    try:
-        claims, articles = table(spark, sf, "claims"), table(spark, sf, "articles")
-    finally:
-        whole_texts.reset(token)
+    claims, articles = table(spark, sf, "claims"), table(spark, sf, "articles")
     turns = read(spark, sf, "conversations").selectExpr("conv_id brief_id", "cast(row_number() over (partition by conv_id order by turn) - 1 as int) seq", "text turn")
     met = claims.where("trim(text) <> ''").join(turns, ["brief_id", "seq"])
     assert met.count() and met.where(~F.startswith("text", "turn")).count() == 0
@@ -20,10 +16,6 @@ def test_no_text_is_a_prefix(spark, sf):
     assert articles.where(F.length("title") > 120).count() > 0
 
 
-def test_every_query_on_cut_texts_has_a_whole_form():
-    assert set(WHOLE) == {"claims", "articles"}
-    for name in ("validate_briefs", "has_quantity", "area_mentions", "date_mentions", "resolve_attempts", "title_key", "dedupe_articles", "fuse_articles", "stream_articles"):
-        assert catalogue.ORACLES[f"whole_{name}"] != catalogue.ORACLES[name]
+def test_no_query_reads_cut_texts():
     for name, sql in catalogue.ORACLES.items():
-        if name.startswith("whole_"):
-            assert "left(text, 60)" not in sql and ", 1), 120)" not in sql
+        assert not name.startswith("whole_") and "left(text, " not in sql and ", 1), 120)" not in sql
