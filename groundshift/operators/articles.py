@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundshift.functions.columns import holds_term, normalize_text, title_key
 from groundshift.plans.scratch import checked_side, materialize
 
+from .ranking import placed
+
 #: Days before, after, and of the longest look-back (fixed values).
 LEAD_DAYS, LAG_DAYS, LOOKBACK_DAYS = 30, 14, 400
 WATCHES_BROADCAST = 1000
@@ -140,7 +142,7 @@ def dedupe_articles(rows: DataFrame, ranks: DataFrame, keys=("aoi_id",)) -> Data
 
     ``ranks`` has domain and domain_rank. The other urls are kept, in that order, as ``duplicates``.
     """
-    ranked = rows.withColumn("title_key", title_key(F.col("title"))).join(ranks, "domain", "left")
+    ranked = rows.withColumn("title_key", title_key(F.col("title"))).join(ranks.hint("merge"), "domain", "left")
     place = F.struct(F.coalesce("domain_rank", F.lit(1 << 30)).alias("rank"), "seendate", "article_id", "url")
     groups = ranked.groupBy(*keys, "title_key").agg(F.array_sort(F.collect_list(place)).alias("g"))
     return groups.select(*keys, "title_key", F.col("g")[0]["article_id"].alias("article_id"), F.transform(F.slice("g", 2, F.greatest(F.size("g") - 1, F.lit(0))), lambda x: x["url"]).alias("duplicates"))
@@ -162,4 +164,4 @@ def gate_funnel(scored: DataFrame) -> DataFrame:
 
 def articles_for_pair(fused: DataFrame) -> DataFrame:
     """Admitted articles with their place, oldest first."""
-    return fused.withColumn("place", F.row_number().over(Window.partitionBy("aoi_id").orderBy("seendate", "article_id")))
+    return placed(fused, ["aoi_id"], [F.col("seendate"), F.col("article_id")])

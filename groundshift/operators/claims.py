@@ -112,7 +112,7 @@ def resolve_attempts(attempts: DataFrame, violations: DataFrame, limit: int = MA
     """
     within = attempts.where(F.col("attempt") <= limit)
     bad = violations.select("brief_id").distinct().withColumn("bad", F.lit(True))
-    judged = within.join(bad, "brief_id", "left")
+    judged = within.join(bad.hint("merge"), "brief_id", "left")
     first = judged.groupBy("group_id").agg(F.min(F.when(F.col("bad").isNull(), F.col("attempt"))).alias("won"), F.max("attempt").alias("made"))
     used = judged.join(first, "group_id").where("attempt <= coalesce(won, made)")
     return used.groupBy("group_id").agg(F.when(F.max("won").isNotNull(), "validated").otherwise("rejected").alias("status"), F.coalesce(F.max("won"), F.max("made")).alias("attempts"), F.sum("tokens").alias("tokens"))

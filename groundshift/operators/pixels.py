@@ -9,11 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundshift.functions.columns import ndvi, ndwi, passes, usable
+from groundshift.plans.scratch import checked_side, materialize
 
 from . import tiles
 from .presets import PRESETS, Preset
+from .ranking import order_statistics
 
 KEY = ("aoi_id", "row", "col")
+#: Bands of areas up to which their ends are broadcast.
+BANDS_BROADCAST = 100_000
 
 
 def mask_unusable(pairs: DataFrame, bands, classes=("scl",)) -> DataFrame:
@@ -179,8 +183,9 @@ def percentile_stretch(bands: DataFrame, low: float = 2.0, high: float = 98.0, g
     range is level 0.
     """
     if fixed_max is None:
-        ends = bands.groupBy("aoi_id", "band").agg(F.percentile("value", low / 100).alias("lo"), F.percentile("value", high / 100).alias("hi"))
-        joined = bands.join(ends, ["aoi_id", "band"])
+        ends = materialize(order_statistics(bands, ["aoi_id", "band"], "value", [low / 100, high / 100]), "stretch")
+        ends = ends.select("aoi_id", "band", F.col("q0").alias("lo"), F.col("q1").alias("hi"))
+        joined = bands.join(checked_side(ends, ends.count(), BANDS_BROADCAST), ["aoi_id", "band"], "left")
     else:
         joined = bands.withColumns({"lo": F.lit(0.0), "hi": F.lit(float(fixed_max))})
     part = F.least(F.greatest(F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)), F.lit(1.0))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundshift.plans.scratch import materialize
 
+from . import tiles
 from .components import connected_components
 from .pixels import cleaned_maps
 from .presets import PRESETS
@@ -88,27 +90,59 @@ def region_outline(labels: DataFrame) -> DataFrame:
     return each.join(labels.hint("merge"), ["aoi_id", "region_id", "row", "col"], "left_anti").select("aoi_id", "region_id", "r0", "c0", "r1", "c1")
 
 
+#: Pixels of a radius up to which nearness is looked for in tiles, whose halo it is.
+NEAR_PIXELS = 1024
+
+
+def _near(grid: tiles.Grid, pixel: float, reach: int) -> np.ndarray:
+    """Boundary pixels whose gap to an anchor pixel is within their radius, by a distance transform of two passes.
+
+    Down the columns each pixel learns the row of the nearest anchor; along the rows the least of the gaps to the
+    columns within reach counts. Pixels are squares, so neighbours have no gap.
+    """
+    anchor, radius = grid.of("_anchor", False, bool), grid.of("_radius", -1.0, np.float64)
+    present = np.zeros(grid.shape, dtype=bool)
+    present.ravel()[grid.at] = True
+    near = np.zeros(grid.shape, dtype=bool)
+    if not anchor.any():
+        return near
+    lines = np.arange(grid.shape[0], dtype=np.int64)[:, None]
+    far = np.int64(1 << 30)
+    above = lines - np.maximum.accumulate(np.where(anchor, lines, -far), axis=0)
+    below = np.minimum.accumulate(np.where(anchor, lines, far)[::-1], axis=0)[::-1] - lines
+    rows = np.maximum(np.minimum(above, below) - 1, 0).astype(np.float64)
+    wide = np.pad(rows, ((0, 0), (reach, reach)), constant_values=float(far))
+    inside = np.pad(present, 1)
+    r, c = np.nonzero(present & ~(inside[:-2, 1:-1] & inside[2:, 1:-1] & inside[1:-1, :-2] & inside[1:-1, 2:]) & (radius >= 0))
+    columns = np.maximum(np.abs(np.arange(-reach, reach + 1)) - 1, 0).astype(np.float64) ** 2
+    for at in range(0, len(r), 4096):
+        i, j = r[at : at + 4096], c[at : at + 4096]
+        gap = (wide[i[:, None], j[:, None] + np.arange(2 * reach + 1)] ** 2 + columns).min(axis=1)
+        near[i, j] = pixel * np.sqrt(gap) <= radius[i, j]
+    return near
+
+
 def keep_near_largest(stats: DataFrame, labels: DataFrame, presets=PRESETS, pixel: float = PIXEL_M) -> DataFrame:
     """Regions within the preset's radius of their area's largest, edge to edge; no radius keeps all.
 
-    The first of equal largest regions is the anchor. Pixels are squares, so the distance of two
-    regions is the least gap between their pixels; boundary pixels meet in buckets one radius wide.
+    The first of equal largest regions is the anchor. The distance of two regions is the least gap between their pixels.
+    It is looked for in tiles whose halo is the greatest radius, at most ``NEAR_PIXELS`` pixels; the work of a
+    tile is linear in its boundary pixels.
     """
     radius = F.lit(None).cast("double")
     for i, p in enumerate(presets):
         radius = F.when(F.col("vertical") == i, F.lit(p.focus_radius_m).cast("double")).otherwise(radius)
-    ranked = stats.withColumn("radius", radius).withColumn("place", F.row_number().over(Window.partitionBy("aoi_id").orderBy(F.desc("area_m2"), "region_id")))
-    gated = ranked.where("radius is not null").select("aoi_id", "region_id", "radius", "place")
-    outline = region_outline(labels)
-    cells = outline.select("aoi_id", "region_id", F.least("r0", "r1").alias("r"), F.least("c0", "c1").alias("c"), F.greatest("r0", "r1").alias("r2"), F.greatest("c0", "c1").alias("c2")).distinct()
-    cells = cells.join(gated, ["aoi_id", "region_id"]).withColumns({"br": F.floor(F.col("r") * pixel / (F.col("radius") + pixel)), "bc": F.floor(F.col("c") * pixel / (F.col("radius") + pixel))})
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    anchor = cells.where("place = 1").select("aoi_id", F.col("r").alias("ar"), F.col("c").alias("ac"), F.col("r2").alias("ar2"), F.col("c2").alias("ac2"), "br", "bc", F.explode(near).alias("n"))
-    anchor = anchor.select("aoi_id", "ar", "ac", "ar2", "ac2", (F.col("br") + F.col("n.i")).alias("br"), (F.col("bc") + F.col("n.j")).alias("bc"))
-    gap = lambda lo, hi, lo2, hi2: F.greatest(F.lit(0), F.col(lo2) - F.col(hi), F.col(lo) - F.col(hi2))
-    met = cells.join(anchor.hint("merge"), ["aoi_id", "br", "bc"]).withColumn("d", F.lit(pixel) * F.sqrt(F.pow(gap("r", "r2", "ar", "ar2"), 2) + F.pow(gap("c", "c2", "ac", "ac2"), 2)))
-    close = met.where("d <= radius").select("aoi_id", "region_id").distinct().withColumn("close", F.lit(True))
-    out = ranked.join(close.hint("merge"), ["aoi_id", "region_id"], "left").where("radius is null or place = 1 or close")
+    reach = int(max([p.focus_radius_m or 0.0 for p in presets]) / pixel) + 2
+    if reach > NEAR_PIXELS:
+        raise ValueError(f"a radius may be of {NEAR_PIXELS} pixels at most")
+    ranked = stats.withColumn("_radius", radius)
+    anchors = ranked.groupBy("aoi_id").agg(F.min_by("region_id", F.struct(-F.col("area_m2"), "region_id")).alias("_anchor_id"))
+    ranked = materialize(ranked.join(anchors.hint("merge"), "aoi_id").withColumn("_anchor", F.col("region_id") == F.col("_anchor_id")), "near-ranked")
+    asked = ranked.where("_radius is not null").select("aoi_id", "region_id", "_radius", "_anchor")
+    pixels = labels.select("aoi_id", "region_id", "row", "col").join(asked.hint("merge"), ["aoi_id", "region_id"])
+    found = tiles.over_tiles(pixels, {"near": "boolean"}, lambda g: {"near": _near(g, pixel, reach)}, reach, side=max(tiles.TILE, 2 * reach + 1))
+    close = found.where("near").select("aoi_id", "region_id").distinct().withColumn("_close", F.lit(True))
+    out = ranked.join(close.hint("merge"), ["aoi_id", "region_id"], "left").where("_radius is null or _anchor or _close")
     return out.select(*stats.columns)
 
 

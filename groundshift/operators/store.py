@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import placed
+
 from .scenes import active_pair
 
 
@@ -67,14 +69,14 @@ def query_detections(detections: DataFrame, jobs: DataFrame, scenes: DataFrame,
         met = met.where(F.col("captured_at") >= F.lit(since).cast("timestamp"))
     if change_type is not None:
         met = met.where(F.col("change_type") == change_type)
-    return met.select("aoi_id", "detection_id", "area_m2", "change_type", F.row_number().over(Window.partitionBy("aoi_id").orderBy(F.desc("area_m2"), "detection_id")).alias("place"))
+    return placed(met.select("aoi_id", "detection_id", "area_m2", "change_type"), ["aoi_id"], [F.desc("area_m2"), F.col("detection_id")])
 
 
 def detections_for_pair(detections: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows of the given pairs with their place, largest first."""
     keys = ["aoi_id", "before_scene_id", "after_scene_id"]
     met = detections.join(pairs.select(*keys).distinct(), keys, "left_semi")
-    return met.select(*keys, "detection_id", "area_m2", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("area_m2"), "detection_id")).alias("place"))
+    return placed(met.select(*keys, "detection_id", "area_m2"), keys, [F.desc("area_m2"), F.col("detection_id")])
 
 
 def latest_detected_pair(detections: DataFrame) -> DataFrame:
@@ -100,8 +102,8 @@ def change_type_counts(aois: DataFrame, detections: DataFrame) -> DataFrame:
 
 def aoi_order(aois: DataFrame, ranks: DataFrame) -> DataFrame:
     """Areas with their place: showcase rank first, then slug. ``ranks`` has slug and rank."""
-    met = aois.join(ranks, "slug", "left")
-    return met.select("aoi_id", "slug", F.row_number().over(Window.orderBy(F.coalesce("rank", F.lit(1 << 30)), "slug")).alias("place"))
+    met = aois.join(ranks, "slug", "left").select("aoi_id", "slug", F.coalesce("rank", F.lit(1 << 30)).alias("_rank"))
+    return placed(met, [], [F.col("_rank"), F.col("slug")]).drop("_rank")
 
 
 def is_due(aois: DataFrame, now) -> DataFrame:

@@ -147,14 +147,14 @@ _PRESET_SQL = """p as (select * from (values (0, 'port', 'construction', 'ssim_d
 def preset_rules(spark, sf_dir):
     names = F.array(*[F.lit(p.vertical) for p in D.PRESETS])
     aois = table(spark, sf_dir, "aois").select("aoi_id", F.get(names, F.col("vertical")).alias("vertical"))
-    return aois.join(D.preset_table(spark), "vertical")
+    return aois.join(F.broadcast(D.preset_table(spark)), "vertical")
 
 
 @query(duck("select aoi_id, p.vertical, map, case when map = 'ndvi' then 0.25::double else threshold end threshold, 4000.0::double min_area_m2 from aois a join p on a.vertical = p.v where p.v = 1", "aois", extra=_PRESET_SQL))
 def preset_override(spark, sf_dir):
     changed = D.override(D.PRESETS[1], {"ndvi": 0.25}, 4000.0)
     aois = table(spark, sf_dir, "aois").where("vertical = 1").select("aoi_id", F.lit("forest").alias("vertical"))
-    return aois.join(D.preset_table(spark, [changed]), "vertical").select("aoi_id", "vertical", "map", "threshold", "min_area_m2")
+    return aois.join(F.broadcast(D.preset_table(spark, [changed])), "vertical").select("aoi_id", "vertical", "map", "threshold", "min_area_m2")
 
 
 _RANDOM = "rnd as (select aoi_id, row, col, (red1 * 7 + nir1 * 3 + row) % 5 <> 0 hit from pixels)"

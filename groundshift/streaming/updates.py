@@ -60,7 +60,7 @@ def stream_articles(spark: SparkSession, source: str, schema: str, store: str, w
 
     def gate(batch: DataFrame, number: int) -> None:
         passed = gated(article_candidates(batch, watches), watches).where("gate.passed")
-        ranked = passed.join(ranks, "domain", "left").withColumn("domain_rank", F.coalesce("domain_rank", F.lit(1 << 30)))
+        ranked = passed.join(ranks.hint("merge"), "domain", "left").withColumn("domain_rank", F.coalesce("domain_rank", F.lit(1 << 30)))
         rows = ranked.select("aoi_id", title_key(F.col("title")).alias("title_key"), "domain_rank", "seendate", "article_id", "url", "title", "domain", "language", F.col("gate.toponym").alias("toponym"), F.col("gate.thematic").alias("thematic"))
         rows.write.mode("overwrite").parquet(f"{admitted}/batch={number}")
 
