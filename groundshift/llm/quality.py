@@ -16,10 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundshift.operators.ranking import placed
+
 from .shingles import chunks, mix
 
 #: The scorer is fitted, in one task, on the features of at most this many different texts: those of the least hashes.
 TRAIN_DOCS = 10_000
+#: Rows that a task may hold to find the least of them.
+AT_ONCE = 100_000
 FEATURES = 1 << 14
 ITERATIONS = 150
 RIDGE = 1e-4
@@ -250,7 +254,12 @@ def training_sample(docs: DataFrame, n_docs: int, most: int = TRAIN_DOCS) -> Dat
     hashed = docs.where("text is not null").select(F.xxhash64(F.lit("sample"), F.col("text")).bitwiseAND(F.lit((1 << 63) - 1)).alias("h"), "text")
     cut = min((1 << 63) - 1, (1 << 63) * 2 * most // max(n_docs, 1))
     texts = hashed.where(F.col("h") <= cut).distinct()
-    return texts.mapInArrow(_featured, "h long, votes array<int>, place array<int>, value array<double>").orderBy("h").limit(most)
+    features = "h long, votes array<int>, place array<int>, value array<double>"
+    if most <= AT_ONCE:
+        return texts.mapInArrow(_featured, features).orderBy("h").limit(most)
+    # a queue of so many rows would not fit into a task: the least hashes by their places
+    least = placed(texts.select("h"), [], [F.col("h")]).where(F.col("place") <= most).select("h")
+    return texts.join(least.hint("merge"), "h").select("h", "text").mapInArrow(_featured, features)
 
 
 def score_documents(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
