@@ -802,4 +802,4 @@ def test_pipeline_stage_by_stage(spark, sf):
 
 def test_queries_are_registered():
     names = [re.match(r"op(\d+)_", k)[1] for k in queries.QUERIES]
-    assert sorted(map(int, names)) == list(range(1, 11)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+    assert sorted(map(int, names)) == list(range(1, 14)) and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
