@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from groundshift.functions.columns import holds_term, normalize_text, title_key
 from groundshift.plans.scratch import checked_side, materialize
 
-from .ranking import placed
+from .ranking import PAGE, paged, placed
 
 #: Days before, after, and of the longest look-back (fixed values).
 LEAD_DAYS, LAG_DAYS, LOOKBACK_DAYS = 30, 14, 400
@@ -137,23 +137,28 @@ def score_articles(articles: DataFrame, watches: DataFrame) -> DataFrame:
     return gated(met, watches)
 
 
-def dedupe_articles(rows: DataFrame, ranks: DataFrame, keys=("aoi_id",)) -> DataFrame:
-    """One article per title key: best ranked domain, unranked last, then earliest, then id.
+def dedupe_articles(rows: DataFrame, ranks: DataFrame, keys=("aoi_id",), page_size: int = PAGE) -> DataFrame:
+    """One article per title key: best ranked domain, unranked last, then earliest, then id: keys, title_key, page, article_id, duplicates.
 
-    ``ranks`` has domain and domain_rank. The other urls are kept, in that order, as ``duplicates``.
+    ``ranks`` has domain and domain_rank. The other urls are kept, in that order, as ``duplicates``; a title key with more
+    than ``page_size`` of them has further pages of them (page 1, 2, ...) under the same article_id, none made in one task.
     """
     ranked = rows.withColumn("title_key", title_key(F.col("title"))).join(ranks.hint("merge"), "domain", "left")
-    place = F.struct(F.coalesce("domain_rank", F.lit(1 << 30)).alias("rank"), "seendate", "article_id", "url")
-    groups = ranked.groupBy(*keys, "title_key").agg(F.array_sort(F.collect_list(place)).alias("g"))
-    return groups.select(*keys, "title_key", F.col("g")[0]["article_id"].alias("article_id"), F.transform(F.slice("g", 2, F.greatest(F.size("g") - 1, F.lit(0))), lambda x: x["url"]).alias("duplicates"))
+    order = [F.coalesce("domain_rank", F.lit(1 << 30)).alias("rank"), F.col("seendate"), F.col("article_id").alias("id"), F.col("url").alias("address")]
+    groups = paged(ranked, [*keys, "title_key"], order, F.struct("article_id", "url"), size=page_size, lead=1)
+    urls = F.transform("items", lambda x: x["url"])
+    return groups.select(*keys, "title_key", "page", F.col("first.article_id").alias("article_id"), F.when(F.col("page") == 0, F.slice(urls, 2, page_size)).otherwise(urls).alias("duplicates"))
 
 
 def fuse_articles(articles: DataFrame, watches: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Admitted articles of every watch: candidates, gates, then dedup; with gates and duplicates as meta."""
+    """Admitted articles of every watch: candidates, gates, then dedup; with gates and duplicates as meta.
+
+    An article has a row for each page of its duplicates: one, page 0, unless there are more than ``PAGE``.
+    """
     passed = materialize(gated(article_candidates(articles, watches), watches).where("gate.passed"), "article-passed")
     kept = dedupe_articles(passed, ranks)
     rows = passed.join(kept.hint("merge"), ["aoi_id", "article_id"])
-    return rows.select("aoi_id", "article_id", "url", "title", "domain", "language", "seendate", F.col("gate.toponym").alias("toponym"), F.col("gate.thematic").alias("thematic"), "duplicates")
+    return rows.select("aoi_id", "article_id", "url", "title", "domain", "language", "seendate", F.col("gate.toponym").alias("toponym"), F.col("gate.thematic").alias("thematic"), "page", "duplicates")
 
 
 def gate_funnel(scored: DataFrame) -> DataFrame:
@@ -164,4 +169,4 @@ def gate_funnel(scored: DataFrame) -> DataFrame:
 
 def articles_for_pair(fused: DataFrame) -> DataFrame:
     """Admitted articles with their place, oldest first."""
-    return placed(fused, ["aoi_id"], [F.col("seendate"), F.col("article_id")])
+    return placed(fused.where("page = 0").drop("page"), ["aoi_id"], [F.col("seendate"), F.col("article_id")])

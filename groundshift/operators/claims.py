@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundshift.functions.columns import OBSERVED, REPORTED, area_mentions, has_quantity, iso_date, iso_mentions, month_mentions
+from groundshift.plans.scratch import materialize
+
+from .ranking import PAGE, paged
 
 CLAIM_TYPES = ("observed", "context", "reported", "mixed")
 AREA_TOLERANCE = 0.10
@@ -147,7 +150,8 @@ def detection_context(detections: DataFrame, keys=_PAIR) -> DataFrame:
 
 
 def article_context(articles: DataFrame, keys=("aoi_id",)) -> DataFrame:
-    """Per area: number of articles and the ``PROMPT_ARTICLES`` earliest as lines."""
+    """Per area: number of articles and the ``PROMPT_ARTICLES`` earliest as lines; further pages of an article's duplicates do not count."""
+    articles = articles.where("page = 0") if "page" in articles.columns else articles
     line = F.concat(F.lit("["), F.col("article_id").cast("string"), F.lit("] "), F.date_format("seendate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(" "), F.col("domain"), F.lit(": "), F.col("title"))
     found = articles.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_articles"))
     return found.join(_lines(articles, keys, [F.col("seendate"), F.col("article_id")], line, PROMPT_ARTICLES).withColumnRenamed("lines", "article_lines"), list(keys))
@@ -187,17 +191,18 @@ def latest_validated_brief(briefs: DataFrame) -> DataFrame:
     return briefs.where("status = 'validated'").withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 
 
-def claims_with_evidence(claims: DataFrame, briefs: DataFrame, links: DataFrame) -> DataFrame:
-    """Claims of validated or stale briefs with their links, sorted, as an array."""
+def claims_with_evidence(claims: DataFrame, briefs: DataFrame, links: DataFrame, page_size: int = PAGE) -> DataFrame:
+    """Claims of validated or stale briefs with their links, sorted, as an array, a row for each page of ``page_size`` links; a claim without any has an empty page 0."""
     shown = claims.join(briefs.where("status in ('validated', 'stale')").select("brief_id"), "brief_id", "left_semi")
-    nested = links.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.concat_ws(":", "evidence_type", F.coalesce("detection_id", "article_id").cast("string")))).alias("links"))
-    return shown.join(nested.hint("merge"), list(KEY), "left").select(*KEY, "claim_type", F.coalesce("links", F.array().cast("array<string>")).alias("links"))
+    label = F.concat_ws(":", "evidence_type", F.coalesce("detection_id", "article_id").cast("string"))
+    nested = paged(links, list(KEY), [], label, "links", page_size).drop("first")
+    return shown.join(nested.hint("merge"), list(KEY), "left").select(*KEY, F.coalesce("page", F.lit(0)).alias("page"), "claim_type", F.coalesce("links", F.array().cast("array<string>")).alias("links"))
 
 
-def evidence_index(links: DataFrame, detections: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(claim to its known detections, detection to its claims); a claim with none keeps an empty list."""
-    known = links.where("detection_id is not null").join(detections.select("detection_id"), "detection_id", "left_semi").select("claim_id", "detection_id").distinct()
+def evidence_index(links: DataFrame, detections: DataFrame, page_size: int = PAGE) -> tuple[DataFrame, DataFrame]:
+    """(claim to its known detections, detection to its claims), a row for each page of ``page_size``; a claim with none keeps an empty page 0."""
+    known = materialize(links.where("detection_id is not null").join(detections.select("detection_id"), "detection_id", "left_semi").select("claim_id", "detection_id").distinct(), "known-links")
     claims = links.select("claim_id").distinct()
-    by_claim = claims.join(known.groupBy("claim_id").agg(F.array_sort(F.collect_list("detection_id")).alias("detections")), "claim_id", "left")
-    by_claim = by_claim.select("claim_id", F.coalesce("detections", F.array().cast("array<bigint>")).alias("detections"))
-    return by_claim, known.groupBy("detection_id").agg(F.array_sort(F.collect_list("claim_id")).alias("claims"))
+    by_claim = claims.join(paged(known, ["claim_id"], [], F.col("detection_id"), "detections", page_size).hint("merge"), "claim_id", "left")
+    by_claim = by_claim.select("claim_id", F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("detections", F.array().cast("array<bigint>")).alias("detections"))
+    return by_claim, paged(known, ["detection_id"], [], F.col("claim_id"), "claims", page_size).drop("first")

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundshift.functions.geodesy import edge_area, to_utm, to_wgs84
+from groundshift.plans.scratch import materialize
 
 MAX_AOI_KM2 = 500.0
 AREA_TOLERANCE = 0.002
 EDGE = ("x0", "y0", "x1", "y1")
+WINDOW = ("wminx", "wminy", "wmaxx", "wmaxy")
+#: Cells of a cover have 2^level pixels a side, the largest first; boxes under 2^LEAST_LEVEL share the least level.
+COVER_LEVELS = (7, 4)
+LEAST_LEVEL = -20
 
 
 def box_edges(boxes: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,11 +50,11 @@ def edges_to_grid(edges: DataFrame, grids: DataFrame) -> DataFrame:
     return met.withColumnsRenamed({f"g{c}": c for c in EDGE})
 
 
-def rasterize_polygons(edges: DataFrame) -> DataFrame:
-    """aoi_id, row, col of the pixels whose centre is inside any polygon of the area, each once.
+def inside_spans(edges: DataFrame) -> DataFrame:
+    """aoi_id, row, lo, hi: the runs of pixels of a row whose centre is inside a polygon of the area.
 
     Scanlines: every edge gives its crossings with the rows it spans, crossings pair off from left
-    to right (even-odd), spans become columns. Spans are closed left and open right.
+    to right (even-odd). Spans are closed left and open right; those of different polygons may overlap.
     """
     low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
     first, last = F.ceil(low - 0.5), F.ceil(high - 0.5) - 1
@@ -57,20 +64,56 @@ def rasterize_polygons(edges: DataFrame) -> DataFrame:
     order = Window.partitionBy("aoi_id", "polygon", "row").orderBy("x")
     paired = crossed.select("*", F.lead("x").over(order).alias("xe"), F.row_number().over(order).alias("k")).where("k % 2 = 1")
     left, right = F.ceil(F.col("x") - 0.5), F.ceil(F.col("xe") - 0.5) - 1
-    cells = paired.where(right >= left).select("aoi_id", "row", F.explode(F.sequence(left, right)).alias("col"))
-    return cells.select("aoi_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).distinct()
+    return paired.where(right >= left).select("aoi_id", "row", left.alias("lo"), right.alias("hi"))
 
 
-def touched_cells(edges: DataFrame) -> DataFrame:
-    """aoi_id, row, col of the pixels that an edge runs through."""
+def touched_spans(edges: DataFrame) -> DataFrame:
+    """aoi_id, row, lo, hi: the runs of pixels of a row that an edge runs through."""
     low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
     rows = edges.select("aoi_id", *EDGE, F.explode(F.sequence(F.floor(low), F.floor(high))).alias("row"))
     dy = F.col("y1") - F.col("y0")
     at = lambda y: F.when(dy == 0, F.col("x0")).otherwise(F.col("x0") + (y - F.col("y0")) * (F.col("x1") - F.col("x0")) / F.when(dy != 0, dy))
     a, b = at(F.greatest(F.col("row").cast("double"), low)), at(F.least(F.col("row") + 1.0, high))
     b = F.when(dy == 0, F.col("x1")).otherwise(b)
-    cells = rows.select("aoi_id", "row", F.explode(F.sequence(F.floor(F.least(a, b)), F.floor(F.greatest(a, b)))).alias("col"))
-    return cells.select("aoi_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).distinct()
+    return rows.select("aoi_id", "row", F.floor(F.least(a, b)).alias("lo"), F.floor(F.greatest(a, b)).alias("hi"))
+
+
+def _pixels_of(spans: DataFrame) -> DataFrame:
+    cells = spans.select("aoi_id", F.col("row").cast("int").alias("row"), F.explode(F.sequence("lo", "hi")).alias("col"))
+    return cells.withColumn("col", F.col("col").cast("int")).distinct()
+
+
+def rasterize_polygons(edges: DataFrame) -> DataFrame:
+    """aoi_id, row, col of the pixels whose centre is inside any polygon of the area, each once."""
+    return _pixels_of(inside_spans(edges))
+
+
+def touched_cells(edges: DataFrame) -> DataFrame:
+    """aoi_id, row, col of the pixels that an edge runs through."""
+    return _pixels_of(touched_spans(edges))
+
+
+def _split(spans: DataFrame, level: int) -> DataFrame:
+    """Spans cut at the sides of cells of 2^level pixels, with the cell's column."""
+    at, side = F.col("cell"), 1 << level
+    cut = spans.select("aoi_id", "row", "lo", "hi", F.explode(F.sequence(F.shiftright("lo", level), F.shiftright("hi", level))).alias("cell"))
+    return cut.select("aoi_id", "row", F.greatest(F.col("lo"), at * side).alias("lo"), F.least(F.col("hi"), at * side + side - 1).alias("hi"), "cell")
+
+
+def cover(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(aoi_id, level, top, cell of the square cells of 2^level pixels that polygons fill or touch in every pixel; aoi_id, row, lo, hi, cell of the spans outside those).
+
+    Spans of a row are cut at the largest cells first; a cell in which each row has a span over its whole width is one row of
+    the cover, and only spans in other cells go on to the next level. So the inside of a large polygon is no row for each pixel.
+    """
+    spans, inner = inside_spans(edges).unionByName(touched_spans(edges)), []
+    for level in COVER_LEVELS:
+        cut = materialize(_split(spans, level).withColumn("top", F.shiftright("row", level)).distinct(), "cover-spans")
+        full = cut.where(F.col("hi") - F.col("lo") + 1 == 1 << level).groupBy("aoi_id", "top", "cell").agg(F.count_distinct("row").alias("n")).where(F.col("n") == 1 << level)
+        full = materialize(full.select("aoi_id", F.lit(level).alias("level"), "top", "cell"), "cover-cells")
+        inner.append(full)
+        spans = cut.join(full.hint("merge"), ["aoi_id", "top", "cell"], "left_anti").select("aoi_id", "row", "lo", "hi")
+    return reduce(DataFrame.unionByName, inner), _split(spans, COVER_LEVELS[-1])
 
 
 def polygon_area_check(edges: DataFrame, official: DataFrame) -> DataFrame:
@@ -96,17 +139,75 @@ def region_overlap(labels: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def intersects_filter(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """aoi_id, region_id of the regions that a polygon meets: by an inner pixel or its boundary."""
-    cells = rasterize_polygons(edges).union(touched_cells(edges)).distinct()
-    return labels.join(cells.hint("merge"), ["aoi_id", "row", "col"], "left_semi").select("aoi_id", "region_id").distinct()
+    """aoi_id, region_id of the regions that a polygon meets: by an inner pixel or its boundary.
+
+    Regions meet the polygons' cover (``cover``): by the different cells of each level that they lie in, and pixel by pixel only
+    in cells on a border.
+    """
+    inner, border = cover(edges)
+    found = []
+    for level in COVER_LEVELS:
+        mine = labels.select("aoi_id", "region_id", F.shiftright("row", level).cast("long").alias("top"), F.shiftright("col", level).cast("long").alias("cell")).distinct()
+        found.append(mine.join(inner.where(F.col("level") == level).hint("merge"), ["aoi_id", "top", "cell"], "left_semi").select("aoi_id", "region_id"))
+    pixels = labels.select("aoi_id", "region_id", F.col("row").cast("long").alias("row"), "col", F.shiftright("col", COVER_LEVELS[-1]).cast("long").alias("cell"))
+    found.append(pixels.join(border.hint("merge"), ["aoi_id", "row", "cell"]).where("col between lo and hi").select("aoi_id", "region_id"))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _celled(boxes: DataFrame, box: tuple[str, str, str, str], levels: list[int], name: str) -> DataFrame:
+    """Boxes with ``name`` (their own level) and a row for each cell (level, cx, cy) that they lie in, at their own level and each larger one of ``levels``."""
+    each = F.filter(F.array(*map(F.lit, levels)), lambda m: m >= F.col(name))
+    out = boxes.select("*", F.explode(each).alias("level")).withColumn("_size", F.pow(F.lit(2.0), F.col("level")))
+    for axis, low, high in (("cx", box[0], box[2]), ("cy", box[1], box[3])):
+        out = out.select("*", F.explode(F.sequence(F.floor(F.col(low) / F.col("_size")), F.floor(F.col(high) / F.col("_size")))).alias(axis))
+    return out.drop("_size")
+
+
+def _level(box: tuple[str, str, str, str]) -> Column:
+    """Least level whose cells are no smaller than the box, so that it lies in four of them at most (five or six by rounding)."""
+    extent = F.greatest(F.col(box[2]) - F.col(box[0]), F.col(box[3]) - F.col(box[1]))
+    return F.when(extent > 2.0**LEAST_LEVEL, F.ceil(F.log2(extent)).cast("int")).otherwise(LEAST_LEVEL)
+
+
+def box_pairs(left: DataFrame, right: DataFrame, left_box: tuple[str, str, str, str], right_box: tuple[str, str, str, str]) -> DataFrame:
+    """Pairs of rows of one aoi_id whose boxes (minx, miny, maxx, maxy) meet, each once; the other columns of both must differ in name.
+
+    Each box lies in a few cells of the level of its size. Two boxes meet in a cell of the larger one's level, so a box takes
+    part at its own level and at the larger levels that there are; cells are the key of the join, whatever the sizes. The
+    levels, at most some dozens, are the only rows brought to the driver. Boxes with a null or infinite side meet none.
+    """
+    def ready(rows: DataFrame, box: tuple[str, str, str, str], name: str) -> DataFrame:
+        bounded = reduce(lambda a, b: a & b, [F.abs(F.col(c)) < float("inf") for c in box])
+        return materialize(rows.where(bounded & (F.col(box[0]) <= F.col(box[2])) & (F.col(box[1]) <= F.col(box[3]))).withColumn(name, _level(box)), "boxes")
+
+    a, b = ready(left, left_box, "_la"), ready(right, right_box, "_lb")
+    levels = sorted(r[0] for r in a.select("_la").distinct().union(b.select("_lb").distinct()).distinct().collect())
+    if not levels:
+        levels = [LEAST_LEVEL]
+    met = _celled(a, left_box, levels, "_la").join(_celled(b, right_box, levels, "_lb").hint("merge"), ["aoi_id", "level", "cx", "cy"]).where(F.col("level") == F.greatest("_la", "_lb"))
+    (ax0, ay0, ax1, ay1), (bx0, by0, bx1, by1) = [[F.col(c) for c in box] for box in (left_box, right_box)]
+    met = met.where((ax0 <= bx1) & (bx0 <= ax1) & (ay0 <= by1) & (by0 <= ay1))
+    # the one cell that holds the lower corner of what both share
+    size = F.pow(F.lit(2.0), F.col("level"))
+    return met.where((F.col("cx") == F.floor(F.greatest(ax0, bx0) / size)) & (F.col("cy") == F.floor(F.greatest(ay0, by0) / size))).drop("level", "cx", "cy", "_la", "_lb")
 
 
 def truth_in_window(edges: DataFrame, windows: DataFrame) -> DataFrame:
-    """aoi_id, polygon of the polygons that meet their area's window (wminx, wminy, wmaxx, wmaxy).
+    """aoi_id, polygon of the polygons that meet a window (wminx, wminy, wmaxx, wmaxy) of their area, each once.
 
-    A polygon meets a box if an edge does, or if a corner of the box lies inside it (odd crossings).
+    Boxes first (``box_pairs``): a polygon whose box lies in a window meets it, and only the edges of those whose box
+    crosses a window's side are tested. A polygon meets a box if an edge does, or if a corner of the box lies inside it (odd crossings).
+    Edges with a null corner count as none.
     """
-    met = edges.join(windows.hint("merge"), "aoi_id")
+    edges = edges.select("aoi_id", "polygon", *EDGE).where(" and ".join(f"{c} is not null" for c in EDGE))
+    sides = ("pminx", "pminy", "pmaxx", "pmaxy")
+    low, high = (lambda a, b: F.min(F.least(a, b))), (lambda a, b: F.max(F.greatest(a, b)))
+    bounds = edges.groupBy("aoi_id", "polygon").agg(low("x0", "x1").alias("pminx"), low("y0", "y1").alias("pminy"), high("x0", "x1").alias("pmaxx"), high("y0", "y1").alias("pmaxy"))
+    pairs = materialize(box_pairs(bounds, windows.select("aoi_id", *WINDOW).distinct(), sides, WINDOW), "window-pairs")
+    whole = "pminx >= wminx and pmaxx <= wmaxx and pminy >= wminy and pmaxy <= wmaxy"
+    sure = pairs.where(whole).select("aoi_id", "polygon").distinct()
+    open_pairs = pairs.where(f"not ({whole})").join(sure.hint("merge"), ["aoi_id", "polygon"], "left_anti").select("aoi_id", "polygon", *WINDOW)
+    met = edges.join(open_pairs.hint("merge"), ["aoi_id", "polygon"])
 
     def within(p: str, d, lo: str, hi: str):
         a, b = (F.col(lo) - F.col(p)) / F.when(d != 0, d), (F.col(hi) - F.col(p)) / F.when(d != 0, d)
@@ -119,5 +220,5 @@ def truth_in_window(edges: DataFrame, windows: DataFrame) -> DataFrame:
     dy = F.col("y1") - F.col("y0")
     right = F.col("x0") + (F.col("wminy") - F.col("y0")) * (F.col("x1") - F.col("x0")) / F.when(dy != 0, dy)
     over = ((F.col("y0") > F.col("wminy")) != (F.col("y1") > F.col("wminy"))) & (F.col("wminx") < right)
-    got = met.groupBy("aoi_id", "polygon").agg(F.bool_or(crosses).alias("hit"), F.count_if(over).alias("n"))
-    return got.where("hit or n % 2 = 1").select("aoi_id", "polygon")
+    got = met.groupBy("aoi_id", "polygon", *WINDOW).agg(F.bool_or(crosses).alias("hit"), F.count_if(over).alias("n"))
+    return sure.unionByName(got.where("hit or n % 2 = 1").select("aoi_id", "polygon")).distinct()

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundshift.plans.scratch import checked_side, materialize
 
+#: Values that a nested list may hold.
+PAGE = 1000
 #: Parts of keys (a key in a range partition) up to which they are broadcast, and classes of a histogram.
 PARTS_BROADCAST = 100_000
 CLASSES = 1024
@@ -32,6 +36,31 @@ def placed(rows: DataFrame, keys: list[str], order: list[Column], name: str = "p
     return sorted_rows.join(side, on).select(*rows.columns, (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("int").alias(name))
 
 
+def paged(rows: DataFrame, keys: list[str], order: list[Column], value: Column, name: str = "items", size: int = PAGE, lead: int = 0) -> DataFrame:
+    """keys, page (from 0), first and ``name``: each key's values in order, in lists of ``size`` (page 0: ``lead`` more); ``first`` is the key's first value.
+
+    Keys are counted before the shuffle. One of no more rows than page 0 takes is one list; the rows of any other get
+    their places by ranges of keys (``placed``), so its pages are made apart and no task holds it whole. Null keys are a key.
+    """
+    rows = rows.select(*keys, F.struct(*order, value.alias("_value")).alias("_o"))
+    large = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size + lead).drop("_n"), "large-keys")
+    n_large = large.count()
+
+    def meet(some: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
+        side = side.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+        on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+        return some.join(checked_side(side, n_large, PARTS_BROADCAST), on, how)
+
+    small = meet(rows, large, "left_anti") if n_large else rows
+    out = small.groupBy(*keys).agg(F.array_sort(F.collect_list("_o")).alias("_all")).select(*keys, F.lit(0).alias("page"), F.col("_all")[0]["_value"].alias("first"), "_all")
+    if n_large:
+        hot = placed(meet(rows, large).select(*keys, "_o"), keys, [F.col("_o")], "_place")
+        heads = materialize(hot.where("_place = 1").select(*keys, F.col("_o._value").alias("first")), "large-heads")
+        pages = hot.withColumn("page", F.expr(f"int(greatest(_place - 1 - {lead}, 0) div {size})")).groupBy(*keys, "page").agg(F.array_sort(F.collect_list("_o")).alias("_all"))
+        out = out.unionByName(meet(pages, heads).select(*keys, "page", "first", "_all"))
+    return out.select(*keys, "page", "first", F.transform("_all", lambda x: x["_value"]).alias(name))
+
+
 def order_statistics(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
     """keys and q0, q1, ...: exact percentiles of each key's values, linear between neighbours; nulls, NaN and infinities are left out.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from groundshift.functions import columns as C
 from groundshift.operators import articles as A
+from groundshift.operators.ranking import PAGE
 from groundshift.sources.fixtures import duck, read, table
 
 from .registry import query
@@ -103,14 +104,19 @@ def title_key(spark, sf_dir):
     return _articles(spark, sf_dir).select("article_id", C.title_key(F.col("title")).alias("key"))
 
 
-@query(duck(f"""select k title_key, first_id article_id, array_to_string(us[2:], ' ') duplicates from (select k, arg_min(article_id, (r, seendate, article_id, url)) first_id, list(url order by r, seendate, article_id, url) us from
-  (select a.*, {_KEY} k, coalesce(domain_rank, 1073741824) r from articles a left join ranks using ("domain")) group by k)""", "articles", extra=_RANK))
+#: Pages of the duplicates in ``us``, whose first is the survivor.
+_PAGES = f"unnest(range(0, greatest(1, cast(ceil((len(us) - 1) / {PAGE}.0) as bigint))))"
+_PAGE = f"array_to_string(us[2 + page * {PAGE}:1 + (page + 1) * {PAGE}], ' ') duplicates"
+
+
+@query(duck(f"""select title_key, article_id, cast(page as int) page, {_PAGE} from (select k title_key, first_id article_id, us, {_PAGES} page from (select k, arg_min(article_id, (r, seendate, article_id, url)) first_id, list(url order by r, seendate, article_id, url) us from
+  (select a.*, {_KEY} k, coalesce(domain_rank, 1073741824) r from articles a left join ranks using ("domain")) group by k))""", "articles", extra=_RANK))
 def dedupe_articles(spark, sf_dir):
     out = A.dedupe_articles(_articles(spark, sf_dir).withColumn("aoi_id", F.lit(0)), _ranks(spark))
-    return out.select("title_key", "article_id", F.array_join("duplicates", " ").alias("duplicates"))
+    return out.select("title_key", "article_id", "page", F.array_join("duplicates", " ").alias("duplicates"))
 
 
-@query(duck("""select aoi_id, article_id, url, title, "domain", "language", seendate, array_to_string(topo, ',') toponym, array_to_string(theme, ',') thematic, array_to_string(us[2:], ' ') duplicates from fused""", "articles", extra=", ".join((_WATCH, _SCORED, _CAND, _RANK, _FUSED))))
+@query(duck(f"""select aoi_id, article_id, url, title, "domain", "language", seendate, array_to_string(topo, ',') toponym, array_to_string(theme, ',') thematic, cast(page as int) page, {_PAGE} from (select *, {_PAGES} page from fused)""", "articles", extra=", ".join((_WATCH, _SCORED, _CAND, _RANK, _FUSED))))
 def fuse_articles(spark, sf_dir):
     out = _fused(spark, sf_dir)
     return out.withColumns({c: F.array_join(c, " " if c == "duplicates" else ",") for c in ("toponym", "thematic", "duplicates")})

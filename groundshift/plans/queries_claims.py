@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from groundshift.functions import columns as C
 from groundshift.operators import claims as V
+from groundshift.operators.ranking import PAGE
 from groundshift.sources.fixtures import duck, table
 
 from .queries_articles import _CAND, _FUSED, _RANK, _SCORED, _WATCH, _fused
@@ -173,8 +174,9 @@ def latest_validated_brief(spark, sf_dir):
     return V.latest_validated_brief(_briefs(spark, sf_dir)).select("aoi_id", "brief_id")
 
 
-@query(duck("""select c.brief_id, c.seq, claim_type, coalesce(l, '') links from claims c left join (select brief_id, seq, string_agg(concat(evidence_type, ':', cast(coalesce(detection_id, article_id) as varchar)), ' ' order by concat(evidence_type, ':', cast(coalesce(detection_id, article_id) as varchar))) l
-  from lk group by all) n on c.brief_id = n.brief_id and c.seq = n.seq where c.brief_id in (select brief_id from briefs where status in ('validated', 'stale'))""", "claims", "briefs", extra=_LINKS))
+@query(duck(f"""select c.brief_id, c.seq, cast(coalesce(page, 0) as int) page, claim_type, coalesce(array_to_string(l[1 + page * {PAGE}:(page + 1) * {PAGE}], ' '), '') links from claims c left join (select *, unnest(range(0, cast(ceil(len(l) / {PAGE}.0) as bigint))) page from
+  (select brief_id, seq, list(concat(evidence_type, ':', cast(coalesce(detection_id, article_id) as varchar)) order by concat(evidence_type, ':', cast(coalesce(detection_id, article_id) as varchar))) l from lk group by all)) n on c.brief_id = n.brief_id and c.seq = n.seq
+  where c.brief_id in (select brief_id from briefs where status in ('validated', 'stale'))""", "claims", "briefs", extra=_LINKS))
 def claims_with_evidence(spark, sf_dir):
     c, b = _claims(spark, sf_dir), _briefs(spark, sf_dir)
     return V.claims_with_evidence(c, b, V.persist_claims(c, b)).withColumn("links", F.array_join("links", " "))

@@ -10,6 +10,7 @@ from groundshift.operators import regions as G
 from groundshift.operators import scenes as S
 from groundshift.operators import scoring as K
 from groundshift.operators import store as T
+from groundshift.operators.ranking import PAGE
 from groundshift.sources.fixtures import duck, read, table
 
 from .queries_regions import LABELS, _labels
@@ -84,10 +85,11 @@ def run_drift(spark, sf_dir):
 _PAIRS = "every as (select claim_id, detection_id from links union all select claim_id + 10000000, -1 - detection_id from links)"
 
 
-@query(duck("""select 'claim' kind, claim_id id, coalesce(string_agg(cast(detection_id as varchar), ' ' order by detection_id), '') others from (select distinct l.claim_id, d.detection_id from every l left join detections d on l.detection_id = d.detection_id) group by claim_id
-  union all select 'detection', detection_id, string_agg(cast(claim_id as varchar), ' ' order by claim_id) from (select distinct claim_id, detection_id from every where detection_id in (select detection_id from detections)) group by detection_id""", "links", "detections", extra=_PAIRS))
+@query(duck(f"""select kind, id, cast(page as int) page, array_to_string(o[1 + page * {PAGE}:(page + 1) * {PAGE}], ' ') others from (select *, unnest(range(0, greatest(1, cast(ceil(len(o) / {PAGE}.0) as bigint)))) page from (
+  select 'claim' kind, claim_id id, coalesce(list(detection_id order by detection_id) filter (detection_id is not null), []) o from (select distinct l.claim_id, d.detection_id from every l left join detections d on l.detection_id = d.detection_id) group by claim_id
+  union all select 'detection', detection_id, list(claim_id order by claim_id) from (select distinct claim_id, detection_id from every where detection_id in (select detection_id from detections)) group by detection_id))""", "links", "detections", extra=_PAIRS))
 def evidence_index(spark, sf_dir):
     links = table(spark, sf_dir, "links").select("claim_id", "detection_id")
     by_claim, by_detection = V.evidence_index(links.unionByName(links.selectExpr("claim_id + 10000000 claim_id", "-1 - detection_id detection_id")), table(spark, sf_dir, "detections"))
-    a = by_claim.select(F.lit("claim").alias("kind"), F.col("claim_id").alias("id"), F.array_join("detections", " ").alias("others"))
-    return a.union(by_detection.select(F.lit("detection"), "detection_id", F.array_join("claims", " ")))
+    a = by_claim.select(F.lit("claim").alias("kind"), F.col("claim_id").alias("id"), "page", F.array_join("detections", " ").alias("others"))
+    return a.union(by_detection.select(F.lit("detection"), "detection_id", "page", F.array_join("claims", " ")))

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from groundshift.functions.columns import title_key
 from groundshift.operators.articles import article_candidates, gated
+from groundshift.operators.ranking import paged
 from groundshift.operators.scenes import requested_scenes
 from groundshift.operators.store import recheck_windows
 
@@ -67,11 +68,11 @@ def stream_articles(spark: SparkSession, source: str, schema: str, store: str, w
     _drain(_arriving(spark, source, schema, files_per_batch).writeStream, store, "gates", gate)
     order = F.struct("domain_rank", "seendate", "article_id", "url")
     winners = best_of_keys(spark, _arriving(spark, admitted, columns, 1 << 20), ["aoi_id", "title_key"], order, store, "winners")
-    place = F.struct(F.col("domain_rank"), F.col("seendate"), F.col("article_id"), F.col("url"))
     other = _stored(spark, admitted, columns).join(winners.select("aoi_id", "title_key", F.col("article_id").alias("first_id"), F.col("url").alias("first_url")).hint("merge"), ["aoi_id", "title_key"])
-    other = other.where("article_id <> first_id or url <> first_url").groupBy("aoi_id", "title_key").agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["url"]).alias("duplicates"))
-    out = winners.join(other.hint("merge"), ["aoi_id", "title_key"], "left")
-    return out.select("aoi_id", "article_id", "url", "title", "domain", "language", "seendate", "toponym", "thematic", F.coalesce("duplicates", F.array().cast("array<string>")).alias("duplicates"))
+    other = other.where("article_id <> first_id or url <> first_url")
+    nested = paged(other, ["aoi_id", "title_key"], [F.col("domain_rank"), F.col("seendate"), F.col("article_id")], F.col("url"), "duplicates").drop("first")
+    out = winners.join(nested.hint("merge"), ["aoi_id", "title_key"], "left")
+    return out.select("aoi_id", "article_id", "url", "title", "domain", "language", "seendate", "toponym", "thematic", F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("duplicates", F.array().cast("array<string>")).alias("duplicates"))
 
 
 def stream_scene_selection(spark: SparkSession, source: str, schema: str, store: str, requests: DataFrame, today=None, files_per_batch: int = 1) -> DataFrame:
