@@ -27,6 +27,7 @@ LEVEL = 3
 MIN_REVISIT_BYTES = 0
 _SKIPPABLE, _FOOTER_MAGIC = 0x184D2A5E, 0x8F92EAB1
 _DATE = "2024-01-01T00:00:00Z"
+_HTTP = "application/http; msgtype=response"
 
 
 def payload_digest(payload: bytes) -> str:
@@ -37,21 +38,39 @@ def record_id(page_id) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
 
-def build_record(page_id, url: str | None, payload: bytes, refers_to=None) -> bytes:
-    """One WARC/1.1 record; a revisit carries headers only."""
+def _line(url: str) -> str:
+    return url.replace("\r", "%0D").replace("\n", "%0A")
+
+
+def build_record(page_id, url: str | None, payload: bytes, refers_to=None, refers_to_url: str | None = None) -> bytes:
+    """One WARC/1.1 record of an HTTP response; a revisit has the HTTP headers only."""
     kind = "response" if refers_to is None else "revisit"
     head = [
         f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {_DATE}", f"X-Page-ID: {'' if page_id is None else page_id}",
-        f"WARC-Payload-Digest: sha1:{payload_digest(payload)}", f"X-Payload-Length: {len(payload)}",
+        f"WARC-Payload-Digest: sha1:{payload_digest(payload)}", f"X-Payload-Length: {len(payload)}", f"Content-Type: {_HTTP}",
     ]
     if url is not None:
-        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
-    body = payload
+        head.append("WARC-Target-URI: " + _line(url))
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
-        body = b""
-    head.append(f"Content-Length: {len(body)}")
-    return b"WARC/1.1\r\n" + "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + body + b"\r\n\r\n"
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Refers-To-Date: {_DATE}", f"X-Refers-To-Page-ID: {refers_to}"]
+        if refers_to_url is not None:
+            head.append("WARC-Refers-To-Target-URI: " + _line(refers_to_url))
+        payload = b""
+    head.append(f"Content-Length: {len(http) + len(payload)}")
+    return b"WARC/1.1\r\n" + "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + http + payload + b"\r\n\r\n"
+
+
+def info_record(name: str) -> bytes:
+    """The warcinfo record of a file of that name."""
+    fields = b"software: groundshift\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'bundle:{name}')}>", f"WARC-Date: {_DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(fields)}"]
+    return b"WARC/1.1\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + fields + b"\r\n\r\n"
+
+
+def http_payload(block: bytes) -> bytes:
+    """What follows the headers of an HTTP response."""
+    return block[block.index(b"\r\n\r\n") + 4 :]
 
 
 def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
@@ -93,6 +112,13 @@ def read_frame(bundle: bytes, frame: int) -> bytes:
     return zstandard.ZstdDecompressor().decompress(bundle[at : at + size], max_output_size=max(plain, 1))
 
 
+def with_info(bundle: bytes, name: str) -> bytes:
+    """The bundle with a first frame that holds the warcinfo record of a file of that name."""
+    record = info_record(name)
+    first = (zstandard.ZstdCompressor(level=LEVEL).compress(record), len(record))
+    return seal([first] + [(bundle[at : at + size], plain) for at, size, plain in seek_table(bundle)])
+
+
 _BUNDLES = "bundle_id string, content binary, entries array<struct<page_id: long, record_id: string, frame: int, offset: int>>"
 _ENTRY = pa.list_(pa.struct([("page_id", pa.int64()), ("record_id", pa.string()), ("frame", pa.int32()), ("offset", pa.int32())]))
 
@@ -122,7 +148,7 @@ def _bundler(frame_bytes: int, bundle_bytes: int):
 
         for batch in batches:
             for row in batch.to_pylist():
-                record = build_record(row["page_id"], row["url"], (row["html"] or "").encode("utf-8", "surrogatepass"), row["refers_to"])
+                record = build_record(row["page_id"], row["url"], (row["html"] or "").encode("utf-8", "surrogatepass"), row["refers_to"], row["refers_to_url"])
                 entries.append({"page_id": row["page_id"], "record_id": record_id(row["page_id"]), "frame": len(frames), "offset": len(plain)})
                 plain += record
                 if len(plain) >= frame_bytes:
@@ -141,16 +167,16 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES,
     ``pages`` has page_id, url and html; other columns are ignored. A null html is an empty
     payload. Among equal payloads of at least ``min_revisit_bytes`` bytes the largest page_id is
     the response and the others revisit it; rows of one page_id are each a response if it is the
-    largest. A page without page_id is a response of its own. The result is a table in the shared
+    largest. A revisit names the response's url, the greatest if rows of its page_id differ in it. A page without page_id is a response of its own. The result is a table in the shared
     folder; an empty input gives an empty one.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n"))
-    chosen = rows.where((F.col("n") >= min_revisit_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("top"), F.min("page_id").alias("low"))
-    chosen = chosen.where("low < top").select("digest", "top")
+    chosen = rows.where((F.col("n") >= min_revisit_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("best"), F.min("page_id").alias("low"))
+    chosen = chosen.where("low < best.page_id").select("digest", F.col("best.page_id").alias("top"), F.col("best.url").alias("top_url"))
     rows = rows.join(chosen.hint("merge"), "digest", "left")
     revisits = (F.col("page_id") < F.col("top")) & (F.col("n") >= min_revisit_bytes)
-    rows = rows.select("page_id", "url", "html", F.when(revisits, F.col("top")).alias("refers_to"))
+    rows = rows.select("page_id", "url", "html", F.when(revisits, F.col("top")).alias("refers_to"), F.when(revisits, F.col("top_url")).alias("refers_to_url"))
     return materialize(rows.mapInArrow(_bundler(frame_bytes, bundle_bytes), _BUNDLES), "warc-bundles")
 
 
@@ -177,7 +203,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 for e in row["entries"]:
                     if e["frame"] != frame:
                         frame, data = e["frame"], read_frame(row["content"], e["frame"])
-                    head, body, _ = parse_record(data, e["offset"])
+                    head, block, _ = parse_record(data, e["offset"])
+                    body = http_payload(block)
                     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                     if head["WARC-Type"] == "response" and (payload_digest(body) != digest or len(body) != int(head["X-Payload-Length"])):
                         raise ValueError(f"payload of {e['record_id']} is damaged")
@@ -188,21 +215,29 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return archives.mapInArrow(run, _READ)
 
 
-def read_payloads(archives: DataFrame, page_ids: list[int]) -> DataFrame:
-    """page_id and payload of some pages, each found by its index entry; a revisit has an empty one."""
-    wanted = archives.select("content", F.explode("entries").alias("e")).where(F.col("e.page_id").isin(page_ids)).select("content", "e.page_id", "e.frame", "e.offset")
+def read_payloads(archives: DataFrame, page_ids: list[int] | None = None, record_ids: list[str] | None = None) -> DataFrame:
+    """page_id and payload of some pages or records, each found by its index entry; a revisit has an empty one.
+
+    The lists go into the plan. A bundle goes to Python once if it holds any, and only the frames asked for are unpacked.
+    """
+    asked = lambda e: e["page_id"].isin(page_ids or []) | e["record_id"].isin(record_ids or [])
+    wanted = archives.select("content", F.filter("entries", asked).alias("entries")).where(F.size("entries") > 0)
 
     def run(batches):
         for batch in batches:
-            rows = batch.to_pylist()
-            bodies = [parse_record(read_frame(r["content"], r["frame"]), r["offset"])[1] for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r["page_id"] for r in rows], pa.int64()), pa.array(bodies, pa.binary())], names=["page_id", "payload"])
+            for row in batch.to_pylist():
+                bodies = [http_payload(parse_record(read_frame(row["content"], e["frame"]), e["offset"])[1]) for e in row["entries"]]
+                yield pa.RecordBatch.from_arrays([pa.array([e["page_id"] for e in row["entries"]], pa.int64()), pa.array(bodies, pa.binary())], names=["page_id", "payload"])
 
     return wanted.mapInArrow(run, "page_id long, payload binary")
 
 
-def export_files(archives: DataFrame, folder: str) -> DataFrame:
-    """Write each bundle as ``<bundle_id>.warc.zst`` to a folder mounted on every executor; paths."""
+def export_files(archives: DataFrame, folder: str, warcinfo: bool = False) -> DataFrame:
+    """Write each bundle as ``<bundle_id>.warc.zst`` to a folder mounted on every executor; paths.
+
+    With ``warcinfo`` a frame with the file's warcinfo record comes first; the seek table counts it, so that the
+    index's frames are one further on.
+    """
 
     def run(batches):
         for batch in batches:
@@ -210,7 +245,7 @@ def export_files(archives: DataFrame, folder: str) -> DataFrame:
             for row in batch.to_pylist():
                 path = Path(folder, f"{row['bundle_id']}.warc.zst")
                 part = path.with_suffix(f".{uuid.uuid4().hex}.part")
-                part.write_bytes(row["content"])
+                part.write_bytes(with_info(row["content"], path.name) if warcinfo else row["content"])
                 part.replace(path)
                 names.append(str(path))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["path"])
