@@ -34,7 +34,7 @@ def _checkable(claims: DataFrame) -> DataFrame:
 
 def structure_violations(claims: DataFrame, briefs: DataFrame) -> DataFrame:
     """empty_brief, blank_claim, unsupported_claim_type."""
-    empty = briefs.join(claims.select("brief_id"), "brief_id", "left_anti").select("brief_id", F.lit(None).cast("int").alias("seq"), F.lit("empty_brief").alias("code"), F.lit(None).cast("string").alias("detail"))
+    empty = briefs.join(claims.select("brief_id").distinct(), "brief_id", "left_anti").select("brief_id", F.lit(None).cast("int").alias("seq"), F.lit("empty_brief").alias("code"), F.lit(None).cast("string").alias("detail"))
     blank = _violation(claims.where(F.trim("text") == ""), "blank_claim")
     kind = _violation(claims.where((F.trim("text") != "") & ~F.col("claim_type").isin(*CLAIM_TYPES)), "unsupported_claim_type", F.col("claim_type"))
     return empty.unionByName(blank).unionByName(kind)

@@ -126,7 +126,7 @@ def due_rechecks(aois: DataFrame, jobs: DataFrame, scenes: DataFrame, now, today
 
 
 def zero_detection_audit(aois: DataFrame, detections: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Areas without detections: never ran, or ran and found nothing."""
-    silent = aois.select("aoi_id").join(detections.select("aoi_id"), "aoi_id", "left_anti")
+    """Areas without detections: never ran, or ran and found nothing. An area's detections are one row before they are shuffled."""
+    silent = aois.select("aoi_id").join(detections.select("aoi_id").distinct(), "aoi_id", "left_anti")
     ran = jobs.where("status = 'succeeded'").select("aoi_id").distinct().withColumn("ran", F.lit(True))
     return silent.join(ran, "aoi_id", "left").select("aoi_id", F.when(F.col("ran"), "ran, found nothing").otherwise("never ran").alias("verdict"))
