@@ -2,7 +2,11 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from groundshift.operators import store
+from groundshift.plans import queries_streams
+from groundshift.sources.fixtures import table
 
 
 def test_detections_of_an_area_are_one_row_before_the_join(spark, capsys):
@@ -18,3 +22,18 @@ def test_detections_of_an_area_are_one_row_before_the_join(spark, capsys):
     depth = [len(re.match(r"[ :+|-]*", x).group()) for x in right]
     second = next(i for i in range(1, len(right)) if depth[i] == depth[0])
     assert right[second].lstrip(" :+|-").startswith("Aggregate"), plan
+
+
+def test_files_of_a_stream_do_not_grow_with_the_table(spark, sf):
+    """A table read in n tasks arrives in four batches of n files, so no file holds a fixed share of it."""
+    articles = table(spark, sf, "articles")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        tasks = articles.rdd.getNumPartitions()
+        source, schema, _, at_once = queries_streams._arrivals(spark, table(spark, sf, "articles"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    rows = spark.read.schema(schema).parquet(source)
+    sizes = [r["count"] for r in rows.groupBy(F.input_file_name()).count().collect()]
+    assert tasks == at_once > 2 and sum(sizes) == articles.count() and max(sizes) < 0.25 * sum(sizes)
+    assert rows.exceptAll(articles).isEmpty() and len(rows.inputFiles()) <= 4 * at_once
