@@ -3,7 +3,7 @@
 Each tree of the forest is a sorted prefix trie: a text's label in it is a sequence of ``MAX_DEPTH`` MinHash
 values, kept as bytes that sort in trie order. Matched prefixes start at full depth and are shortened level by
 level, for each class of text lengths apart, until the recall that probes of that class measure reaches the
-target; a probe is a text of the corpus with a fifth of its shingles taken away, which must meet its original.
+target; every text is probed: its probe has a fifth of its shingles taken away, and must meet its original.
 Texts that meet in a trie node and whose sketches agree are candidates; components of those are verified
 on exact shingle sets, block by block, and components of the links are the classes.
 """
@@ -26,9 +26,7 @@ SIMILARITY = 0.8
 TREES = 24
 MAX_DEPTH = 8
 TARGET_RECALL = 0.9999
-#: About so many texts, chosen by a hash of their shingles, are probed; a class with fewer than
-#: CLASS_PROBES goes by the probes of all classes.
-PROBES = 20_000
+#: A class with fewer probes goes by those of all classes.
 CLASS_PROBES = 50
 #: Share of equal sketch bytes (one for each of the trees' MinHash values) of a candidate pair. At a similarity of 0.8
 #: the share is 0.80 with a deviation of 0.03, so a linked pair falls below with a chance of about 1e-11.
@@ -52,24 +50,42 @@ def _signatures(values: np.ndarray, offsets: np.ndarray, trees: int) -> np.ndarr
     return out
 
 
-def _probe(one: np.ndarray, similarity: float) -> np.ndarray | None:
-    """The set with as many shingles, chosen by a hash, taken away or added as leave it at least that similar, whichever
+def _change(one: np.ndarray, similarity: float) -> tuple[bool, np.ndarray] | None:
+    """Whether they are taken away or added, and the shingles, chosen by a hash, that leave the set at least that similar, whichever
     makes it less like; None where every other set is less like."""
     gone, more = int(len(one) * (1 - similarity) + 1e-9), int(len(one) * (1 / similarity - 1) + 1e-9)
     if not gone and not more:
         return None
     if gone and (len(one) - gone) / len(one) <= len(one) / (len(one) + more):
-        return np.delete(one, np.argsort(mix(one ^ np.uint64(0xA0761D6478BD642F)), kind="stable")[:gone])
-    return np.concatenate((one, mix(one[:1] + np.arange(1, more + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))))
+        return True, one[np.argpartition(mix(one ^ np.uint64(0xA0761D6478BD642F)), gone - 1)[:gone]]
+    return False, mix(one[:1] + np.arange(1, more + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
+
+
+def _probe(one: np.ndarray, similarity: float) -> np.ndarray | None:
+    """The set after its ``_change``."""
+    change = _change(one, similarity)
+    if change is None:
+        return None
+    return np.setdiff1d(one, change[1]) if change[0] else np.concatenate((one, change[1]))
+
+
+def _followed(found: np.ndarray, changes: list[tuple[bool, np.ndarray]], trees: int) -> np.ndarray:
+    """(texts, trees) levels to which the texts with signatures ``found`` and their probes agree.
+
+    A probe keeps a MinHash value unless that is of a shingle taken away, or one added has a lesser value; so only the changed shingles are hashed again.
+    """
+    moved = _signatures(np.concatenate([c for _, c in changes]), np.concatenate(([0], np.cumsum([len(c) for _, c in changes]))), trees)
+    same = np.where(np.array([gone for gone, _ in changes])[:, None], moved > found, moved >= found)
+    return np.cumprod(same.reshape(len(changes), trees, MAX_DEPTH), axis=2).sum(axis=2)
 
 
 _PROFILE = "doc_id long, th long, h1 long, h2 long, n long, signature binary, sketch binary, shared array<int>"
 
 
-def _profiler(trees: int, width: int, similarity: float, rate: float):
-    """doc_id, th and text to rows of _PROFILE; ``shared`` is the depth to which a probe follows its original in each tree."""
+def _profiler(trees: int, width: int, similarity: float, rate: float = 1.0):
+    """doc_id, th and text to rows of _PROFILE; ``shared`` is the depth to which a probe follows its original in each tree, for so many of the texts."""
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64()), ("signature", pa.binary()), ("sketch", pa.binary()), ("shared", pa.list_(pa.int32()))])
-    cut = int(rate * (1 << 63))
+    cut = int(rate * (1 << 63))  # 1: no hash is above
 
     def run(batches):
         for batch in small_batches(batches):
@@ -81,11 +97,9 @@ def _profiler(trees: int, width: int, similarity: float, rate: float):
                 found = _signatures(values, np.concatenate((offsets[:-1][full], offsets[-1:])), trees) if len(full) else np.zeros((0, trees * MAX_DEPTH), np.uint32)
                 at = dict(zip(full.tolist(), range(len(full)), strict=True))
                 sums = [[int(mix(one ^ np.uint64(x)).sum(dtype=np.uint64).view(np.int64)) for x in (0, 0xD1B54A32D192ED03)] for one in sets]
-                probes = {i: _probe(sets[i], similarity) for i in full.tolist() if sums[i][0] & ((1 << 63) - 1) < cut}
-                probed = [i for i, p in probes.items() if p is not None]
-                less = [probes[i] for i in probed]
-                again = _signatures(np.concatenate(less), np.concatenate(([0], np.cumsum([len(x) for x in less]))), trees) if less else ()
-                shared = {i: np.cumprod((p == found[at[i]]).reshape(trees, MAX_DEPTH), axis=1).sum(axis=1).tolist() for i, p in zip(probed, again, strict=True)}
+                changes = {i: c for i in full.tolist() if sums[i][0] & ((1 << 63) - 1) < cut and (c := _change(sets[i], similarity)) is not None}
+                followed = _followed(found[[at[i] for i in changes]], list(changes.values()), trees).tolist() if changes else ()
+                shared = dict(zip(changes, followed, strict=True))
                 rows = []
                 for i, (text, one) in enumerate(zip(texts[a:b], sets, strict=True)):
                     if text is None:
@@ -111,7 +125,7 @@ def measured_depths(firsts: DataFrame, trees: int = TREES, target: float = TARGE
     """Depth at which each class of lengths stops, from full depth shortened until its probes reach the target.
 
     Two measures must reach it: the number of probes that follow their original to that depth in no tree must not be more
-    than chance makes of the target's, by three deviations and one; and, as so rare a miss is not seen in few probes, the recall of
+    than chance makes of the target's, by three deviations and one; and, as so rare a miss is not seen in few probes of a small class, the recall of
     ``trees`` tries whose chance of a shared prefix is that of the class's probes in one tree must reach it too.
     At most a row for each class reaches the driver.
     """
@@ -278,8 +292,7 @@ def _verifier(similarity: float, width: int):
 def classify(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, trees: int = TREES, target: float = TARGET_RECALL, block: int = BLOCK) -> DataFrame:
     """doc_id, th (a hash of the text), class_id and n_links of every row; see ``near_duplicates``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    rate = min(1.0, PROBES / max(docs.count(), 1))
-    prof = materialize(docs.mapInArrow(_profiler(trees, width, similarity, rate), _PROFILE).withColumn("sid", F.monotonically_increasing_id()), "near-profiles")
+    prof = materialize(docs.mapInArrow(_profiler(trees, width, similarity), _PROFILE).withColumn("sid", F.monotonically_increasing_id()), "near-profiles")
     usable = prof.where("doc_id is not null and h1 is not null")
     # of each set one row stands for all; its number names the set
     sets = materialize(usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("sid").alias("sid")), "near-sets")

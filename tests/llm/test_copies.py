@@ -70,3 +70,26 @@ def test_probes_are_at_the_similarity(spark):
             both = len(np.intersect1d(one, probe))
             like = both / (len(one) + len(probe) - both)
             assert 0.8 <= like < 0.86 and len(np.unique(probe)) == len(probe)
+
+
+def test_every_text_is_probed(spark):
+    """The depths come of all texts: on more than 20,000 of them (as many as were probed before) each different one has its probe."""
+    rows = spark.range(21_000).selectExpr("id doc_id", "concat_ws(' ', transform(sequence(0, 9), x -> concat('w', id, '_', x))) text")
+    caught, take = [], near_join.measured_depths
+    near_join.measured_depths = lambda firsts, *a: caught.append(firsts) or take(firsts, *a)
+    try:
+        assert near_join.near_duplicates(rows).agg(F.sum("n_links")).first()[0] == 0
+    finally:
+        near_join.measured_depths = take
+    assert caught[0].where("shared is not null").count() == caught[0].count() == 21_000
+
+
+def test_levels_are_those_of_the_whole_probe():
+    """Hashing only what changed gives the levels that the probe's own signature gives."""
+    import numpy as np
+
+    sets = [near_join.mix(np.arange(n, dtype=np.uint64) + np.uint64(1000 * n)) for n in (4, 5, 7, 9, 30, 31, 500)]
+    whole = lambda s: near_join._signatures(np.concatenate(s), np.concatenate(([0], np.cumsum([len(x) for x in s]))), near_join.TREES)
+    found, again = whole(sets), whole([near_join._probe(x, 0.8) for x in sets])
+    want = np.cumprod((found == again).reshape(len(sets), near_join.TREES, near_join.MAX_DEPTH), axis=2).sum(axis=2)
+    assert (near_join._followed(found, [near_join._change(x, 0.8) for x in sets], near_join.TREES) == want).all()
