@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundshift.functions.columns import OBSERVED, REPORTED, area_mentions, has_quantity, iso_date, iso_mentions, month_mentions
-from groundshift.plans.scratch import materialize
+from groundshift.plans.scratch import dealt_semi, materialize
 
 from .ranking import PAGE, paged
 
@@ -201,7 +201,7 @@ def claims_with_evidence(claims: DataFrame, briefs: DataFrame, links: DataFrame,
 
 def evidence_index(links: DataFrame, detections: DataFrame, page_size: int = PAGE) -> tuple[DataFrame, DataFrame]:
     """(claim to its known detections, detection to its claims), a row for each page of ``page_size``; a claim with none keeps an empty page 0."""
-    known = materialize(links.where("detection_id is not null").join(detections.select("detection_id"), "detection_id", "left_semi").select("claim_id", "detection_id").distinct(), "known-links")
+    known = materialize(dealt_semi(links.select("claim_id", "detection_id"), detections, "detection_id"), "known-links")
     claims = links.select("claim_id").distinct()
     by_claim = claims.join(paged(known, ["claim_id"], [], F.col("detection_id"), "detections", page_size).hint("merge"), "claim_id", "left")
     by_claim = by_claim.select("claim_id", F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("detections", F.array().cast("array<bigint>")).alias("detections"))

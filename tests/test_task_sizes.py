@@ -4,8 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from groundshift.operators import store
-from groundshift.plans import queries_streams
+from groundshift.operators import claims, store
+from groundshift.plans import queries_streams, scratch
 from groundshift.sources.fixtures import table
 
 
@@ -37,3 +37,21 @@ def test_files_of_a_stream_do_not_grow_with_the_table(spark, sf):
     sizes = [r["count"] for r in rows.groupBy(F.input_file_name()).count().collect()]
     assert tasks == at_once > 2 and sum(sizes) == articles.count() and max(sizes) < 0.25 * sum(sizes)
     assert rows.exceptAll(articles).isEmpty() and len(rows.inputFiles()) <= 4 * at_once
+
+
+def test_tasks_of_the_evidence_join_are_dealt_by_rows(spark, monkeypatch):
+    """30,000 narrow links, a detection that 4,000 claims cite, unknown ids, nulls, repeated rows and repeated detections: as a set
+    says, and no task takes much more than the stated rows, whatever few bytes they have."""
+    monkeypatch.setattr(scratch, "ROWS_A_TASK", 1000, raising=False)
+    caught = []
+    monkeypatch.setattr(claims, "materialize", lambda df, name: caught.append(df) or scratch.materialize(df, name))
+    links = [(i, i // 2) for i in range(26_000)] + [(i, 5) for i in range(4000)] + [(1, None), (2, -7), (3, 1), (3, 1)]
+    known = spark.range(0, 26_000, 3).selectExpr("id detection_id")
+    known = known.unionByName(known.limit(50)).unionByName(spark.createDataFrame([(5,), (None,)], "detection_id long"))
+    by_claim, by_detection = claims.evidence_index(spark.createDataFrame(links, "claim_id int, detection_id long"), known)
+    want = {x for x in links if x[1] is not None and (x[1] == 5 or x[1] >= 0 and x[1] % 3 == 0)}
+    assert {(r.claim_id, d) for r in by_claim.collect() for d in r.detections} == want == {(c, r.detection_id) for r in by_detection.collect() for c in r.claims}
+    assert by_claim.select("claim_id").distinct().count() == len({c for c, _ in links}) == by_claim.count()
+    found = caught[0]
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == len(want) and max(sizes) < 1000 and len(sizes) > 10
